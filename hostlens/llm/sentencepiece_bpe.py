@@ -19,17 +19,16 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Entries of a worker's memo of encoded words; when full it becomes the older memo.
-MEMO = 200_000
+MEMO = 250_000
 #: Longer words are not remembered.
 MEMO_CHARS = 64
 
-#: No piece of the models taken here holds a letter beside another kind of character, a
-#: space after another character, or a line feed beside one; no merge crosses such a
-#: border, and what lies between is encoded independently. Superscript and fraction
-#: digits count as no letters.
-LETTER = r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]"
-OTHER = rf"(?:(?!{LETTER})[^{SPACE}\n])"
-WORDS = re.compile(f"{SPACE}*{LETTER}+|{SPACE}+{OTHER}*|{OTHER}+|\n")
+#: Letters after a space run, other characters after one, or a line feed. No piece of the
+#: models taken here holds a space after another character, a line feed beside one, or
+#: a letter beside another kind of character (superscript and fraction digits count as
+#: no letters); no merge crosses such a border, and what lies between is encoded alone.
+ODD = "\u00b2\u00b3\u00b9\u00bc-\u00be"
+WORDS = re.compile(rf"{SPACE}*[^\W\d_{ODD}]+|{SPACE}+[\d_{ODD}]*(?:[^\w\n{SPACE}]+[\d_{ODD}]*)*|(?:[^\w\n{SPACE}]|[\d_{ODD}])+|\n")
 
 
 def load_pieces(path: str) -> list[tuple[str, float, int]]:
@@ -54,12 +53,12 @@ class Coder:
         self.byte_id = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(pieces) if k == 2}
         self.bytes = [bytes([int(p[1:-1], 16)]) if k == 2 else p.replace(SPACE, " ").encode() if k == 1 else b"" for p, _, k in pieces]
         self.found = ahocorasick.Automaton()
-        for p in self.ids:
-            self.found.add_word(p, p)
-        for c in self.known - self.ids.keys():  # ends up as bytes unless merged
-            self.found.add_word(c, c)
+        for p in self.ids.keys() | self.known:  # a known character that is no piece ends up as bytes unless merged
+            csv = str(self.ids[p]) if p in self.ids else self.byte_ids(p)
+            # length, piece, ids, what they decode to, and what may follow
+            self.found.add_word(p, (len(p), p, csv, p.replace(SPACE, " "), {}))
         self.found.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.begin = (0, "", "", "", {})
         self.edges: dict[str, tuple[list, list] | None] = {}
         self.memo: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
@@ -114,61 +113,60 @@ class Coder:
                     return False
         return True
 
-    def compatible(self, a: str, b: str) -> bool:
-        """a may be empty: b begins the text."""
-        if len(self.fits) >= 4 * MEMO:
-            self.fits.clear()
-        got = self.fits[a, b] = self.meets(a, b) if a else self.merged(b) == [b]
+    def compatible(self, a: tuple, b: tuple) -> bool:
+        """a may be the beginning of the text."""
+        got = a[4][b[1]] = self.meets(a[1], b[1]) if a[0] else self.merged(b[1]) == [b[1]]
         return got
 
-    def tokens(self, run: str) -> list[str]:
-        """The pieces of a run of known characters."""
-        last = [""] * (len(run) + 1)
-        fits = self.fits
-        for end, piece in self.found.iter(run):
+    def tokens(self, run: str) -> list[tuple]:
+        """The tokens of a run of known characters; none if it has others."""
+        last: list = [None] * (len(run) + 1)
+        last[0] = self.begin
+        for end, token in self.found.iter(run):
             end += 1
-            if not last[end]:
-                start = end - len(piece)
-                before = last[start]
-                if before or not start:
-                    fit = fits.get((before, piece))
-                    if self.compatible(before, piece) if fit is None else fit:
-                        last[end] = piece
+            if last[end] is None:
+                before = last[end - token[0]]
+                if before is not None:
+                    fit = before[4].get(token[1])
+                    if self.compatible(before, token) if fit is None else fit:
+                        last[end] = token
         out, end = [], len(run)
         while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
-
-    def word_ids(self, word: str) -> list[int]:
-        out: list[int] = []
-        if self.known.issuperset(word) and all(map(self.ids.__contains__, got := self.tokens(word))):
-            return [self.ids[t] for t in got]
-        start = 0
-        for i in range(len(word) + 1):
-            if i == len(word) or word[i] not in self.known:
-                for t in self.tokens(word[start:i]):
-                    out += [self.ids[t]] if t in self.ids else [self.byte_id[b] for b in t.encode()]
-                if i < len(word):
-                    out += [self.byte_id[b] for b in word[i].encode()]
-                start = i + 1
+            token = last[end]
+            if token is None:
+                return []
+            out.append(token)
+            end -= token[0]
+        out.reverse()
         return out
 
-    def joined(self, ids: Iterable[int]) -> str:
-        return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace")
+    def byte_ids(self, text: str) -> str:
+        return ",".join(str(self.byte_id[b]) for b in text.encode())
+
+    def part(self, part: str) -> tuple[str, str]:
+        got = self.tokens(part)
+        if got:
+            return ",".join([x[2] for x in got]), "".join([x[3] for x in got])
+        found, start = [], 0
+        for i in range(len(part) + 1):
+            if i == len(part) or part[i] not in self.known:
+                found += [x[2:4] for x in self.tokens(part[start:i])]
+                if i < len(part):
+                    found.append((self.byte_ids(part[i]), part[i]))
+                start = i + 1
+        return ",".join([x[0] for x in found]), "".join([x[1] for x in found])
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in WORDS.findall(SPACE + text.replace(" ", SPACE)) for i in self.word_ids(w)] if text else []
+        csv = self.text(text)[0]
+        return [int(x) for x in csv.split(",")] if csv else []
 
     def decode(self, ids: Iterable[int]) -> str:
         """Bytes that are no UTF-8 (never from ``encode``) become U+FFFD."""
-        return self.joined(ids).removeprefix(" ")
+        return b"".join(self.bytes[i] for i in ids).decode("utf-8", "replace").removeprefix(" ")
 
     def coded(self, word: str) -> tuple[str, str]:
-        got = self.older.get(word)
-        if got is None:
-            ids = self.word_ids(word)
-            got = ",".join(map(str, ids)), self.joined(ids)
+        """Ids joined by commas, and what they decode to."""
+        got = self.older.get(word) or self.part(word)
         if len(word) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.older, self.memo = self.memo, {}

@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .line_dedup import line_dedup
+from .lm_scoring import cross_entropy_difference
 from .mixing import mix
+from .near_dedup import near_classes
+from .quality import quality_scores
 from .sentencepiece_bpe import encode_documents
 from .telephony import telephony
+from .url_filters import HOST_RULES, PATTERNS, op7
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -32,6 +37,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target corpus: documents labelled good."""
+    target = table(spark, sf_dir, "labels").filter("quality = 1")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), model_path())
 
@@ -40,12 +59,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_telephony_audio": op1,
     "op2_exact_dedup": op2,
     "op3_line_dedup": op3,
+    "op4_html_text": op4,
+    "op5_lm_scoring": op5,
+    "op6_quality_classifier": op6,
+    "op7_url_filters": op7,
     "op8_sentencepiece": op8,
     "op9_mix_sources": op9,
+    "op10_near_dedup": op10,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,4 +94,13 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
           sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
         from r group by doc_id""",
+    "op7_url_filters": f"""
+        with u as (select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+        p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+        r(h, pre, v) as (values {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in HOST_RULES)}),
+        b as (select page_id, arg_max(h || pre, length(h || pre)) as rule, arg_max(v, length(h || pre)) as v
+          from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, pre) group by page_id)
+        select p.page_id, p.host, p.path, b.rule, coalesce(b.v, case when regexp_matches(lower(host || path),
+          '(^|[^a-z0-9])({"|".join(x.strip("^") for x, v in PATTERNS if v == "block")})([^a-z0-9]|$)') then 'block' else 'allow' end) as verdict
+        from p left join b using (page_id)""",
 }

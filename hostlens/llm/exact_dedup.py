@@ -35,7 +35,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return df.withColumn("_norm", normalize(F.col("_text"))).withColumn("_h", content_hash(F.col("_norm")))
 
     sig = materialize(hashed(src).select("_id", "_h", F.sha2("_norm", 256).alias("_sha")), "exact-sig")
-    again = sig.groupBy("_h").agg(F.count("*").alias("_c")).filter("_c > 1").select("_h")
+    # written apart, so that Spark can split a hot hash's part of the join
+    again = materialize(sig.groupBy("_h").agg(F.count("*").alias("_c")).filter("_c > 1").select("_h"), "exact-again")
     ids = sig.join(again, "_h", "left_semi").select("_id").distinct()
     member = hashed(src.join(ids, src["_id"].eqNullSafe(ids["_id"]), "left_semi"))
     classes = member.groupBy("_h", "_norm").agg(best("_id").alias("_keep"), F.count("*").alias("_n"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, materialize, table
 
 #: Rule lists up to this long are broadcast (some 200 bytes a rule).
 BROADCAST_RULES = 100_000
@@ -80,6 +80,7 @@ def filter_urls(urls: DataFrame, rules: list[dict], *, url_col: str = "url", def
         F.min(F.when(hosts, F.struct((-length).alias("n"), F.col("rule").alias("rule"), F.col("verdict").alias("verdict")))).alias("_host"),
         F.max(F.when(~hosts, F.col("verdict"))).alias("_pattern"),
     )
+    best = materialize(best, "url-verdicts")  # apart, so that the join on a hot url can be split
     out = base.withColumn("host", host).withColumn("path", path).join(best, "_u", "left")
     return out.withColumn("rule", F.col("_host.rule")).withColumn("verdict", F.coalesce(F.col("_host.verdict"), F.col("_pattern"), F.lit(default))).drop("_u", "_host", "_pattern")
 

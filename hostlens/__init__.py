@@ -1,0 +1 @@
+"""Jobs that give context to DNS and browser-history events, on Spark."""

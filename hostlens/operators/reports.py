@@ -23,7 +23,7 @@ def top_domains(events: DataFrame, *, k: int = 20, guessed: bool | None = None)
 def _share(events: DataFrame, labels: Column, names: list[str]) -> DataFrame:
     """Events that carry a label, each once for it, and their share of all events."""
     total = events.agg(F.count("*").alias("_all"))
-    hit = events.select("event_id", F.explode(F.array_distinct(labels)).alias("_l")).select("_l.*") if len(names) > 1 else events.select(F.explode(F.array_distinct(labels)).alias(names[0]))
+    hit = events.select(F.explode(F.array_distinct(labels)).alias("_l")).select(*(["_l.*"] if len(names) > 1 else [F.col("_l").alias(names[0])]))
     g = hit.groupBy(*names).agg(F.count("*").alias("events"))
     return g.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("events") / F.col("_all"), 6)).drop("_all")  # one row
 
@@ -36,7 +36,11 @@ def category_share(events: DataFrame) -> DataFrame:
 def _paths() -> Column:
     """(facet, path) structs of an event."""
     none = F.array().cast("array<string>")
-    return F.concat(*(F.transform(F.coalesce(f, none), lambda p, f=f: F.struct(F.lit(f).alias("facet"), p.alias("path"))) for f in FACETS))
+
+    def of(facet: str) -> Column:
+        return F.transform(F.coalesce(facet, none), lambda p: F.struct(F.lit(facet).alias("facet"), p.alias("path")))
+
+    return F.concat(*map(of, FACETS))
 
 
 def facet_share(events: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ def settle(cells: DataFrame, most: int) -> DataFrame:
     many copies as fit. A source brings at most 252 cells, folded in one row.
     """
     took = F.sum(F.col("size") * (F.col("n") * F.col("_base") + F.col("_extra")))
-    gap = cells.groupBy("_s").agg(F.round(F.max("target") - took).cast("long").alias("_gap"))
+    # written apart, so that its size is known and a large source's cells need not meet
+    gap = materialize(cells.groupBy("_s").agg(F.round(F.max("target") - took).cast("long").alias("_gap")), "mix-gaps")
     spare = F.when(F.col("_gap") < 0, F.col("_extra")).when(F.col("_base") < most, F.col("n") - F.col("_extra")).otherwise(0)
     fit = cells.join(gap, "_s").withColumn("_spare", spare.cast("long")).filter("_spare > 0 and size > 0 and size <= abs(_gap)")
     best = fit.groupBy("_s", F.floor(F.log2("size") * 4).alias("_power")).agg(F.max(F.struct("_spare", "size", "_slot")).alias("_c"), F.max("_gap").alias("_gap"))

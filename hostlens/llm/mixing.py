@@ -94,17 +94,17 @@ def balance(cells: DataFrame, targets: DataFrame, most: float) -> DataFrame:
 def settle(cells: DataFrame, most: int) -> DataFrame:
     """``cells`` (_s, size, _slot, n, target, _base, _extra) with ``_extra`` corrected.
 
-    What a source's copies miss of its target is made up by single documents: one cell
-    for each quarter power of two of the size, from large to small, gives or takes as
-    many copies as fit. A source brings at most 252 cells, folded in one row.
+    What a source's copies miss of its target is made up by single documents: up to
+    eight cells for each quarter power of two of the size, from large to small, give or
+    take as many copies as fit. A source brings at most 2016 cells, folded in one row.
     """
     took = F.sum(F.col("size") * (F.col("n") * F.col("_base") + F.col("_extra")))
     # written apart, so that its size is known and a large source's cells need not meet
     gap = materialize(cells.groupBy("_s").agg(F.round(F.max("target") - took).cast("long").alias("_gap")), "mix-gaps")
     spare = F.when(F.col("_gap") < 0, F.col("_extra")).when(F.col("_base") < most, F.col("n") - F.col("_extra")).otherwise(0)
     fit = cells.join(gap, "_s").withColumn("_spare", spare.cast("long")).filter("_spare > 0 and size > 0 and size <= abs(_gap)")
-    best = fit.groupBy("_s", F.floor(F.log2("size") * 4).alias("_power")).agg(F.max(F.struct("_spare", "size", "_slot")).alias("_c"), F.max("_gap").alias("_gap"))
-    row = best.groupBy("_s").agg(F.max("_gap").alias("_gap"), F.reverse(F.array_sort(F.collect_list(F.struct("_power", "_c")))).alias("_cells"))
+    best = fit.groupBy("_s", F.floor(F.log2("size") * 4).alias("_power"), (F.col("_slot") % 8).alias("_part")).agg(F.max(F.struct("_spare", "size", "_slot")).alias("_c"), F.max("_gap").alias("_gap"))
+    row = best.groupBy("_s").agg(F.max("_gap").alias("_gap"), F.reverse(F.array_sort(F.collect_list(F.struct("_power", "_part", "_c")))).alias("_cells"))
     given = F.expr("""aggregate(_cells, named_struct('rest', abs(_gap), 'given', cast(array() as array<struct<size: bigint, _slot: int, _more: bigint>>)),
         (a, x) -> named_struct('rest', a.rest - least(x._c._spare, a.rest div x._c.size) * x._c.size, 'given', concat(a.given,
             array(named_struct('size', x._c.size, '_slot', x._c._slot, '_more', cast(sign(_gap) as bigint) * least(x._c._spare, a.rest div x._c.size))))), a -> a.given)""")

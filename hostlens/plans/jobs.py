@@ -45,13 +45,13 @@ def enrich_dns(events: DataFrame, ref: Reference, *, mode: str = "ancestor", dro
     """Typed DNS events (with ``event_id`` and ``ts``) to enriched ones; dropped events go."""
     e = sieve.sieve_dns(events, ref.ignore, drop_errors=drop_errors, drop_replies=drop_replies).filter("drop_reason is null")
     e = enrich.dns_answers(enrich.cname_chain(enrich.dns_request(enrich.dns_searches(e)))).filter(F.size("searches") > 0)
-    e = enrich.domain_fields(_judged(e, ref, mode), registrable_domains(e.select("host"), ref.rules))
+    e = enrich.domain_fields(_judged(e, ref, mode), registrable_domains(lookup.hosts_of(e), ref.rules))  # the hosts that were looked up
     return ptr.without_ptr(e) if ref.observations is None else ptr.with_ptr(e, ref.observations)
 
 
 def enrich_browser(events: DataFrame, ref: Reference, *, mode: str = "ancestor") -> DataFrame:
     """Typed browser events to enriched ones."""
-    e = sieve.sieve_browser(events, ref.ignore).filter("drop_reason is null").withColumn("host", sieve.browser_host(F.col("host")))
-    domains = registrable_domains(e.select("host"), ref.rules)
-    e = enrich.browser_searches(e, domains).withColumn("chain", F.array().cast("array<string>")).withColumn("request", F.col("scheme"))
+    e = sieve.sieve_browser(events, ref.ignore).filter("drop_reason is null").withColumn("host", sieve.browser_host(F.col("host"))).withColumn("chain", F.array().cast("array<string>"))
+    domains = registrable_domains(lookup.hosts_of(e), ref.rules)
+    e = enrich.browser_searches(e, domains).withColumn("request", F.col("scheme"))
     return enrich.domain_fields(_judged(enrich.client_identity(enrich.browser_times(e)), ref, mode), domains)

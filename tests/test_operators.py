@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from hostlens.operators import enrich, lookup, ptr, sieve, sinks
 from hostlens.operators import entries as ent
 from hostlens.operators.suffix import registrable_domains
-from hostlens.operators.taxonomy import classified, severities, severity_rows, taxonomy, taxonomy_rows
+from hostlens.operators import taxonomy as tax_module
+from hostlens.operators.taxonomy import classified, severities, severity_rows, taxonomy, taxonomy_rows, with_facets
 from hostlens.plans.jobs import Reference
 from hostlens.sources import events as src
 from hostlens.sources import lists
@@ -71,6 +72,14 @@ def test_taxonomy(spark):
     assert b["risk_severity"] == "high" and c["risk_severity"] is None and d["unmapped_contexts"] == ["nosuchthing"] and d["risk"] is None
 
 
+def test_facets_by_literals_and_by_join_agree(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["facebook", "vpn", "x"]), (2, []), (3, ["zionist", "crypto", "Vpn "]), (4, None)], "event_id int, contexts array<string>")
+    key = lambda d: sorted(map(repr, d.select(sorted(d.columns)).collect()))
+    a = key(with_facets(df, taxonomy(spark), severities(spark)))
+    monkeypatch.setattr(tax_module, "LITERAL_ROWS", 0)
+    assert key(with_facets(df, taxonomy(spark), severities(spark))) == a
+
+
 def test_merge_and_ignorelist(spark):
     rows = spark.createDataFrame([("evil.example.com", "porn", "a"), ("evil.example.com", "malware", "b"), ("shop.example.com", "porn", "a"), ("ok.org", "news", "a")], "domain string, category string, source string")
     merged = ent.merge_entries(rows)

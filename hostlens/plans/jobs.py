@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -35,23 +36,33 @@ def build_entries(lines: DataFrame, configured: DataFrame, ignorelist: DataFrame
     return ent.sorted_entries(ent.apply_ignorelist(ent.merge_entries(rows), ignorelist))
 
 
+def lazily(df: DataFrame) -> DataFrame:
+    return df
+
+
 def _judged(events: DataFrame, ref: Reference, mode: str) -> DataFrame:
     spark = events.sparkSession
     looked = lookup.resolve(events, ref.entries, mode=mode, exact_entries=ref.exact_entries, built_at=ref.built_at)
     return with_facets(looked, ref.taxonomy or taxonomy(spark), ref.severities or severities(spark))
 
 
-def enrich_dns(events: DataFrame, ref: Reference, *, mode: str = "ancestor", drop_errors: bool = True, drop_replies: bool = True) -> DataFrame:
-    """Typed DNS events (with ``event_id`` and ``ts``) to enriched ones; dropped events go."""
+def enrich_dns(events: DataFrame, ref: Reference, *, mode: str = "ancestor", drop_errors: bool = True, drop_replies: bool = True, cut: Callable[[DataFrame], DataFrame] = lazily) -> DataFrame:
+    """Typed DNS events (with ``event_id`` and ``ts``) to enriched ones; dropped events go.
+
+    What the sieve keeps is read several times (hosts, chains, the events themselves);
+    ``cut`` may write it once (``session.written``).
+    """
     e = sieve.sieve_dns(events, ref.ignore, drop_errors=drop_errors, drop_replies=drop_replies).filter("drop_reason is null")
     e = enrich.dns_answers(enrich.cname_chain(enrich.dns_request(enrich.dns_searches(e)))).filter(F.size("searches") > 0)
+    e = cut(e)
     e = enrich.domain_fields(_judged(e, ref, mode), registrable_domains(lookup.hosts_of(e), ref.rules))  # the hosts that were looked up
     return ptr.without_ptr(e) if ref.observations is None else ptr.with_ptr(e, ref.observations)
 
 
-def enrich_browser(events: DataFrame, ref: Reference, *, mode: str = "ancestor") -> DataFrame:
+def enrich_browser(events: DataFrame, ref: Reference, *, mode: str = "ancestor", cut: Callable[[DataFrame], DataFrame] = lazily) -> DataFrame:
     """Typed browser events to enriched ones."""
     e = sieve.sieve_browser(events, ref.ignore).filter("drop_reason is null").withColumn("host", sieve.browser_host(F.col("host"))).withColumn("chain", F.array().cast("array<string>"))
+    e = cut(enrich.client_identity(enrich.browser_times(e)))
     domains = registrable_domains(lookup.hosts_of(e), ref.rules)
     e = enrich.browser_searches(e, domains).withColumn("request", F.col("scheme"))
-    return enrich.domain_fields(_judged(enrich.client_identity(enrich.browser_times(e)), ref, mode), domains)
+    return enrich.domain_fields(_judged(e, ref, mode), domains)

@@ -15,6 +15,7 @@ from ..functions import ip, text
 from ..operators import enrich, entries as ent, lookup, ptr, reports, sieve, sinks
 from ..operators.suffix import registrable_domains
 from ..operators.taxonomy import severities, severity_rows, taxonomy, taxonomy_rows, with_facets
+from ..session import written
 from .jobs import Reference, build_entries, enrich_browser, enrich_dns
 
 ADAPTER = """
@@ -93,7 +94,8 @@ def observations(s: SparkSession, d: str) -> DataFrame:
 
 
 def entries_of(s: SparkSession, d: str) -> DataFrame:
-    return build_entries(view(s, d, "v_list_lines"), small(s, "configured"), view(s, d, "v_ignorelist"))
+    """Built once and written, as a published generation is."""
+    return written(build_entries(view(s, d, "v_list_lines"), small(s, "configured"), view(s, d, "v_ignorelist")))
 
 
 def reference(s: SparkSession, d: str, **more: DataFrame) -> Reference:
@@ -101,7 +103,7 @@ def reference(s: SparkSession, d: str, **more: DataFrame) -> Reference:
 
 
 def dns(s: SparkSession, d: str, mode: str = "ancestor") -> DataFrame:
-    return enrich_dns(dns_events(s, d), reference(s, d), mode=mode)
+    return enrich_dns(dns_events(s, d), reference(s, d), mode=mode, cut=written)
 
 
 def listed(*names: str) -> list[Column]:
@@ -240,12 +242,12 @@ def web_shape(s: SparkSession, d: str) -> DataFrame:
 
 
 def web_enriched(s: SparkSession, d: str) -> DataFrame:
-    e = enrich_browser(web_events(s, d), reference(s, d))
+    e = enrich_browser(web_events(s, d), reference(s, d), cut=written)
     return e.select("event_id", "host", "registrable_domain", *listed("searches", "contexts", "risk"))
 
 
 def bites(s: SparkSession, d: str) -> DataFrame:
-    docs = enrich.united(enrich.documents(dns(s, d)), enrich.documents(enrich_browser(web_events(s, d), reference(s, d))))
+    docs = enrich.united(enrich.documents(dns(s, d)), enrich.documents(enrich_browser(web_events(s, d), reference(s, d), cut=written)))
     return docs.groupBy("type", "request").agg(F.count("*").alias("events"), F.count_if(F.size("contexts") > 0).alias("labelled"), F.count("client_user").alias("users"), F.min("`@timestamp`").alias("first_time"))
 
 

@@ -116,11 +116,11 @@ def verdict_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("verdict").agg(F.count("*").alias("events"))
 
 
-def dns_audit(verdict: Column) -> Column:
-    """A line for the log; null where the resource is no string."""
-    return F.when(F.col("resource").isNotNull(), F.concat(F.lit("[Packetbeat][DNS] "), verdict, F.lit(": "), "resource", F.coalesce(F.concat(F.lit(" - "), "direction"), F.lit(""))))
+def dns_audit(verdict: Column, tag: str = "[DNS]") -> Column:
+    """A line for the log, under the feed's tag; null where the resource is no string."""
+    return F.when(F.col("resource").isNotNull(), F.concat(F.lit(f"{tag} "), verdict, F.lit(": "), "resource", F.coalesce(F.concat(F.lit(" - "), "direction"), F.lit(""))))
 
 
-def browser_audit(verdict: Column) -> Column:
+def browser_audit(verdict: Column, tag: str = "[History]") -> Column:
     said = [F.coalesce(F.concat(F.lit(sep), c), F.lit("")) for sep, c in ((" : ", "url"), (" - ", "user"), (" - ", "hostname_short"))]
-    return F.concat(F.lit("[Browserbeat][History] "), verdict, *said)
+    return F.concat(F.lit(f"{tag} "), verdict, *said)

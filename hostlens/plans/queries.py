@@ -416,8 +416,8 @@ ORACLE_SQL: dict[str, str] = {k: SQL + v for k, v in {
     "dns_sieve": "select event_id, drop_reason from dns_drop",
     "browser_sieve": "select event_id, drop_reason from web_drop",
     "verdict_counts": "select case when event_id % 13 = 0 then 'unreadable' when drop_reason is not null then 'dropped' else 'kept' end as verdict, count(*) as events from dns_drop group by 1",
-    "audit_lines": """select event_id, '[Packetbeat][DNS] ' || case when drop_reason is null then 'kept' else 'dropped' end || ': ' || resource || ' - ' || direction as line from dns_drop
-        union all select event_id, '[Browserbeat][History] ' || case when drop_reason is null then 'kept' else 'dropped' end || ' : ' || url || ' - u' || user_id || ' - host-' || user_id from web_drop""",
+    "audit_lines": """select event_id, '[DNS] ' || case when drop_reason is null then 'kept' else 'dropped' end || ': ' || resource || ' - ' || direction as line from dns_drop
+        union all select event_id, '[History] ' || case when drop_reason is null then 'kept' else 'dropped' end || ' : ' || url || ' - u' || user_id || ' - host-' || user_id from web_drop""",
     "public_suffix": "select host, public_suffix, registrable_domain from suffixes",
     "ancestor_lookup": f"select host, {_JOIN('contexts')} as contexts, {_JOIN('sources')} as sources, {_JOIN('matched_on')} as matched_on from found semi join v_hosts using (host)",
     "exact_lookup": f"select d.event_id, coalesce({_JOIN('contexts')}, '') as contexts from v_dns d left join exact using (event_id)",

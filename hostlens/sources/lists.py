@@ -9,7 +9,7 @@ from ..functions.punycode import ascii_form
 from ..functions.text import ws_strip
 
 SKIPPED_FOLDERS = ("tld", "index")
-CURATED = ("turkeybite", "custom")  # fixed values: file names of curated lists
+CURATED = ("curated", "custom")  # file names of curated lists
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -31,9 +31,9 @@ def read_list_lines(spark: SparkSession, root: str, *, exclude: list[str] | None
     return lines.filter(~F.col("folder").isin(*SKIPPED_FOLDERS) & (F.col("source") != ".gitignore") & ~F.col("file").isin(*gone) if gone else ~F.col("folder").isin(*SKIPPED_FOLDERS) & (F.col("source") != ".gitignore"))
 
 
-def curated_files(lines: DataFrame) -> DataFrame:
-    """(file, categories): the lists whose category is their folder's name."""
-    found = lines.filter(F.col("source").isin(*CURATED)).select("file", "folder").distinct()
+def curated_files(lines: DataFrame, names: tuple[str, ...] = CURATED) -> DataFrame:
+    """(file, categories): the lists, by file name, whose category is their folder's name."""
+    found = lines.filter(F.col("source").isin(*names)).select("file", "folder").distinct()
     return found.select("file", F.array("folder").alias("categories"))
 
 

@@ -96,11 +96,12 @@ def test_keep_previous(spark):
 
 
 def test_sources(spark, tmp_path):
-    for p, t in {"porn/turkeybite": "a.com\n\n", "tracking/list.txt": "0.0.0.0 t.net\n", "tld/fallback.txt": "# x\nCOM\n\norg\n", "x/.gitignore": "*"}.items():
+    for p, t in {"porn/curated": "a.com\n\n", "tracking/list.txt": "0.0.0.0 t.net\n", "tld/fallback.txt": "# x\nCOM\n\norg\n", "x/.gitignore": "*"}.items():
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_text(t)
     lines = lists.read_list_lines(spark, str(tmp_path))
-    assert {(r["source"], r["folder"]) for r in lines.collect()} == {("turkeybite", "porn"), ("list.txt", "tracking")}
+    assert {(r["source"], r["folder"]) for r in lines.collect()} == {("curated", "porn"), ("list.txt", "tracking")}
+    assert [tuple(r) for r in lists.curated_files(lines).collect()] == [("porn/curated", ["porn"])]
     assert lists.read_list_lines(spark, str(tmp_path), exclude=["./tracking/./list.txt"]).filter("source = 'list.txt'").count() == 0
     assert {r[0] for r in lists.tlds(spark.read.text(str(tmp_path / "tld")).withColumnRenamed("value", "line")).collect()} == {"com", "org"}
     text = spark.createDataFrame([("// c",), ("公司.cn x",), ("*.ck",), ("!www.ck",), ("",)], "line string")

@@ -58,7 +58,7 @@ def balance(cells: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     mean = cells.filter("size > 0").groupBy("_s").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("_mean"))
     full = F.col("target") >= F.col("source_size") * F.lit(float(most)) * (1 - 1e-9)
     state = targets.join(mean, "_s", "left").select(
-        "*", full.alias("_full"), F.log(F.col("target") / F.col("source_size")).alias("_tilt"),
+        "*", full.alias("_full"), F.log(F.try_divide("target", "source_size")).alias("_tilt"),
         F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"), (full | (F.col("source_size") == 0)).alias("_done"),
     )
     state = materialize(state, "mix-tilt")

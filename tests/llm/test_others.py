@@ -141,7 +141,8 @@ def test_pipeline(spark, tmp_path):
         t = " ".join(r.choice(["BUY!!", "NOW!!", "WIN###"]) if bad else r.choice(words) for _ in range(80))
         rows.append((i, t + ("\nA line that stands in every document here." if i % 2 else ""), "en", f"s{i % 3}", len(t)))
         labels.append((i, int(not bad), 0))
-    rows += [(300 + k, rows[1][1].split("\n")[0] + f"\nanother end {k}", "en", "s1", 1) for k in range(5)] + [(400, None, None, None, None)]
+    first = rows[1][1].split("\n")[0].split()
+    rows += [(300 + k, " ".join([*first[: 15 * k + 5], f"new{k}", *first[15 * k + 6 :]]), "en", "s1", 1) for k in range(5)] + [(400, None, None, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grams import chunks, counted, mix, shingles
@@ -22,7 +22,8 @@ FLOOR = 0.25
 #: Documents whose frequent shingles are listed at once; frequent lists this long at
 #: most are held by each task (beyond, they are counted by a shuffle).
 LIST_DOCS, HELD = 64, 1_000_000
-#: Rounds in which the bands' groups compare their classes.
+#: Rounds in which the bands' groups compare their classes with a pivot; an exact pass
+#: over all pairs that are left (see ``left_pairs``) follows.
 ROUNDS = 2
 
 
@@ -195,6 +196,51 @@ def _verified(weights: Weights):
     return run
 
 
+def _postings(weights: Weights):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, words, bounds in chunks(batch.column(2)):
+                h, rows, tf = counted(*shingles(words, bounds, SHINGLE))
+                w = weights(h, tf).astype(float)
+                total = np.bincount(rows, w, minlength=len(bounds) - 1)
+                take = pa.array(at + rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(w), pa.array(total[rows])], ["n", "c", "h", "w", "total"])
+
+    return run
+
+
+def left_pairs(rows: DataFrame, classes: DataFrame, texts: DataFrame, weights: Weights, similar: float) -> DataFrame:
+    """(a, b): all pairs of a group and of two classes that may be similar enough.
+
+    Exact: a pair of weights A <= B is similar only if both hold t / (1 + t) * (A + B) in
+    common. Only shingles of two or more classes count for that; in one order of them
+    all, the rarest first, the first common one must be followed (itself included) by
+    that much on both sides. So each text brings its first shingles only, and they meet
+    the classes of a shingle before they meet the texts of those. What many texts have
+    in common stands last, and does not join them unless it is enough by itself.
+    """
+    share, slack = similar / (1 + similar), 1 - 1e-5  # weights are summed in floats
+    r = rows.select("band", "key", "n").join(classes, rows["n"] == classes["node"], "left").select("band", "key", "n", F.coalesce("least", "n").alias("c"))
+    r = materialize(r, "near-rest")
+    live = materialize(r.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band", "key"), "near-live")
+    met = r.join(live, ["band", "key"]).groupBy("n").agg(F.min("c").alias("c"), F.collect_set(F.xxhash64("band", "key")).alias("g"))
+    met = materialize(met, "near-met")
+    own = texts.join(met.select("n", "c"), "n").select("n", "c", "t")
+    own = materialize(own.mapInArrow(_postings(weights), "n long, c long, h long, w double, total double"), "near-postings")
+    often = materialize(own.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("h", "k"), "near-common")
+    rest = F.sum("w").over(Window.partitionBy("n").orderBy(F.desc("k"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0))
+    first = own.join(often, "h").withColumn("rest", rest).filter(F.col("rest") >= F.col("total") * similar * slack)
+    first = materialize(first.select("n", "c", "h", "rest", "total").join(met.select("n", "g"), "n"), "near-first")
+    sides = materialize(first.groupBy("h", "c").agg(F.max("rest").alias("rest1"), F.min("total").alias("total0"), F.max("total").alias("total1")).withColumnRenamed("c", "c2"), "near-sides")
+    may = F.least("rest", "rest1") >= (F.col("total") + F.col("total0")) * share * slack
+    one = first.join(sides, "h").filter(may & (F.col("c") != F.col("c2")) & (F.col("total1") >= F.col("total")))
+    one = materialize(one.select("h", "c2", F.col("n").alias("a"), F.col("rest").alias("rest1"), F.col("total").alias("total1"), F.col("g").alias("g1")), "near-meet")
+    two = first.withColumnRenamed("c", "c2").join(one, ["h", "c2"])
+    enough = F.least("rest", "rest1") >= (F.col("total") + F.col("total1")) * share * slack
+    two = two.filter(enough & (F.col("total1") <= F.col("total")) & (F.col("total1") >= F.col("total") * similar * slack) & F.arrays_overlap("g", "g1"))
+    return two.select(F.greatest("a", "n").alias("a"), F.least("a", "n").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, least) of the connected components of (a, b), by large and small stars."""
 
@@ -234,7 +280,9 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Equal texts collapse first. In a band's group, all texts are compared with one
     pivot (not each with each); in further rounds each group's remaining classes are
     compared with another pivot, so a text that missed one pivot meets others, in this
-    band or another. Nothing is capped. Only texts in candidate pairs are shuffled.
+    band or another. Of the pairs then left (one group, two classes) all are compared
+    that the exact bounds of ``left_pairs`` do not rule out. Nothing is capped. Only
+    texts in groups are shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = F.coalesce(F.col(id_col).cast("long"), F.abs(F.xxhash64(text) % (1 << 62)) + (1 << 62))
@@ -254,25 +302,31 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     grouped = rows.select("n").distinct().hint("merge")
     texts = materialize(src.select("n", "t").join(grouped, "n", "left_semi"), "near-texts")
 
+    def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        return pairs.join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+
     tested = edges = None
     pairs = rows.filter("n <> pivot").select(F.col("n").alias("a"), F.col("pivot").alias("b")).distinct()
-    for k in range(ROUNDS):
+    for k in range(ROUNDS + 1):
         pairs = materialize(pairs, "near-pairs")
         a, b = (texts.select(F.col("n").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
         found = materialize(joined.mapInArrow(_verified(weights), "a long, b long, similarity double").filter(F.col("similarity") >= similar).select("a", "b"), "near-found")
         edges = found if edges is None else edges.unionByName(found)
         classes = materialize(components(edges), "near-classes")
-        if k + 1 == ROUNDS:
+        if k == ROUNDS:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if k + 1 == ROUNDS:
+            pairs = untested(left_pairs(rows, classes, texts, weights, similar), tested)
+            continue
         # of each class in a group one text, against the text of the largest such
         r = rows.join(classes, rows["n"] == classes["node"], "left").select("band", "key", "n", F.coalesce("least", "n").alias("c"))
         r = materialize(r.groupBy("band", "key", "c").agg(F.max("n").alias("n")), "near-rest")
         top = r.groupBy("band", "key").agg(F.max("n").alias("m"), F.count("*").alias("k")).filter("k > 1").drop("k")
         top = materialize(top, "near-pivots")
-        pairs = r.join(top, ["band", "key"]).filter("n <> m").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        pairs = untested(r.join(top, ["band", "key"]).filter("n <> m").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct(), tested)
 
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     links = both.groupBy("a").agg(F.count("*").alias("n_links"))

@@ -246,6 +246,21 @@ def test_near_classes(docs, empty, spark):
     assert sorted((r["doc_id"] is None, r["class_id"] == 4, r["kept"]) for r in got) == [(False, True, True), (True, False, True), (True, True, False)]
 
 
+def test_linked_members_of_a_large_group(spark):
+    """Many texts share a passage at just under 0.8; some pairs of them are near copies."""
+    passage = [f"p{k}" for k in range(300)]
+    say = lambda name, n: [f"{name}x{k}" for k in range(n)]
+    docs = {i: passage + say(f"own{i}", 44) for i in range(20)} | {500 + i: passage + say(f"own{500 + i}", 44) for i in range(20)}
+    docs |= {100 + 2 * j + k: passage + say(f"pair{j}", 26) + say(f"half{j}_{k}", 18) for j in range(16) for k in range(2)}
+    docs |= {1000 + i: say(f"filler{i}", 6) for i in range(260)}
+    bags = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in docs.items()}
+    near = lambda i, j: len(bags[i] & bags[j]) / len(bags[i] | bags[j]) >= 0.8
+    ids = [i for i in docs if i < 1000]
+    assert {(i, j) for i in ids for j in ids if i < j and near(i, j)} == {(100 + 2 * j, 101 + 2 * j) for j in range(16)}
+    rows = near_dedup.near_classes(frame(spark, [(i, " ".join(w), None, None, None) for i, w in docs.items()])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {i: i - 1 if 100 <= i < 132 and i % 2 else i for i in docs}
+
+
 def test_frequent_shingles_are_exact(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LIST_DOCS", 4)
     rows = [("often said by very many documents here" if i % 2 else f"rare words {i} of one text {i}",) for i in range(60)]

@@ -38,9 +38,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it (none, once or twice)."""
-    copies = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.select(COLUMNS).join(copies, "doc_id").filter("copies > 0")
+    """Each row as many times as the mix takes it (none, once or twice).
+
+    Null and repeated ids are rows of their own, each with its own copies.
+    """
+    taken = mix(docs, keep=COLUMNS).filter("copies > 0").select("row.*", "copies")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 

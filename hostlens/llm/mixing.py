@@ -112,9 +112,14 @@ def settle(cells: DataFrame, most: int) -> DataFrame:
     return cells.join(more, ["_s", "size", "_slot"], "left").withColumn("_extra", F.col("_extra") + F.coalesce("_more", F.lit(0))).drop("_more")
 
 
+def _row(keep: list[str] | None, text_col: str) -> list[Column]:
+    return [F.struct(*keep).alias("_row"), F.xxhash64(text_col).alias("_text")] if keep else []
+
+
 def mix(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2
-) -> DataFrame:
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2,
+    keep: list[str] | None = None,
+) -> DataFrame:
     """(id, ``size``, ``source_size``, ``target``, ``copies``, ``taken``) of every row.
 
     ``size`` counts words (null text: 0). Each source's rates solve its token constraint
@@ -123,15 +128,18 @@ def mix(
     passes a half; single copies then make up what is missing of the target (see
     ``settle``). A null source is a source. Null and repeated ids are
     allowed; equal rows are interchangeable. An empty table gives an empty result;
-    other columns are not read.
+    other columns are not read. With ``keep`` each row brings those columns as the
+    struct ``row``: rows of one id, or without, have their own places by their text.
 
     Sizes are counted once. Newton's steps run on counts by (source, size). Running
     sums are taken within blocks of sizes and over blocks, and the documents of one
     source and size are dealt into slots, so no task gets a source whole.
     """
     named = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
-    d = docs.select(F.col(id_col).alias("_id"), named.alias("_s"), words(F.col(text_col)).alias("size"))
-    d = materialize(d.withColumn("_mix", F.xxhash64("_id")).withColumn("_slot", F.pmod("_mix", F.lit(SLOTS)).cast("int")), "mix-sizes")
+    d = docs.select(F.col(id_col).alias("_id"), named.alias("_s"), words(F.col(text_col)).alias("size"), *_row(keep, text_col))
+    mixed = F.when(F.col("_id").isNull(), F.col("_text")).otherwise(F.xxhash64("_id")) if keep else F.xxhash64("_id")
+    d = rows = d.withColumn("_mix", mixed).withColumn("_slot", F.pmod("_mix", F.lit(SLOTS)).cast("int"))
+    d = materialize(d.drop("_row", "_text"), "mix-sizes")
     slots = materialize(d.groupBy("_s", "size", "_slot").agg(F.count("*").alias("n")), "mix-cells")
     cells = slots.groupBy("_s", "size").agg(F.sum("n").alias("n"))
     totals = cells.groupBy("_s").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).withColumn("_null", F.col("_s") == "n")
@@ -152,6 +160,6 @@ def mix(
     c = c.withColumn("_extra", F.expr(f"(_from + _part) div {UNIT} - _from div {UNIT}"))
     c = settle(materialize(c.select("_s", "size", "_slot", "n", "source_size", "target", "_base", "_extra"), "mix-copies"), most).drop("n")
 
-    place = F.row_number().over(Window.partitionBy("_s", "size", "_slot").orderBy("_mix", "_id"))
-    out = d.withColumn("_place", place).join(c, ["_s", "size", "_slot"]).withColumn("copies", (F.col("_base") + (F.col("_place") <= F.col("_extra")).cast("long")).cast("long"))
-    return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    place = F.row_number().over(Window.partitionBy("_s", "size", "_slot").orderBy("_mix", "_id", *(["_text"] if keep else [])))
+    out = (rows if keep else d).withColumn("_place", place).join(c, ["_s", "size", "_slot"]).withColumn("copies", (F.col("_base") + (F.col("_place") <= F.col("_extra")).cast("long")).cast("long"))
+    return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *([F.col("_row").alias("row")] if keep else []))

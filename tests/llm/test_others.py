@@ -158,3 +158,23 @@ def test_pipeline(spark, tmp_path):
     assert not any(300 + k in counts[2] for k in range(5)) and good & counts[1] <= counts[2]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in out} == counts[3] and len(out) >= len(counts[3])
+
+
+def test_mixture_keeps_null_and_repeated_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from hostlens.llm.mixing import mix
+
+    ids = [None if i < 40 else 7 if i < 80 else i for i in range(160)]
+    rows = [(x, " ".join([f"t{i}"] * (i % 9 + 1)), "en", f"s{i % 3}", i) for i, x in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).cache()
+    want = {r["row"]["n_chars"]: r["copies"] for r in mix(docs, keep=corpus_pipeline.COLUMNS).collect()}
+    got = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert len(want) == 160 and any(r["doc_id"] is None for r in got) and any(r["doc_id"] == 7 for r in got)
+    for i in range(160):
+        mine = [tuple(r) for r in got if r["n_chars"] == i]
+        assert mine == [rows[i]] * want[i]
+    targets = {r["source_size"]: r["target"] for r in mix(docs).collect()}
+    for s in range(3):
+        taken = sum(len(r["text"].split()) for r in got if r["source"] == f"s{s}")
+        size = sum(len(t.split()) for _, t, _, x, _ in rows if x == f"s{s}")
+        assert abs(taken - targets[size]) <= 20

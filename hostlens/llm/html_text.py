@@ -27,6 +27,8 @@ DROPPED = frozenset("nav footer aside form button dialog menu head script style
 DROPPED_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|footer|menu|nav|navbar|navigation|newsletter|notice|popup|promo|related|share|sharing|sidebar|social|sponsored|subscribe)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 MAIN = frozenset(("article", "main"))
+#: Inside main elements these can be templates; paragraphs, headings and quotes are the author's.
+CONTAINERS = frozenset("address center details div dl figure header ol section table ul".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.S)
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -94,13 +96,14 @@ def elements(root: Element) -> list[Element]:
 
 
 def hash_subtrees(root: Element) -> list[Element]:
-    """Sets each element's key from its tag, class, id, text and parts; not inside main elements."""
+    """Sets each element's key from its tag, class, id, text and parts.
+
+    What holds main elements is the same whatever is inside them.
+    """
     every = elements(root)
     for e in reversed(every):
-        if e.main:
-            continue
         said = [e.tag, e.attrs.get("class", ""), e.attrs.get("id", "")]
-        said += [" ".join(p.split()) if isinstance(p, str) else f"\1{p.key:x}" for p in e.parts]
+        said += [" ".join(p.split()) if isinstance(p, str) else f"\1{p.key if e.main or not p.main else 0:x}" for p in e.parts]
         e.key = xxhash.xxh3_64_intdigest("\0".join(x for x in said)) - (1 << 63)
     return every
 
@@ -111,11 +114,15 @@ def is_dropped(e: Element) -> bool:
     return e.tag not in ("body", "html", "article", "main") and bool(DROPPED_NAMES.search(f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}")) if e.attrs else False
 
 
+def can_be_template(e: Element) -> bool:
+    return e.tag in CONTAINERS and e.attrs.get("role") != "main" if e.main else e.tag not in ("html", "body")
+
+
 def main_text(root: Element, templates: frozenset[int]) -> str:
     """The text left without dropped elements and templates.
 
-    A page with an article (or main) element consists of these; what recurs inside them
-    is the author's and stays. Other pages consist of all that is left.
+    A page with an article (or main) element consists of these, without the containers
+    inside them that are templates; paragraphs stay. Other pages consist of all that is left.
     """
     tops, todo = [], [root]
     while todo:  # the outermost main elements in page order, outside dropped ones
@@ -131,27 +138,37 @@ def main_text(root: Element, templates: frozenset[int]) -> str:
         e = todo.pop()
         if isinstance(e, str):
             out.append(html_lib.unescape(e) if "&" in e else e)
-        elif not is_dropped(e) and (e.main or e.key not in templates):
+        elif not is_dropped(e):
             gap = "" if e.tag in INLINE else " "
             out.append(gap)
+            if e.key in templates and can_be_template(e):
+                continue
             todo.append(gap)
             todo += e.parts[::-1]
     return " ".join("".join(out).split())
 
 
 def subtree_keys(pages: DataFrame) -> DataFrame:
-    """(_host, _key): each page's distinct subtrees outside its main elements, from (_host, _html)."""
+    """(_host, _key, _in): each page's distinct subtrees, from (_host, _html).
+
+    ``_in`` stands for all that the page's main elements hold where the subtree is inside
+    one, and is null elsewhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys = [], []
+            hosts, keys, inside = [], [], []
             for host, page in zip(batch.column(0), batch.column(1), strict=True):
-                own = {e.key for e in hash_subtrees(parse(page.as_py()))[1:] if not e.main and e.tag not in ("html", "body")}
+                every = hash_subtrees(parse(page.as_py()))
+                tops = [p.key for e in every if not e.main for p in e.parts if p.__class__ is Element and p.main]
+                held = xxhash.xxh3_64_intdigest(repr(tops)) - (1 << 63)
+                own = {(e.key, held if e.main else None) for e in every[1:] if can_be_template(e)}
                 hosts += [host.as_py()] * len(own)
-                keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], ["_host", "_key"])
+                keys += [k for k, _ in own]
+                inside += [i for _, i in own]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(inside, pa.int64())], ["_host", "_key", "_in"])
 
-    return pages.select("_host", "_html").mapInArrow(run, "_host string, _key long")
+    return pages.select("_host", "_html").mapInArrow(run, "_host string, _key long, _in long")
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -166,7 +183,8 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     is broadcast and the pages are not shuffled.
     """
     p = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_and_path(F.col(url_col))[0].alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    held = subtree_keys(p).groupBy("_host", "_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_pages)
+    held = subtree_keys(p).groupBy("_host", "_key", "_in").agg(F.count("*").alias("_n"))
+    held = held.groupBy("_host", "_key").agg(F.sum(F.when(F.col("_in").isNull(), F.col("_n")).otherwise(1)).alias("_n")).filter(F.col("_n") >= min_pages)
     sizes = p.groupBy("_host").agg(F.count("*").alias("_pages"))
     often = held.join(sizes, "_host").filter(F.col("_n") >= F.col("_pages") * min_share)
     templates = materialize(often.groupBy("_host").agg(F.array_sort(F.collect_list("_key")).alias("_keys")), "templates")

@@ -120,6 +120,16 @@ def test_templates_of_a_host_go(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_templates_inside_main_go(spark):
+    box = "<div class='x1'><p>Read our other stories</p></div>"
+    rows = [(i, f"https://a.com/{i}", f"<main><div class='x2'><p>Own {i}</p>{box}<p>Said by many</p></div></main>") for i in range(12)]
+    rows += [(50 + i, f"https://b{i}.com/", f"<main>{box}</main>") for i in range(6)]
+    rows += [(80 + i, f"https://c.com/{i}", "<article><div><p>One article in copies</p></div></article>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own {i} Said by many" for i in range(12)) and all(got[50 + i] == "Read our other stories" for i in range(6))
+    assert all(got[80 + i] == "One article in copies" for i in range(9))
+
+
 def test_given_pages(spark):
     try:
         rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()

@@ -182,6 +182,13 @@ class Coder:
         return ",".join([x[0] for x in got]), "".join([x[1] for x in got]).removeprefix(" ")
 
 
+    def round_trip(self, text: str) -> tuple[str, list[int], str]:
+        """The ids joined by commas, the ids, and what decoding those gives."""
+        csv = self.text(text)[0]
+        ids = list(map(int, csv.split(","))) if csv else []
+        return csv, ids, self.decode(ids)
+
+
 _coders: dict[int, Coder] = {}
 
 
@@ -197,7 +204,8 @@ def coder(pieces: list[tuple[str, float, int]]) -> Coder:
 def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``) of every row, by the model at ``model``.
 
-    With ``with_ids`` also ``ids`` (int array) and ``decoded``. No begin or end ids. A
+    ``decoded`` is what decoding the ids gives. With ``with_ids`` also ``ids`` (int array)
+    and ``decoded``. No begin or end ids. A
     null text counts as empty and has no ids; a null id stays null; rows that repeat are
     each encoded; other columns are not read. The pieces (some 32,000, read by the
     driver) go out with the task; there is no shuffle.
@@ -210,12 +218,12 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
         for batch in batches:
             n, ids_sha, text_sha, ids, texts = [], [], [], [], []
             for t in batch.column(1):
-                csv, decoded = c.text(t.as_py() or "")
-                n.append(csv.count(",") + 1 if csv else 0)
+                csv, own, decoded = c.round_trip(t.as_py() or "")
+                n.append(len(own))
                 ids_sha.append(hashlib.sha256(csv.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    ids.append([int(x) for x in csv.split(",")] if csv else [])
+                    ids.append(own)
                     texts.append(decoded)
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -48,6 +48,15 @@ def test_pairs_meet_as_defined(coder):
             assert coder.meets(a, b) == (coder.merged(a + b) == [a, b])
 
 
+@needs_model
+def test_what_is_decoded_comes_from_the_ids():
+    c = Coder(load_pieces(MODEL))
+    csv, ids, decoded = c.round_trip("two words")
+    assert decoded == "two words" and csv == ",".join(map(str, ids)) and c.round_trip("") == ("", [], "")
+    c.bytes[ids[-1]] = b"?"  # an id that means something else shows
+    assert c.round_trip("two words")[2] == c.decode(ids) != "two words"
+
+
 @needs_model
 def test_encode_documents(spark):
     import sentencepiece

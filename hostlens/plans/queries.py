@@ -19,7 +19,8 @@ from ..session import written
 from .jobs import Reference, build_entries, enrich_browser, enrich_dns
 
 ADAPTER = """
-v_n as (select count(*) as n from {pages}),
+v_e as (
+  select *, event_id % (select count(*) from {pages}) as p1, (event_id * 7 + 3) % (select count(*) from {pages}) as p2, (event_id * 3 + 1) % (select count(*) from {pages}) as p3 from {events}),
 v_hosts as (
   select page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host, regexp_extract(url, '^([a-z]+)://', 1) as scheme from {pages}),
 v_dns as (
@@ -27,8 +28,7 @@ v_dns as (
     case e.event_type when 'purchase' then 'egress' when 'signup' then 'outbound' when 'view' then 'inbound' else 'ingress' end as direction,
     concat('10.0.', cast(floor(e.user_id / 250) as integer), '.', e.user_id % 250) as client_ip, e.user_id,
     h.host as resource, n.host as cname, case when e.event_id % 17 = 0 then 'nxdomain' else 'noerror' end as response_code
-  from {events} e cross join v_n join v_hosts h on h.page_id = e.event_id % v_n.n
-  left join v_hosts n on e.event_id % 5 = 0 and n.page_id = (e.event_id * 7 + 3) % v_n.n),
+  from v_e e join v_hosts h on h.page_id = e.p1 left join v_hosts n on e.event_id % 5 = 0 and n.page_id = e.p2),
 v_list_lines as (
   select page_id, concat('list', page_id % 4) as source, case page_id % 4 when 0 then 'tracking' when 1 then 'malware' when 2 then 'social' else 'madeup' end as folder,
     case page_id % 7 when 0 then host when 1 then concat('0.0.0.0 ', host, ' # note') when 2 then concat('||', host, '^$third-party')
@@ -40,7 +40,7 @@ v_web as (
   select e.event_id, e.ts, e.user_id, h.host, h.url, h.scheme, case cast(floor(e.event_id / 3) as bigint) % 4 when 0 then 'safari' when 1 then 'chrome' when 2 then 'firefox' else 'edge' end as browser,
     case when e.event_id % 2 = 0 then '-0400' else '+05:30' end as zone,
     concat('10.0.', cast(floor(e.user_id / 250) as integer), '.', e.user_id % 250) as address
-  from {events} e cross join v_n join v_hosts h on h.page_id = (e.event_id * 3 + 1) % v_n.n where e.event_id % 3 = 0),
+  from v_e e join v_hosts h on h.page_id = e.p3 where e.event_id % 3 = 0),
 v_seen as (
   select e.user_id, e.ts, e.event_id, concat('10.0.', cast(floor(e.user_id / 250) as integer), '.', e.user_id % 250) as client,
     case e.user_id % 5 when 0 then 'nxdomain' when 1 then 'Timeout' else 'ok' end as status from {events} e where e.event_id % 4 = 1)

@@ -47,8 +47,8 @@ def reverse_labels(host: Column) -> Column:
 
 def ancestors(host: Column) -> Column:
     """The host and all its parents, from the host outward."""
-    p = labels(host)
-    return F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), "."))
+    whole = lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), "."))
+    return F.get(F.transform(F.array(labels(host)), whole), F.lit(0))  # in a list of one, so that the host is split once
 
 
 def probes(host: Column) -> Column:

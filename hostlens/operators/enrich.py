@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ip import resolved_addresses, routable_addresses
 from ..functions.text import direction, normalize_host, or_null, response_code, short_hostname, tld, ws_strip
-from .sieve import browser_host
-
 
 def _low(c: str) -> Column:
     return F.lower(ws_strip(F.col(c)))
@@ -27,12 +25,11 @@ def dns_searches(events: DataFrame, *, strict: bool = False) -> DataFrame:
     return events.withColumn("searches", F.array_compact(terms)).withColumn("host", F.get("searches", F.lit(0)))
 
 
-def browser_searches(events: DataFrame, domains: DataFrame) -> DataFrame:
-    """Adds ``searches``; ``host`` becomes the normalised one. ``domains``: (host, registrable_domain)."""
-    e = events.withColumn("host", browser_host(F.col("host"))).join(domains.select("host", F.col("registrable_domain").alias("_d")), "host", "left")
-    h, d = F.col("host"), F.when(F.col("_d") != F.col("host"), F.col("_d"))
+def browser_searches(events: DataFrame) -> DataFrame:
+    """Adds ``searches`` to events with their normalised ``host`` and ``registrable_domain``."""
+    h, d = F.col("host"), F.when(F.col("registrable_domain") != F.col("host"), F.col("registrable_domain"))
     terms = F.array(h, F.concat(F.lit("*."), h), F.concat(F.lit("*."), tld(h)), d, F.concat(F.lit("*."), d))
-    return e.withColumn("searches", F.array_compact(terms)).drop("_d")
+    return events.withColumn("searches", F.array_compact(terms))
 
 
 def dns_request(events: DataFrame) -> DataFrame:
@@ -81,11 +78,6 @@ def browser_times(events: DataFrame) -> DataFrame:
     return e.withColumn("event_time_local", local).drop("_t", "_z")
 
 
-def domain_fields(events: DataFrame, domains: DataFrame) -> DataFrame:
-    """Adds ``registrable_domain`` and ``psl_fallback`` by ``host``."""
-    return events.join(domains.select("host", "registrable_domain", "psl_fallback"), "host", "left")
-
-
 #: Fields of a document, beside those that every document has.
 DNS_FIELDS = ["client", "client_hosts", "client_hosts_short", "ptr", "ptr_status"]
 BROWSER_FIELDS = ["event_time_utc", "event_time_local", "url", "client_hostname", "client_hostname_short", "client_user", "client_platform", "client_browser", "client_ips"]

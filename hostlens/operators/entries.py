@@ -24,12 +24,18 @@ def cleaned_host(line: Column) -> Column:
     return F.when(is_rule & valid_host(y), y)
 
 
+def list_key(df: DataFrame) -> list[str]:
+    """The columns that name a list file. ``source`` is its name; folders share names."""
+    return [c for c in ("folder", "source") if c in df.columns]
+
+
 def clean_lines(lines: DataFrame, tlds: DataFrame | None = None) -> DataFrame:
-    """(source, host) once each from (source, line); with ``tlds``, only known ones."""
-    out = lines.select("source", cleaned_host(F.col("line")).alias("host")).filter("host is not null")
+    """(folder, source, host) once each from (folder, source, line); with ``tlds``, only
+    known ones. Lines without a folder are told apart by ``source`` alone."""
+    out = lines.select(*list_key(lines), cleaned_host(F.col("line")).alias("host")).filter("host is not null")
     if tlds is not None:
         out = out.join(F.broadcast(tlds.select("tld").distinct()), tld(F.col("host")) == F.col("tld"), "left_semi")  # a few thousand rows
-    return out.dropDuplicates(["source", "host"])
+    return out.dropDuplicates([*list_key(lines), "host"])
 
 
 def curated_lines(lines: DataFrame) -> DataFrame:
@@ -39,19 +45,21 @@ def curated_lines(lines: DataFrame) -> DataFrame:
 
 
 def keep_previous(new: DataFrame, previous: DataFrame) -> DataFrame:
-    """Rows by ``source``; a source without new rows keeps its old ones."""
-    return new.unionByName(previous.join(new.select("source").distinct(), "source", "left_anti"))
+    """Rows by list file; one without new rows keeps its old ones."""
+    key = list_key(new)
+    return new.unionByName(previous.join(new.select(*key).distinct(), key, "left_anti").select(*new.columns))
 
 
 def with_categories(hosts: DataFrame, configured: DataFrame) -> DataFrame:
-    """(domain, category, source) from (source, folder, host) and (source, categories).
+    """(domain, category, source, folder) from (source, folder, host) and (source, categories).
 
-    A source that isn't configured, or has no categories, has its folder's name.
+    Configured categories go by the file's name, whatever its folder. A file that isn't
+    configured, or has no categories, has the name of its own folder.
     """
     c = configured.select("source", F.col("categories").alias("_c"))
     joined = hosts.filter("host is not null").join(F.broadcast(c), "source", "left")  # one row a list file
     cats = F.when(F.size("_c") > 0, F.col("_c")).otherwise(F.array("folder"))
-    return joined.select(F.col("host").alias("domain"), F.explode(cats).alias("category"), "source")
+    return joined.select(F.col("host").alias("domain"), F.explode(cats).alias("category"), "source", "folder")
 
 
 def merge_entries(rows: DataFrame) -> DataFrame:
@@ -103,8 +111,8 @@ def encoded(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def build_statistics(rows: DataFrame, rejects: DataFrame) -> DataFrame:
-    """One row from (domain, category, source) and lines with a null host."""
-    a = rows.agg(F.countDistinct("domain").alias("domains"), F.countDistinct("source").alias("files"), F.countDistinct("category").alias("categories"))
+    """One row from (domain, category, source, folder) and lines with a null host."""
+    a = rows.agg(F.countDistinct("domain").alias("domains"), F.countDistinct(*list_key(rows)).alias("files"), F.countDistinct("category").alias("categories"))
     return a.crossJoin(rejects.agg(F.count_if(F.col("host").isNull()).alias("skipped")))  # one row by one row
 
 

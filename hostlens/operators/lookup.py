@@ -5,12 +5,19 @@ All look-ups take distinct hosts; events repeat few hosts many times.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import probes
 
 
+def no_texts() -> Column:
+    """An empty list of text."""
+    return F.array().cast("array<string>")
+
+
 def ancestor_lookup(hosts: DataFrame, entries: DataFrame) -> DataFrame:
     """(host, contexts, sources, matched_on) of each distinct ``host`` that matches.
 
@@ -32,12 +39,15 @@ def ancestor_lookup(hosts: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def exact_lookup(events: DataFrame, entries: DataFrame, *, key: str = "event_id") -> DataFrame:
-    """(key, contexts): categories of the ``searches`` themselves, in their order, once each."""
+def exact_lookup(events: DataFrame, entries: DataFrame, *, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``events`` with ``contexts``: categories of their ``searches``, in that order, once each.
+
+    Distinct arrays are looked up; events join them once, with all their columns.
+    """
     terms = events.select("searches").distinct().withColumn("_s", F.col("searches"))
     hits = terms.select("searches", F.posexplode("_s").alias("pos", "domain")).join(entries.select("domain", "categories"), "domain")
     found = hits.groupBy("searches").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "categories"))), lambda x: x["categories"]))).alias("contexts"))
-    return events.select(key, "searches").join(found, "searches", "left").select(key, F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))
+    return events.join(cut(found), "searches", "left").withColumn("contexts", F.coalesce("contexts", no_texts()))
 
 
 def chain_lookup(chains: DataFrame, found: DataFrame) -> DataFrame:
@@ -54,45 +64,68 @@ def chain_lookup(chains: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def with_chains(events: DataFrame, found: DataFrame | None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Adds the ``cname_*`` columns. Only events with a chain are joined (most have none, and
+    would all meet as one key); without ``found`` or a chain they are null."""
+    kinds = {"cname_contexts": "array<string>", "cname_sources": "array<string>", "cname_matched_on": "array<string>"}
+    nulls = {c: F.lit(None).cast(t) for c, t in kinds.items()}
+    if found is None or "chain" not in events.columns:
+        return events.withColumns(nulls)
+    some = F.coalesce(F.size("chain") > 0, F.lit(False))
+    c = cut(chain_lookup(events, found))
+    return events.filter(some).join(c, "chain", "left").unionByName(events.filter(~some).withColumns(nulls))
+
+
 def hosts_of(events: DataFrame) -> DataFrame:
-    """Distinct hosts of (host, chain) events: questions and chain targets in one pass."""
-    return events.select(F.explode(F.concat(F.array("host"), F.coalesce("chain", F.array().cast("array<string>")))).alias("host")).filter("host is not null").distinct()
+    """Distinct hosts of events: questions and (where there are) chain targets in one pass."""
+    if "chain" not in events.columns:
+        return events.select("host").filter("host is not null").distinct()
+    return events.select(F.explode(F.concat(F.array("host"), F.coalesce("chain", no_texts()))).alias("host")).filter("host is not null").distinct()
 
 
-def resolve(events: DataFrame, entries: DataFrame | None, *, mode: str = "ancestor", exact_entries: DataFrame | None = None, built_at: int | None = None) -> DataFrame:
-    """Adds contexts to events with ``event_id``, ``host``, ``chain`` and ``searches``.
+def resolve(
+    events: DataFrame, entries: DataFrame | None, *, mode: str = "ancestor", exact_entries: DataFrame | None = None, built_at: int | None = None, found: DataFrame | None = None,
+    cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
+    """Adds contexts to events with ``host``, ``searches`` and (perhaps) ``chain``.
 
     ``ancestor``: question and chain are looked up and merged. ``exact``: the searches
     only, by exact key; chains are recorded. ``compare``: exact decides, ancestors are
     noted beside it (``contexts_index``, ``context_match``), chains are not merged.
-    Without ``entries``, ``exact`` with an ``index_error``.
+    Without ``entries``, ``exact`` with an ``index_error``. ``found`` is the
+    ``ancestor_lookup`` of all hosts, where it is known; events may bring their host's
+    row of it as the struct ``_found``, and the ``cname_*`` columns (``with_chains``).
     """
     if mode not in ("ancestor", "exact", "compare"):
         raise ValueError(mode)
-    none = F.array().cast("array<string>")
+    none = no_texts()
     error = None
     if entries is None and mode != "exact":
         mode, error = "exact", "no index"
     out = events
     if mode in ("exact", "compare"):
-        out = out.join(exact_lookup(events, exact_entries if exact_entries is not None else entries), "event_id", "left")
+        known = exact_entries if exact_entries is not None else entries
+        out = exact_lookup(out, known, cut=cut) if known is not None else out.withColumn("contexts", none)
     if mode in ("ancestor", "compare"):
-        found = ancestor_lookup(hosts_of(events), entries)
-        f = found if mode == "ancestor" else found.select("host", F.col("contexts").alias("contexts_index"))
-        out = out.join(f, "host", "left").join(chain_lookup(events, found), "chain", "left")
+        if found is None:
+            found = cut(ancestor_lookup(hosts_of(events), entries))
+        if "cname_contexts" not in out.columns:
+            out = with_chains(out, found, cut)
+        if "_found" not in out.columns:
+            out = out.join(found.select("host", F.struct("contexts", "sources", "matched_on").alias("_found")), "host", "left")
         out = out.withColumn("index_built_at", F.lit(built_at).cast("long"))
     if mode == "compare":
-        out = out.withColumn("contexts_index", F.coalesce("contexts_index", none))
-        return out.withColumn("context_match", F.array_sort("contexts") == F.array_sort("contexts_index")).withColumn("match_source", _source(F.col("contexts"), none)).drop("cname_sources")
+        out = out.withColumn("contexts_index", F.coalesce("_found.contexts", none)).withColumn("sources", F.coalesce("_found.sources", none)).withColumn("matched_on", F.coalesce("_found.matched_on", none))
+        return out.withColumn("context_match", F.array_sort("contexts") == F.array_sort("contexts_index")).withColumn("match_source", _source(F.col("contexts"), none)).drop("cname_sources", "_found")
     if mode == "exact":
-        return out.withColumn("match_source", _source(F.col("contexts"), none)).withColumn("index_error", F.lit(error).cast("string"))
-    q, c = F.coalesce("contexts", none), F.coalesce("cname_contexts", none)
+        return out.withColumn("match_source", _source(F.col("contexts"), none)).withColumn("index_error", F.lit(error).cast("string")).drop("cname_sources", "_found")
+    q, c = F.coalesce("_found.contexts", none), F.coalesce("cname_contexts", none)
     return (
         out.withColumn("match_source", _source(q, c))
         .withColumn("contexts", F.array_sort(F.array_union(q, c)))
-        .withColumn("sources", F.array_sort(F.array_union(F.coalesce("sources", none), F.coalesce("cname_sources", none))))
-        .withColumn("matched_on", F.coalesce("matched_on", none))
-        .drop("cname_sources")
+        .withColumn("sources", F.array_sort(F.array_union(F.coalesce("_found.sources", none), F.coalesce("cname_sources", none))))
+        .withColumn("matched_on", F.coalesce("_found.matched_on", none))
+        .drop("cname_sources", "_found")
     )
 
 

@@ -13,33 +13,35 @@ TTL_SECONDS, MAX_CLIENTS = 900, 20_000
 REUSABLE = ("ok", "nxdomain", "bad_client_address")
 
 
-def with_ptr(events: DataFrame, observations: DataFrame, *, ttl: int = TTL_SECONDS, key: str = "event_id") -> DataFrame:
+def with_ptr(events: DataFrame, observations: DataFrame, *, ttl: int = TTL_SECONDS) -> DataFrame:
     """Adds ``client_hosts``, ``client_hosts_short``, ``ptr``, ``ptr_status``.
 
-    ``events`` has the key, ``client`` and ``ts``; ``observations`` client, observed_at,
+    ``events`` has ``client`` and ``ts``; ``observations`` client, observed_at,
     hosts, ptr, status. The latest usable observation holds from its time until ``ttl``
     seconds later, that moment not included. Without a client ``skipped``, without an
     observation ``not_observed``.
 
+    Of observations of one client at one time the greatest (status, ptr, hosts) counts.
+
     Clients behind one address are hot, so rows are cut into slices of ``ttl`` seconds
     and each observation goes to its own and the next slice; a window holds one client's
-    slice.
+    slice. Events go through it with all their columns, and are shuffled once.
     """
     none = F.array().cast("array<string>")
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     span = ttl * 1_000_000
-    o = observations.filter(F.col("status").isin(*REUSABLE)).select("client", at("observed_at").alias("_t"), F.struct(F.col("observed_at").alias("at"), "hosts", "ptr", "status").alias("_o"))
+    o = observations.filter(F.col("status").isin(*REUSABLE)).select("client", at("observed_at").alias("_t"), F.struct(F.col("observed_at").alias("at"), "status", "ptr", "hosts").alias("_o"))
     o = o.withColumn("_s", F.explode(F.array(F.expr(f"_t div {span}"), F.expr(f"_t div {span} + 1"))))
-    e = events.filter("client is not null").select("client", at("ts").alias("_t"), F.col(key).alias("_k")).withColumn("_s", F.expr(f"_t div {span}"))
-    rows = o.select("client", "_s", "_t", F.lit(0).alias("_kind"), "_o", F.lit(None).cast(e.schema["_k"].dataType).alias("_k"))
+    e = events.filter("client is not null").select("client", at("ts").alias("_t"), F.struct(*(f"`{c}`" for c in events.columns)).alias("_e")).withColumn("_s", F.expr(f"_t div {span}"))
+    rows = o.select("client", "_s", "_t", F.lit(0).alias("_kind"), "_o", F.lit(None).cast(e.schema["_e"].dataType).alias("_e"))
     rows = rows.unionByName(e.withColumn("_kind", F.lit(1)).withColumn("_o", F.lit(None).cast(o.schema["_o"].dataType)))
-    w = Window.partitionBy("client", "_s").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("client", "_s").orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = rows.withColumn("_last", F.last("_o", ignorenulls=True).over(w)).filter("_kind = 1")
-    last = last.withColumn("_last", F.when(F.col("_t") < at("_last.at") + span, F.col("_last"))).select("_k", "_last")
-    out = events.join(last, events[key] == last["_k"], "left")
+    last = last.select("_e.*", F.when(F.col("_t") < at("_last.at") + span, F.col("_last")).alias("_last"))
     hosts = F.coalesce("_last.hosts", none)
-    status = F.when(F.col("client").isNull(), "skipped").otherwise(F.coalesce("_last.status", F.lit("not_observed")))
-    return out.select(events["*"], hosts.alias("client_hosts"), short_hostnames(hosts).alias("client_hosts_short"), F.col("_last.ptr").alias("ptr"), status.alias("ptr_status"))
+    status = F.coalesce("_last.status", F.lit("not_observed"))
+    known = last.select(*(f"`{c}`" for c in events.columns), hosts.alias("client_hosts"), short_hostnames(hosts).alias("client_hosts_short"), F.col("_last.ptr").alias("ptr"), status.alias("ptr_status"))
+    return known.unionByName(without_ptr(events.filter("client is null")))
 
 
 def without_ptr(events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,25 +61,45 @@ def histogram(events: DataFrame, *, width: str = "1 hour", time: str = "ts") ->
     return w.select(F.col("_w.start").alias("start"), "events")
 
 
-def client_identity_table(browser: DataFrame, dns: DataFrame, *, within_seconds: int = 3600) -> DataFrame:
+def client_identity_table(browser: DataFrame, dns: DataFrame, *, within_seconds: int = 3600, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(event_id, client, client_user, by, candidates) of DNS events' likely users.
 
-    By address: the browser event nearest in time within ``within_seconds`` that had the
-    client's address. Time slices keep the join bounded: an event meets its own, the
-    last and the next slice. Short names are not unique, so matches by name say how many
-    identities share it.
+    By address: the browser event nearest in time (of equals the least user and hostname)
+    within ``within_seconds`` that had the client's address; ``candidates`` counts the
+    identities that had it within that time. Short names are not unique, so matches by
+    name, for the other events, say how many identities share it.
+
+    No event meets all others of its address. Time is cut into slices of that length. In
+    a slice each identity is summed up as the at most two spans in which it counts, and
+    one pass in the order of time carries their number, and the nearest before and after.
     """
     span = within_seconds
     sec = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    b = browser.select(F.explode("client_ips").alias("client"), "client_user", "client_hostname", sec("ts").alias("_bt"))
-    b = b.withColumn("_s", F.explode(F.array(*(F.expr(f"_bt div {span} + {k}") for k in (-1, 0, 1)))))
-    d = dns.select("event_id", "client", sec("ts").alias("_dt"), "client_hosts_short").withColumn("_s", F.expr(f"_dt div {span}"))
-    near = d.join(b, ["client", "_s"]).filter(F.abs(F.col("_dt") - F.col("_bt")) <= span)
-    pick = F.min(F.struct(F.abs(F.col("_dt") - F.col("_bt")).alias("gap"), "client_user", "client_hostname"))
-    n = F.countDistinct("client_user", "client_hostname")
-    by_ip = near.groupBy("event_id", "client").agg(pick.alias("_p"), n.alias("candidates")).select("event_id", "client", "_p.client_user", F.lit("address").alias("by"), "candidates")
-    names = browser.filter("client_hostname_short is not null").groupBy(F.col("client_hostname_short").alias("_n")).agg(F.min("client_user").alias("client_user"), F.countDistinct("client_user", "client_hostname").alias("candidates"))
-    rest = d.join(by_ip.select("event_id"), "event_id", "left_anti").select("event_id", "client", F.explode("client_hosts_short").alias("_n")).join(names, "_n")
+    who = F.struct("client_user", "client_hostname")
+    seen = browser.select(F.explode(F.array_distinct("client_ips")).alias("client"), who.alias("_who"), sec("ts").alias("_t"))
+    seen = seen.withColumn("_from", F.expr(f"_t div {span}")).withColumn("_s", F.explode(F.array(*(F.col("_from") + k for k in (-1, 0, 1)))))
+    begin, end = F.col("_s") * span, (F.col("_s") + 1) * span - 1
+    one = seen.groupBy("client", "_s", "_who").agg(
+        F.max(F.col("_from") == F.col("_s")).alias("_in"), F.max(F.when(F.col("_from") < F.col("_s"), F.col("_t"))).alias("_left"), F.min(F.when(F.col("_from") > F.col("_s"), F.col("_t"))).alias("_right")
+    )
+    left, right = F.col("_left") + span, F.col("_right") - span
+    whole = F.col("_in") | F.coalesce(left >= right - 1, F.lit(False))
+    part = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    spans = F.when(whole, F.array(part(begin, end))).otherwise(F.array_compact(F.array(F.when(left.isNotNull(), part(begin, left)), F.when(right.isNotNull(), part(right, end)))))
+    spans = one.select("client", "_s", F.explode(spans).alias("_p"))
+    edges = spans.select("client", "_s", F.inline(F.array(F.struct(F.col("_p.x").alias("_t"), F.lit(0).alias("_kind"), F.lit(1).alias("_n")), F.struct(F.col("_p.y").alias("_t"), F.lit(2).alias("_kind"), F.lit(-1).alias("_n")))))
+    edges = edges.groupBy("client", "_s", "_t", "_kind").agg(F.sum("_n").alias("_n"))
+    near = seen.groupBy("client", "_s", "_t").agg(F.min("_who").alias("_who")).withColumn("_kind", F.lit(0))
+    d = dns.select("event_id", "client", sec("ts").alias("_t"), "client_hosts_short").withColumn("_s", F.expr(f"_t div {span}")).withColumn("_kind", F.lit(1))
+    rows = edges.unionByName(near, allowMissingColumns=True).unionByName(d, allowMissingColumns=True).withColumn("_at", F.when(F.col("_who").isNotNull(), F.struct("_t", "_who")))
+    w = Window.partitionBy("client", "_s").orderBy("_t", "_kind")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("candidates", F.sum("_n").over(back)).withColumn("_b", F.last("_at", ignorenulls=True).over(back)).withColumn("_a", F.first("_at", ignorenulls=True).over(ahead)).filter("_kind = 1")
+    gap = lambda c: F.when(F.abs(F.col("_t") - F.col(f"{c}._t")) <= span, F.struct(F.abs(F.col("_t") - F.col(f"{c}._t")).alias("gap"), F.col(f"{c}._who").alias("who")))
+    rows = cut(rows.select("event_id", "client", "client_hosts_short", "candidates", F.least(gap("_b"), gap("_a")).alias("_p")))
+    by_ip = rows.filter("_p is not null").select("event_id", "client", F.col("_p.who.client_user").alias("client_user"), F.lit("address").alias("by"), F.col("candidates").cast("long").alias("candidates"))
+    names = browser.filter("client_hostname_short is not null").groupBy(F.col("client_hostname_short").alias("_n")).agg(F.min("client_user").alias("client_user"), F.countDistinct(who).alias("candidates"))
+    rest = rows.filter("_p is null").select("event_id", "client", F.explode("client_hosts_short").alias("_n")).join(cut(names), "_n")
     by_name = rest.groupBy("event_id", "client").agg(F.min("client_user").alias("client_user"), F.sum("candidates").alias("candidates")).select("event_id", "client", "client_user", F.lit("name").alias("by"), "candidates")
     return by_ip.unionByName(by_name)
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .entries import usable
+
 DAEMON, INFO = 3, 6  # fixed values: syslog facility and level
 
 
@@ -26,26 +30,70 @@ def syslog_lines(docs: DataFrame, *, level: int = INFO, facility: int = DAEMON)
     return docs.select(F.concat(F.lit(f"<{level + facility * 8}>"), F.to_json(F.struct(*(f"`{c}`" for c in docs.columns)))).alias("value"))
 
 
+def checksum_columns() -> list[Column]:
+    """``rows`` and ``checksum``, an aggregate that doesn't depend on order (60 bits of MD5)."""
+    row = F.concat_ws("\t", "domain", F.array_join("categories", "|"), F.array_join("sources", "|"))
+    sums = F.bit_xor(F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long"))
+    return [F.count("*").alias("rows"), F.coalesce(sums, F.lit(0)).alias("checksum")]
+
+
 def checksum(entries: DataFrame) -> DataFrame:
-    """One row (``rows``, ``checksum``) that doesn't depend on order."""
-    return entries.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64("domain", F.array_join("categories", "|"), F.array_join("sources", "|"))), F.lit(0)).alias("checksum"))
+    """One row (``rows``, ``checksum``)."""
+    return entries.agg(*checksum_columns())
 
 
-def publish(entries: DataFrame, root: str, *, built_at: int | None = None) -> int:
-    """Writes a generation beside the others, checks it, then lets the manifest name it."""
+def publish(entries: DataFrame, root: str, *, built_at: int | None = None, needed: Sequence[str] = (), least: int = 0, keep: int = 2) -> int:
+    """Writes a generation beside the others, checks it, then lets the manifest name it.
+
+    Rows are summed up while they are written and again as they are read back; where the
+    two differ, or the generation fails the gate (over ``least`` rows, and all ``needed``
+    domains), it is refused and the published one stays. The manifest only grows: its
+    newest row counts, and comes with the commit of one file, so readers always meet
+    one. Of the generations ``keep`` stay, for readers that are under way; older ones
+    and unpublished ones before this are removed.
+    """
     spark = entries.sparkSession
     built_at = int(time.time()) if built_at is None else built_at
-    entries.write.mode("overwrite").parquet(f"{root}/generation={built_at}")
-    found = checksum(spark.read.parquet(f"{root}/generation={built_at}"))
-    found.select(F.lit(built_at).cast("long").alias("built_at"), "rows", "checksum").coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest")
+    path = f"{root}/generation={built_at}"
+    if (was := manifest(spark, root)) and was["built_at"] >= built_at:
+        raise ValueError(f"{root}: generation {was['built_at']} is published; {built_at} is not newer")
+    given = Observation()
+    entries.observe(given, *checksum_columns()).write.mode("overwrite").parquet(path)
+    stored = spark.read.schema(entries.schema).parquet(path)
+    found = checksum(stored).first()
+    if (found["rows"], found["checksum"]) != (given.get["rows"], given.get["checksum"]):
+        raise ValueError(f"{path}: what was written is not what was given")
+    if not usable(stored, "domain", list(needed), least).first()["usable"]:
+        raise ValueError(f"{path}: not usable: {found['rows']} rows")
+    row = spark.createDataFrame([(built_at, found["rows"], found["checksum"])], "built_at long, rows long, checksum long")
+    row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    for old in generations(spark, root)[:-keep] if keep else []:
+        remove(spark, f"{root}/generation={old}")
     return built_at
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def generations(spark: SparkSession, root: str) -> list[int]:
+    """All that are stored, old ones first."""
+    p, fs = _folder(spark, root)
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.removeprefix("generation=")) for n in names if n.startswith("generation="))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _folder(spark, path)
+    fs.delete(p, True)
+
+
 def manifest(spark: SparkSession, root: str) -> dict | None:
-    """The one row; null before anything was published."""
+    """The newest row; null before anything was published."""
     try:
-        rows = spark.read.parquet(f"{root}/manifest").limit(1).collect()
-    except Exception as e:
+        rows = spark.read.parquet(f"{root}/manifest").orderBy(F.desc("built_at")).limit(1).collect()
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None

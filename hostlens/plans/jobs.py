@@ -30,9 +30,7 @@ class Reference:
 
 def build_entries(lines: DataFrame, configured: DataFrame, ignorelist: DataFrame, tlds: DataFrame | None = None) -> DataFrame:
     """(domain, categories, sources) from (source, folder, line), in the order of their bytes."""
-    hosts = ent.clean_lines(lines, tlds)
-    folders = lines.select("source", "folder").distinct()
-    rows = ent.with_categories(hosts.join(F.broadcast(folders), "source"), configured)  # one row a list file
+    rows = ent.with_categories(ent.clean_lines(lines, tlds), configured)
     return ent.sorted_entries(ent.apply_ignorelist(ent.merge_entries(rows), ignorelist))
 
 
@@ -40,29 +38,46 @@ def lazily(df: DataFrame) -> DataFrame:
     return df
 
 
-def _judged(events: DataFrame, ref: Reference, mode: str) -> DataFrame:
+def host_facts(events: DataFrame, ref: Reference, mode: str) -> tuple[DataFrame, DataFrame | None]:
+    """All that is known of each host of the events, one row a host: the domain fields and
+    (``_found``) what the entries say; and the latter alone, for the chains."""
+    hosts = lookup.hosts_of(events)
+    domains = registrable_domains(hosts, ref.rules)
+    if ref.entries is None or mode == "exact":
+        return domains, None
+    found = lookup.ancestor_lookup(hosts, ref.entries)
+    packed = found.select("host", F.struct("contexts", "sources", "matched_on").alias("_found"))
+    return domains.join(packed, "host", "left"), found
+
+
+def _judged(events: DataFrame, ref: Reference, mode: str, found: DataFrame | None, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     spark = events.sparkSession
-    looked = lookup.resolve(events, ref.entries, mode=mode, exact_entries=ref.exact_entries, built_at=ref.built_at)
+    looked = lookup.resolve(events, ref.entries, mode=mode, exact_entries=ref.exact_entries, built_at=ref.built_at, found=found, cut=cut)
     return with_facets(looked, ref.taxonomy or taxonomy(spark), ref.severities or severities(spark))
 
 
 def enrich_dns(events: DataFrame, ref: Reference, *, mode: str = "ancestor", drop_errors: bool = True, drop_replies: bool = True, cut: Callable[[DataFrame], DataFrame] = lazily) -> DataFrame:
     """Typed DNS events (with ``event_id`` and ``ts``) to enriched ones; dropped events go.
 
-    What the sieve keeps is read several times (hosts, chains, the events themselves);
-    ``cut`` may write it once (``session.written``).
+    What the sieve keeps is read several times (hosts, chains, the events themselves), and
+    hot hosts meet the facts of their host in one join; ``cut`` may write both sides once
+    (``session.written``), so that Spark can split such a key.
     """
     e = sieve.sieve_dns(events, ref.ignore, drop_errors=drop_errors, drop_replies=drop_replies).filter("drop_reason is null")
     e = enrich.dns_answers(enrich.cname_chain(enrich.dns_request(enrich.dns_searches(e)))).filter(F.size("searches") > 0)
     e = cut(e)
-    e = enrich.domain_fields(_judged(e, ref, mode), registrable_domains(lookup.hosts_of(e), ref.rules))  # the hosts that were looked up
+    facts, found = host_facts(e, ref, mode)
+    found = found if found is None else cut(found)
+    e = lookup.with_chains(e, found, cut).join(cut(facts.drop("public_suffix")), "host", "left")
+    e = _judged(e, ref, mode, found, cut)
     return ptr.without_ptr(e) if ref.observations is None else ptr.with_ptr(e, ref.observations)
 
 
 def enrich_browser(events: DataFrame, ref: Reference, *, mode: str = "ancestor", cut: Callable[[DataFrame], DataFrame] = lazily) -> DataFrame:
     """Typed browser events to enriched ones."""
-    e = sieve.sieve_browser(events, ref.ignore).filter("drop_reason is null").withColumn("host", sieve.browser_host(F.col("host"))).withColumn("chain", F.array().cast("array<string>"))
+    e = sieve.sieve_browser(events, ref.ignore).filter("drop_reason is null").withColumn("host", sieve.browser_host(F.col("host")))
     e = cut(enrich.client_identity(enrich.browser_times(e)))
-    domains = registrable_domains(lookup.hosts_of(e), ref.rules)
-    e = enrich.browser_searches(e, domains).withColumn("request", F.col("scheme"))
-    return enrich.domain_fields(_judged(e, ref, mode), domains)
+    facts, found = host_facts(e, ref, mode)
+    e = e.join(cut(facts.drop("public_suffix")), "host", "left")
+    e = enrich.browser_searches(e).withColumn("request", F.col("scheme"))
+    return _judged(e, ref, mode, found, cut)  # there are no chains

@@ -6,6 +6,7 @@ events, in SQL that both engines run.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,10 @@ from ..functions import ip, text
 from ..operators import enrich, entries as ent, lookup, ptr, reports, sieve, sinks
 from ..operators.suffix import registrable_domains
 from ..operators.taxonomy import severities, severity_rows, taxonomy, taxonomy_rows, with_facets
-from ..session import written
+from ..session import shared_dir, written
+from ..sources import lists
+from ..sources.events import parse
+from ..streaming import consumer
 from .jobs import Reference, build_entries, enrich_browser, enrich_dns
 
 ADAPTER = """
@@ -27,10 +31,10 @@ v_dns as (
   select e.event_id, e.ts, case when e.event_type = 'error' then 'Error' else 'OK' end as status,
     case e.event_type when 'purchase' then 'egress' when 'signup' then 'outbound' when 'view' then 'inbound' else 'ingress' end as direction,
     concat('10.0.', cast(floor(e.user_id / 250) as integer), '.', e.user_id % 250) as client_ip, e.user_id,
-    h.host as resource, n.host as cname, case when e.event_id % 17 = 0 then 'nxdomain' else 'noerror' end as response_code
+    case when e.event_id % 23 = 0 then concat('w', e.event_id % 3, '.uncategorised.info') else h.host end as resource, n.host as cname, case when e.event_id % 17 = 0 then 'nxdomain' else 'noerror' end as response_code
   from v_e e join v_hosts h on h.page_id = e.p1 left join v_hosts n on e.event_id % 5 = 0 and n.page_id = e.p2),
 v_list_lines as (
-  select page_id, concat('list', page_id % 4) as source, case page_id % 4 when 0 then 'tracking' when 1 then 'malware' when 2 then 'social' else 'madeup' end as folder,
+  select page_id, concat('list', page_id % 4) as source, case page_id % 5 when 0 then 'tracking' when 1 then 'malware' when 2 then 'social' when 3 then 'madeup' else 'news' end as folder,
     case page_id % 7 when 0 then host when 1 then concat('0.0.0.0 ', host, ' # note') when 2 then concat('||', host, '^$third-party')
       when 3 then concat('*.', regexp_extract(host, '([^.]+[.][^.]+)$', 1)) when 4 then concat('# ', host) when 5 then concat('@@||', host, '^')
       else concat('::1 ', upper(host), '.') end as line from v_hosts),
@@ -39,7 +43,7 @@ v_ignorelist as (
 v_web as (
   select e.event_id, e.ts, e.user_id, h.host, h.url, h.scheme, case cast(floor(e.event_id / 3) as bigint) % 4 when 0 then 'safari' when 1 then 'chrome' when 2 then 'firefox' else 'edge' end as browser,
     case when e.event_id % 2 = 0 then '-0400' else '+05:30' end as zone,
-    concat('10.0.', cast(floor(e.user_id / 250) as integer), '.', e.user_id % 250) as address
+    concat('10.0.', cast(floor(e.user_id / 250) as integer), '.', (e.user_id - e.user_id % 2) % 250) as address
   from v_e e join v_hosts h on h.page_id = e.p3 where e.event_id % 3 = 0),
 v_seen as (
   select e.user_id, e.ts, e.event_id, concat('10.0.', cast(floor(e.user_id / 250) as integer), '.', e.user_id % 250) as client,
@@ -49,7 +53,7 @@ CONFIGURED = [("list2", ["social", "facebook"]), ("list1", ["malware"]), ("list3
 RULES = [("exact", "com"), ("exact", "net"), ("exact", "org"), ("exact", "example.net"), ("wildcard", "example.org"), ("exception", "spam-farm.example.org")]
 IGNORE = [
     ("dns", "domain", "casino-win.example.org."), ("dns", "domain", "Example.NET"), ("dns", "host", "ththre.example.com"), ("dns", "client", "10.0.0.7"),
-    ("browser", "user", "u13"), ("browser", "client", "host-5"), ("browser", "client", "10.0.0.21"), ("browser", "domain", "spam-farm.example.org"), ("browser", "host", "ththed.example.org"),
+    ("browser", "user", "u13"), ("browser", "client", "host-5"), ("browser", "client", "10.0.0.20"), ("browser", "domain", "spam-farm.example.org"), ("browser", "host", "ththed.example.org"),
 ]
 
 
@@ -85,7 +89,7 @@ def web_events(s: SparkSession, d: str) -> DataFrame:
 
 
 def observations(s: SparkSession, d: str) -> DataFrame:
-    name = F.concat(F.lit("pc-"), "user_id", F.lit(".office.lan"))
+    name = F.concat(F.when(F.col("user_id") % 2 == 0, "host-").otherwise("pc-"), "user_id", F.lit(".office.lan"))
     rev = F.concat(F.array_join(F.reverse(F.split("client", "[.]")), "."), F.lit(".in-addr.arpa."))
     hosts = F.when(F.col("status") == "ok", F.array(name)).otherwise(F.array().cast("array<string>"))
     # of what was seen of a client in one second the last counts
@@ -114,9 +118,7 @@ def listed(*names: str) -> list[Column]:
 
 
 def merged(s: SparkSession, d: str) -> DataFrame:
-    lines = view(s, d, "v_list_lines")
-    hosts = ent.clean_lines(lines).join(F.broadcast(lines.select("source", "folder").distinct()), "source")
-    return ent.merge_entries(ent.with_categories(hosts, small(s, "configured")))
+    return ent.merge_entries(ent.with_categories(ent.clean_lines(view(s, d, "v_list_lines")), small(s, "configured")))
 
 
 def build_stats(s: SparkSession, d: str) -> DataFrame:
@@ -131,7 +133,7 @@ def clean_known(s: SparkSession, d: str) -> DataFrame:
 
 def kept_previous(s: SparkSession, d: str) -> DataFrame:
     rows = ent.clean_lines(view(s, d, "v_list_lines"))
-    return ent.keep_previous(rows.filter("source <> 'list2'"), rows.select("source", F.concat(F.lit("old."), "host").alias("host")))
+    return ent.keep_previous(rows.filter("source <> 'list2' or folder = 'news'"), rows.withColumn("host", F.concat(F.lit("old."), "host")))
 
 
 def population(s: SparkSession, d: str) -> DataFrame:
@@ -149,7 +151,11 @@ def encoded(s: SparkSession, d: str) -> DataFrame:
 
 
 def generation_sum(s: SparkSession, d: str) -> DataFrame:
-    return sinks.checksum(entries_of(s, d)).select("rows")
+    root = f"{shared_dir(s)}/generations-{uuid.uuid4().hex}"
+    built = build_entries(view(s, d, "v_list_lines"), small(s, "configured"), view(s, d, "v_ignorelist"))
+    for n in (1, 2, 3):  # the first one goes when the third is there
+        sinks.publish(built, root, built_at=n, needed=["*.example.com"], least=5)
+    return sinks.checksum(sinks.read_generation(s, root)).withColumn("generations", F.lit(len(sinks.generations(s, root))))
 
 
 # --- events ---------------------------------------------------------------------------
@@ -164,7 +170,9 @@ def normal_forms(s: SparkSession, d: str) -> DataFrame:
 
 
 def addresses(s: SparkSession, d: str) -> DataFrame:
-    a = view(s, d, "v_dns").select("client_ip").distinct()
+    d4 = view(s, d, "v_dns").select("client_ip", F.hex(F.col("user_id") % 4096 + 1).alias("_x")).distinct()
+    forms = F.array("client_ip", *(F.concat(F.lit(x), "_x") for x in ("2606:4700:0:0:0:0:0:", "fe80:0:0:0:0:0:0:", "no address ")))
+    a = d4.select(F.explode(forms).alias("client_ip")).distinct()
     return a.select("client_ip", ip.canonical_ip("client_ip").alias("canonical"), ip.ip_class("client_ip").alias("class"), ip.reverse_name("client_ip").alias("reverse"))
 
 
@@ -177,6 +185,17 @@ def dns_sieved(s: SparkSession, d: str) -> DataFrame:
     return sieve.sieve_dns(dns_events(s, d), small(s, "ignore")).select("event_id", "drop_reason")
 
 
+def guessed(s: SparkSession, d: str) -> DataFrame:
+    g = registrable_domains(view(s, d, "v_hosts"), small(s, "rules").limit(0))
+    return g.select("host", "registrable_domain", "psl_fallback")
+
+
+def rules_of_lines(s: SparkSession, d: str) -> DataFrame:
+    h = view(s, d, "v_hosts")
+    line = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("// "), "host")).when(F.col("page_id") % 5 == 1, F.concat(F.lit("*."), "host", F.lit(" x"))).when(F.col("page_id") % 5 == 2, F.concat(F.lit("!"), "host"))
+    return lists.suffix_rules(h.select(line.when(F.col("page_id") % 5 == 3, F.concat(F.lit(" M\u00dcNCHEN."), "host")).otherwise(F.concat("host", F.lit("\t"))).alias("line")))
+
+
 def web_sieved(s: SparkSession, d: str) -> DataFrame:
     return sieve.sieve_browser(web_events(s, d), small(s, "ignore")).select("event_id", "drop_reason")
 
@@ -202,7 +221,7 @@ def looked_up(s: SparkSession, d: str) -> DataFrame:
 
 
 def looked_up_exactly(s: SparkSession, d: str) -> DataFrame:
-    e = lookup.exact_lookup(enrich.dns_searches(dns_events(s, d)), entries_of(s, d))
+    e = lookup.exact_lookup(enrich.dns_searches(dns_events(s, d)), entries_of(s, d), cut=written)
     return e.select("event_id", F.array_join(F.array_sort("contexts"), "|").alias("contexts"))
 
 
@@ -215,6 +234,15 @@ def compared(s: SparkSession, d: str) -> DataFrame:
     return dns(s, d, "compare").select("event_id", F.array_join(F.array_sort("contexts"), "|").alias("contexts"), *listed("contexts_index", "cname_contexts", "match_source"), "context_match")
 
 
+def exactly(s: SparkSession, d: str) -> DataFrame:
+    return dns(s, d, "exact").select("event_id", F.array_join(F.array_sort("contexts"), "|").alias("contexts"), *listed("match_source"), "index_error")
+
+
+def without_index(s: SparkSession, d: str) -> DataFrame:
+    ref = Reference(None, small(s, "rules"), small(s, "ignore"), exact_entries=entries_of(s, d))
+    return enrich_dns(dns_events(s, d), ref, cut=written).select("event_id", F.array_join(F.array_sort("contexts"), "|").alias("contexts"), "index_error")
+
+
 def faceted(s: SparkSession, d: str) -> DataFrame:
     tax = taxonomy_rows()
     cats = sorted({c for c, *_ in tax})
@@ -246,9 +274,43 @@ def web_enriched(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "host", "registrable_domain", *listed("searches", "contexts", "risk"))
 
 
+def payloads(s: SparkSession, d: str) -> DataFrame:
+    """Both feeds as JSON text, some of it broken, incomplete or of odd types (by ``k``)."""
+    e = dns_events(s, d).withColumn("k", F.col("event_id") % 40)
+    some = lambda cond, x: F.when(cond, x)  # noqa: E731  a null field is left out
+    answers = F.transform("cnames", lambda c: F.struct(F.lit("CNAME").alias("type"), c.alias("data")))
+    ips = F.concat("resolved_ip", F.when(F.col("k") == 6, F.array(F.lit("2606:0:0:0:0:0:0:1"), F.lit("2606::1"), F.lit("x"))).otherwise(F.array().cast("array<string>")))
+    a = F.to_json(F.struct(
+        F.concat(F.lit("d"), "event_id").alias("id"), F.when(F.col("k") == 2, "icmp").otherwise("dns").alias("type"), F.col("timestamp").alias("@timestamp"), some(F.col("k") != 4, F.col("status")).alias("status"),
+        "resource", F.struct("direction").alias("network"), some(F.col("k") != 3, F.struct(F.col("client_ip").alias("ip"))).alias("client"), F.struct(F.col("destination_ip").alias("ip")).alias("destination"),
+        F.struct(F.struct(F.col("resource").alias("name"), "etld_plus_one").alias("question"), answers.alias("answers"), F.array_compact(ips).alias("resolved_ip"), "response_code").alias("dns"),
+    ))
+    a = F.when(F.col("k") == 1, F.substring(a, 1, 40)).when(F.col("k") == 8, "[]").when(F.col("k") == 5, F.regexp_replace(a, '"resource":"[^"]*"', '"resource":42')).otherwise(a)
+    a = F.when(F.col("k") == 6, F.regexp_replace(a, '"answers":\\[', '"answers":[null,7,{"type":"A","data":"a.com"},{"type":"CNAME"},').cast("string")).otherwise(a)
+    a = F.regexp_replace(a, ',\\],"resolved', '],"resolved')
+    w = web_events(s, d).withColumn("k", F.expr("event_id div 3") % 40)
+    entry = F.struct(F.when(F.col("k") == 4, "FILE:///x").when(F.col("k") != 9, F.col("url")).alias("url"), F.struct(F.col("scheme").alias("Scheme"), some(F.col("k") != 5, F.col("host")).alias("Host")).alias("url_data"))
+    ips = F.when(F.col("k") == 11, F.array(F.lit("fe80::1"), F.lit("fc00:0:0:0:0:0:0:1"), F.lit("FC00::1"))).otherwise(F.col("ip_addresses"))
+    person = F.struct(F.struct("hostname", F.col("hostname_short").alias("short")).alias("Hostname"), "user", "platform", "browser", ips.alias("ip_addresses"))
+    stamp = F.when(F.col("k") == 6, "1601-01-01T00:00:00Z").when(F.col("k") != 10, F.col("timestamp"))
+    data = F.struct(stamp.alias("@timestamp"), F.col("processed_at").alias("@processed"), F.struct(some(F.col("k") != 2, F.struct(person.alias("client"), some(F.col("k") != 3, entry).alias("entry"))).alias("data")).alias("event"))
+    b = F.to_json(F.struct(F.concat(F.lit("w"), "event_id").alias("id"), "type", data.alias("data")))
+    b = F.when(F.col("k") == 1, F.substring(b, 1, 50)).when(F.col("k") == 7, F.regexp_replace(b, '"user":"[^"]*"', '"user":42')).otherwise(b)
+    rows = e.select(F.concat(F.lit("d"), "event_id").alias("event_id"), a.alias("value")).unionByName(w.select(F.concat(F.lit("w"), "event_id").alias("event_id"), b.alias("value")))
+    return written(rows)
+
+
+def payload_verdicts(s: SparkSession, d: str) -> DataFrame:
+    return consumer.verdicts(parse(payloads(s, d)), reference(s, d))
+
+
 def bites(s: SparkSession, d: str) -> DataFrame:
-    docs = enrich.united(enrich.documents(dns(s, d)), enrich.documents(enrich_browser(web_events(s, d), reference(s, d), cut=written)))
-    return docs.groupBy("type", "request").agg(F.count("*").alias("events"), F.count_if(F.size("contexts") > 0).alias("labelled"), F.count("client_user").alias("users"), F.min("`@timestamp`").alias("first_time"))
+    """Every document, from JSON text, with all its fields."""
+    docs = consumer.process(payloads(s, d), reference(s, d, built_at=1_700_000_000), cut=written)
+    lists_ = ["searches", "contexts", "sources", "matched_on", "cname_chain", "cname_contexts", "cname_matched_on", "match_source", "resolved_ips", "purpose", "service", "risk", "unmapped_contexts", "client_ips", "client_hosts", "requested"]
+    plain = ["type", "request", "response_code", "registrable_domain", "psl_fallback", "index_built_at", "risk_severity", "client", "ptr", "ptr_status", "event_time_utc", "event_time_local", "url",
+             "client_hostname", "client_hostname_short", "client_user", "client_platform", "client_browser"]
+    return docs.select(F.get_json_object("packet", "$.id").alias("id"), F.col("`@timestamp`").alias("time"), F.col("`@metadata`.beat").alias("beat"), F.col("processed").isNotNull().alias("stamped"), *plain, *listed(*lists_))
 
 
 def syslog(s: SparkSession, d: str) -> DataFrame:
@@ -263,7 +325,7 @@ def ingest_days(s: SparkSession, d: str) -> DataFrame:
 def identity_table(s: SparkSession, d: str) -> DataFrame:
     web = enrich.client_identity(web_events(s, d))
     e = named_clients(s, d)
-    return reports.client_identity_table(web, e, within_seconds=3600).filter("by = 'address'").select("event_id", "client", "candidates")
+    return reports.client_identity_table(web, e, within_seconds=3600, cut=written)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -288,6 +350,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "verdict_counts": verdicts,
     "audit_lines": audit,
     "public_suffix": suffixes,
+    "guessed_domains": guessed,
+    "suffix_rules": rules_of_lines,
+    "curated_categories": lambda s, d: ent.with_categories(ent.clean_lines(view(s, d, "v_list_lines")), small(s, "configured")).select("domain", "category", "source", "folder"),
+    "exact_mode": exactly,
+    "missing_index": without_index,
+    "payload_verdicts": payload_verdicts,
     "ancestor_lookup": looked_up,
     "exact_lookup": looked_up_exactly,
     "enriched_dns": enriched,
@@ -355,7 +423,7 @@ up as (select host, unnest({_UP("host")}) as c, unnest(range(1, len(string_split
 probe as (select host, c as domain, 2 * i as pos from up union all select host, '*.' || c, 2 * i + 1 from up),
 hits as (select p.host, p.pos, e.* from probe p join entries e using (domain)),
 found as (select host, list_sort(list_distinct(flatten(list(categories)))) as contexts, list_sort(list_distinct(flatten(list(sources)))) as sources, list(domain order by pos) as matched_on from hits group by host),
-suffix_hosts as (select distinct host from v_hosts union values ('com'), ('example.org'), ('x.example.org'), ('localhost')),
+suffix_hosts as (select distinct host from v_hosts union select distinct resource from v_dns union values ('com'), ('example.org'), ('x.example.org'), ('localhost')),
 sh as (select host, unnest({_UP("host")}) as c, unnest(range(0, len(string_split(host, '.')))) as i, len(string_split(host, '.')) as n from suffix_hosts),
 sr as (select host, max(n) as n, min(i) filter (kind = 'exception') as ex, min(i) filter (kind = 'exact') as ok, min(i - 1) filter (kind = 'wildcard' and i > 0) as wild from sh left join rules on rule = c group by host),
 ss as (select host, n, coalesce(ex + 1, least(ok, wild), n - 1) as cut from sr),
@@ -370,7 +438,7 @@ dns_drop as (select w.*, case when status <> 'OK' then 'status' when list_contai
 web_drop as (select w.*, case when list_contains(bc, 'host-' || user_id) or list_contains(bc, address) then 'client' when list_contains(bu, 'u' || user_id) then 'user'
   when list_contains(bh, host) then 'host' when list_has_any({_UP("host")}, bd) then 'domain' end as drop_reason from v_web w, g),
 kept as (select *, case when direction in ('inbound', 'ingress') then 'query' else 'reply' end as request from dns_drop where drop_reason is null),
-judged as (select k.*, coalesce(f.contexts, []) as q, coalesce(c.contexts, []) as ch, f.sources as s1, c.sources as s2, coalesce(f.matched_on, []) as matched_on, x.registrable_domain,
+judged as (select k.*, coalesce(f.contexts, []) as q, coalesce(c.contexts, []) as ch, f.sources as s1, c.sources as s2, coalesce(f.matched_on, []) as matched_on, c.matched_on as m2, x.registrable_domain,
     list_sort(list_distinct(list_concat(coalesce(f.contexts, []), coalesce(c.contexts, [])))) as contexts
   from kept k left join found f on f.host = k.resource left join found c on c.host = k.cname left join suffixes x on x.host = k.resource),
 ev as (select *, list_concat(case when len(q) > 0 then ['question'] else [] end, case when len(ch) > 0 then ['cname'] else [] end) as match_source from judged),
@@ -384,32 +452,44 @@ exact as (select event_id, list_sort(list_distinct(flatten(list(categories)))) a
 obs as (select client, ts, arg_max(status, event_id) as status, arg_max(user_id, event_id) as user_id from v_seen group by client, ts),
 uobs as (select * from obs where status <> 'Timeout'),
 ptrs as (select d.event_id, d.ts, d.client_ip as client, o.ts as seen, o.status, o.user_id as u from v_dns d asof left join uobs o on o.client = d.client_ip and o.ts <= d.ts),
+payload_dns as (select *, event_id % 40 as k from dns_drop),
+payload_web as (select w.*, case when k = 6 then 'time' when k = 2 then 'data' when list_contains(bc, 'host-' || user_id) or (list_contains(bc, address) and k <> 11) then 'client' when list_contains(bu, 'u' || user_id) and k <> 7 then 'user'
+  when k = 3 then 'entry' when k = 4 then 'file' when k = 5 then 'no_host' when list_contains(bh, host) then 'host' when list_has_any({_UP("host")}, bd) then 'domain' end as why from (select *, cast(floor(event_id / 3) as bigint) % 40 as k from v_web) w, g),
+hcat as (select host, unnest(contexts) as category from found), hpath as (select distinct host, facet, path from hcat join tax using (category)),
+hunm as (select host, list_sort(list(category)) as unmapped from hcat anti join tax using (category) group by host),
+hfac0 as (select host, list_sort(list(distinct path) filter (facet = 'purpose')) as purpose, list_sort(list(distinct path) filter (facet = 'service')) as service, list_sort(list(distinct path) filter (facet = 'risk')) as risk, max(rnk) as rnk
+  from hpath left join sev using (path) group by host),
+hfac as (select * from hfac0 full join hunm using (host)),
 named as (select event_id, ts, client, case when d.seen + interval 900 second > d.ts then status else 'not_observed' end as ptr_status, case when d.seen + interval 900 second > d.ts then u end as u from ptrs d)
 """
 _NY = "strftime(timezone('America/New_York', ts::timestamp at time zone 'UTC'), '%Y-%m-%d')"
 _N = lambda x: f"nullif({x}, '')"
 
 ORACLE_SQL: dict[str, str] = {k: SQL + v for k, v in {
-    "clean_list_lines": "select source, host from clean",
-    "clean_known_tlds": "select source, host from clean where regexp_extract(host, '[^.]+$') in ('com', 'org')",
+    "clean_list_lines": "select source, folder, host from clean",
+    "clean_known_tlds": "select source, folder, host from clean where regexp_extract(host, '[^.]+$') in ('com', 'org')",
     "merge_entries": f"select domain, {_JOIN('categories')} as categories, {_JOIN('sources')} as sources from merged",
     "ignorelist_entries": f"select domain, array_to_string(list_reverse(string_split(domain, '.')), '.') as reversed, {_JOIN('categories')} as categories, {_JOIN('sources')} as sources from entries",
     "ignorelist_counts": "select cast(coalesce(sum(len(was) - len(categories)), 0) as bigint) as removed, count(*) filter (len(categories) = 0) as dropped from fixed",
     "attribute_combinations": f"select row_number() over (order by n desc, c, s) - 1 as attr_id, c as categories, s as sources, n as domains from (select {_JOIN('categories')} as c, {_JOIN('sources')} as s, count(*) as n from merged group by 1, 2)",
     "attribute_encoding": f"select domain, attr_id from (select {_JOIN('categories')} as c, {_JOIN('sources')} as s, domain from merged) join (select row_number() over (order by n desc, c, s) - 1 as attr_id, c, s from (select {_JOIN('categories')} as c, {_JOIN('sources')} as s, count(*) as n from merged group by 1, 2)) using (c, s)",
-    "build_statistics": f"""select count(distinct host) filter (ok) as domains, count(distinct source) filter (ok) as files, count(distinct category) filter (ok) as categories, count(distinct page_id) filter (not ok) as skipped
-        from (select page_id, l.source, lower(trim(line)) as host, contains(line, '.') and regexp_full_match(lower(trim(line)), '{HOST}') as ok,
+    "build_statistics": f"""select count(distinct host) filter (ok) as domains, count(distinct (source, folder)) filter (ok) as files, count(distinct category) filter (ok) as categories, count(distinct page_id) filter (not ok) as skipped
+        from (select page_id, l.source, l.folder, lower(trim(line)) as host, contains(line, '.') and regexp_full_match(lower(trim(line)), '{HOST}') as ok,
           unnest(case when len(g.categories) > 0 then g.categories else [l.folder] end) as category from v_list_lines l left join configured g using (source))""",
-    "keep_previous": "select source, host from clean where source <> 'list2' union all select source, 'old.' || host from clean where source = 'list2'",
+    "keep_previous": "select source, folder, case when source = 'list2' and folder <> 'news' then 'old.' else '' end || host as host from clean",
     "exact_population": f"select trim(line) as domain, {_JOIN('list_sort(list(distinct folder))')} as categories from v_list_lines group by 1",
     "exact_ignorelist": f"""select domain, {_JOIN('case when ctx is null then categories else list_filter(categories, lambda c: not list_contains(ctx, c)) end')} as categories
         from (select trim(line) as domain, list_sort(list(distinct folder)) as categories from v_list_lines group by 1) left join (select host as domain, list(distinct context) as ctx from v_ignorelist group by 1) using (domain)""",
     "list_usability": "select count(*) as rows, count(*) > 5 and bool_or(domain = '*.example.com') as usable from merged",
-    "generation_rows": "select count(*) as rows from entries",
+    "generation_rows": f"select count(*) as rows, bit_xor(('0x' || md5(domain || chr(9) || {_JOIN('categories')} || chr(9) || {_JOIN('sources')})[1:15])::bigint) as checksum, 2 as generations from entries",
     "normal_forms": f"""select page_id, host as normal, host as bare, split_part(host, '.', 1) as short, array_to_string(list_reverse(string_split(host, '.')), '.') as reversed,
         regexp_extract(host, '([^.]+[.][^.]+)$', 1) as naive, regexp_extract(host, '[^.]+$') as tld,
         array_to_string(flatten(list_transform({_UP("host")}, lambda c: [c, '*.' || c])), '|') as probes from v_hosts""",
-    "ip_addresses": "select distinct client_ip, client_ip as canonical, 'private' as class, array_to_string(list_reverse(string_split(client_ip, '.')), '.') || '.in-addr.arpa.' as reverse from v_dns",
+    "ip_addresses": """, x as (select distinct printf('%x', user_id % 4096 + 1) as x from v_dns)
+        select distinct client_ip, client_ip as canonical, 'private' as class, array_to_string(list_reverse(string_split(client_ip, '.')), '.') || '.in-addr.arpa.' as reverse from v_dns
+        union all select '2606:4700:0:0:0:0:0:' || upper(x), '2606:4700::' || x, 'global', array_to_string(list_reverse(string_split('2606470000000000000000000000' || lpad(x, 4, '0'), '')), '.') || '.ip6.arpa.' from x
+        union all select 'fe80:0:0:0:0:0:0:' || upper(x), 'fe80::' || x, 'link_local', array_to_string(list_reverse(string_split('fe800000000000000000000000000' || lpad(x, 3, '0'), '')), '.') || '.ip6.arpa.' from x
+        union all select 'no address ' || upper(x), null, null, '' from x""",
     "dns_shape": f"""select event_id, array_to_string([resource, e1, '*.' || e1, '*.' || regexp_extract(e1, '[^.]+$')], '|') as searches, coalesce(cname, '') as chain,
         client_ip || case when event_id % 50 = 0 then '|0.0.0.0' else '' end as resolved_ips, case when direction in ('inbound', 'ingress') then 'query' else 'reply' end as request,
         client_ip as client, upper(response_code) as response_code from dns_why""",
@@ -418,7 +498,22 @@ ORACLE_SQL: dict[str, str] = {k: SQL + v for k, v in {
     "verdict_counts": "select case when event_id % 13 = 0 then 'unreadable' when drop_reason is not null then 'dropped' else 'kept' end as verdict, count(*) as events from dns_drop group by 1",
     "audit_lines": """select event_id, '[DNS] ' || case when drop_reason is null then 'kept' else 'dropped' end || ': ' || resource || ' - ' || direction as line from dns_drop
         union all select event_id, '[History] ' || case when drop_reason is null then 'kept' else 'dropped' end || ' : ' || url || ' - u' || user_id || ' - host-' || user_id from web_drop""",
-    "public_suffix": "select host, public_suffix, registrable_domain from suffixes",
+    "public_suffix": "select host, public_suffix, registrable_domain from suffixes where host not like '%.uncategorised.info'",
+    "guessed_domains": "select distinct host, regexp_extract(host, '([^.]+[.][^.]+)$', 1) as registrable_domain, true as psl_fallback from v_hosts",
+    "suffix_rules": """select distinct kind, unnest(case when kind = 'exact' and k = 3 then ['m\u00fcnchen.' || host, 'xn--mnchen-3ya.' || host] else [host] end) as rule
+        from (select host, page_id % 5 as k, case page_id % 5 when 1 then 'wildcard' when 2 then 'exception' else 'exact' end as kind from v_hosts where page_id % 5 <> 0)""",
+    "curated_categories": "select domain, category, source, folder from (select c.host as domain, c.source, c.folder, unnest(case when len(g.categories) > 0 then g.categories else [c.folder] end) as category from clean c left join configured g using (source))",
+    "exact_mode": f"""select e.event_id, coalesce({_JOIN('x.contexts')}, '') as contexts, case when len(x.contexts) > 0 then 'question' end as match_source, null::varchar as index_error from ev e left join exact x using (event_id)""",
+    "missing_index": f"""select e.event_id, coalesce({_JOIN('x.contexts')}, '') as contexts, 'no index' as index_error from ev e left join exact x using (event_id)""",
+    "payload_verdicts": f"""
+        select 'd' || event_id as event_id, case when k in (1) then 'unreadable' when k in (2, 8) then 'dropped' when why is not null then 'dropped' when k = 3 and direction in ('inbound', 'ingress') then 'unreadable' else 'kept' end as verdict,
+          case when k in (1, 2, 8) then 'type' else why end as drop_reason,
+          case when k not in (1, 2, 5, 8) then '[DNS] ' || case when why is not null then 'dropped' when k = 3 and direction in ('inbound', 'ingress') then 'unreadable' else 'kept' end || ': ' || resource || ' - ' || direction end as line
+        from (select *, case when k = 4 then 'status' else drop_reason end as why from payload_dns)
+        union all select 'w' || event_id, case when k = 1 then 'unreadable' when why is not null then 'dropped' when k in (9, 10) then 'unreadable' else 'kept' end, case when k = 1 then 'type' else why end,
+          case when k <> 1 then '[History] ' || case when why is not null then 'dropped' when k in (9, 10) then 'unreadable' else 'kept' end
+            || case when k in (2, 3, 9) then '' when k = 4 then ' : FILE:///x' else ' : ' || url end || case when k in (2, 7) then '' else ' - u' || user_id end || case when k = 2 then '' else ' - host-' || user_id end end
+        from payload_web""",
     "ancestor_lookup": f"select host, {_JOIN('contexts')} as contexts, {_JOIN('sources')} as sources, {_JOIN('matched_on')} as matched_on from found semi join v_hosts using (host)",
     "exact_lookup": f"select d.event_id, coalesce({_JOIN('contexts')}, '') as contexts from v_dns d left join exact using (event_id)",
     "enriched_dns": f"""select e.event_id, resource as host, registrable_domain, case rnk when 3 then 'high' when 2 then 'medium' when 1 then 'low' end as risk_severity,
@@ -433,7 +528,7 @@ ORACLE_SQL: dict[str, str] = {k: SQL + v for k, v in {
         from (select event_id, unnest([names[(event_id + 1) % len(names) + 1], names[(event_id * 7 + 7) % len(names) + 1], case when event_id % 9 = 0 then 'nosuch' else 'ai' end]) as category
           from events, (select list_sort(list(distinct category)) as names from tax)) left join tax using (category) left join sev using (path) group by event_id""",
     "ptr_as_of": """select event_id, case when u is not null then array_to_string(list_reverse(string_split(client, '.')), '.') || '.in-addr.arpa.' end as ptr, ptr_status,
-        case when ptr_status = 'ok' then 'pc-' || u || '.office.lan' else '' end as client_hosts, case when ptr_status = 'ok' then 'pc-' || u else '' end as client_hosts_short from named""",
+        case when ptr_status = 'ok' then p || u || '.office.lan' else '' end as client_hosts, case when ptr_status = 'ok' then p || u else '' end as client_hosts_short from (select *, case when u % 2 = 0 then 'host-' else 'pc-' end as p from named)""",
     "ptr_bounded": "select client, ts as observed_at, status from (select *, row_number() over (partition by client order by ts desc) as k from uobs) where k = 1 order by ts desc, client limit 50",
     "browser_shape": """select event_id, case when browser = 'safari' then strftime(ts - off, '%Y-%m-%dT%H:%M:%SZ') else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as event_time_utc,
         case when browser = 'safari' then strftime(ts, '%Y-%m-%dT%H:%M:%S') || z when browser in ('chrome', 'firefox') then strftime(ts + off, '%Y-%m-%dT%H:%M:%S') || z else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as event_time_local,
@@ -443,14 +538,29 @@ ORACLE_SQL: dict[str, str] = {k: SQL + v for k, v in {
         case when registrable_domain <> host then '|' || registrable_domain || '|*.' || registrable_domain else '' end as searches, coalesce({_JOIN('f.contexts')}, '') as contexts, {_JOIN('risk')} as risk
         from web_drop w left join suffixes using (host) left join found f using (host)
         left join (select host, list_sort(list(distinct path)) as risk from (select host, unnest(contexts) as category from found) join tax using (category) where facet = 'risk' group by host) using (host) where drop_reason is null""",
-    "documents": """select 'dns' as type, request, count(*) as events, count(*) filter (len(contexts) > 0) as labelled, 0 as users, min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) as first_time from ev group by request
-        union all select 'browser.history', scheme, count(*), count(*) filter (len(f.contexts) > 0), count(*),
-          min(case when browser = 'safari' then strftime(ts - case when zone = '-0400' then interval (-240) minute else interval 330 minute end, '%Y-%m-%dT%H:%M:%SZ') else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end)
-          from web_drop w left join found f using (host) where drop_reason is null group by scheme""",
+    "documents": f"""select 'd' || e.event_id as id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as time, 'hostlens' as beat, true as stamped, 'dns' as type, request, upper(response_code) as response_code, registrable_domain, null::boolean as psl_fallback,
+        1700000000 as index_built_at, case rnk when 3 then 'high' when 2 then 'medium' when 1 then 'low' end as risk_severity, client_ip as client, null::varchar as ptr, 'skipped' as ptr_status, null::varchar as event_time_utc,
+        null::varchar as event_time_local, null::varchar as url, null::varchar as client_hostname, null::varchar as client_hostname_short, null::varchar as client_user, null::varchar as client_platform, null::varchar as client_browser,
+        array_to_string([resource, e1, '*.' || e1, '*.' || regexp_extract(e1, '[^.]+$')], '|') as searches, {_JOIN('contexts')} as contexts, {_JOIN('list_sort(list_distinct(list_concat(coalesce(s1, []), coalesce(s2, []))))')} as sources,
+        {_JOIN('matched_on')} as matched_on, cname as cname_chain, {_N(_JOIN('ch'))} as cname_contexts, {_N(_JOIN('m2'))} as cname_matched_on, {_N(_JOIN('match_source'))} as match_source,
+        client_ip || case when event_id % 50 = 0 then '|0.0.0.0' else '' end || case when k = 6 then '|2606::1' else '' end as resolved_ips, {_JOIN('purpose')} as purpose, {_JOIN('service')} as service, {_JOIN('risk')} as risk,
+        {_JOIN('unmapped')} as unmapped_contexts, null::varchar as client_ips, '' as client_hosts, resource as requested
+        from (select *, event_id % 40 as k from ev) e left join fac using (event_id) left join unm using (event_id) where k not in (1, 2, 3, 4, 8)
+        union all select 'w' || event_id, utc, 'hostlens', true, 'browser.history', scheme, null, registrable_domain, null, 1700000000, case rnk when 3 then 'high' when 2 then 'medium' when 1 then 'low' end, null, null, null, utc, local, url,
+        'host-' || user_id || '.lan', 'host-' || user_id, case when k <> 7 then 'u' || user_id end, null, browser,
+        host || '|*.' || host || '|*.' || regexp_extract(host, '[^.]+$') || case when registrable_domain <> host then '|' || registrable_domain || '|*.' || registrable_domain else '' end,
+        coalesce({_JOIN('f.contexts')}, ''), coalesce({_JOIN('f.sources')}, ''), coalesce({_JOIN('f.matched_on')}, ''), null, null, null, case when len(f.contexts) > 0 then 'question' end, null, {_JOIN('purpose')}, {_JOIN('service')}, {_JOIN('risk')},
+        {_JOIN('unmapped')}, case when k = 11 then 'fc00::1' else address end, null, host
+        from (select *, case when browser = 'safari' then strftime(ts - off, '%Y-%m-%dT%H:%M:%SZ') else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as utc,
+            case when browser = 'safari' then strftime(ts, '%Y-%m-%dT%H:%M:%S') || z when browser in ('chrome', 'firefox') then strftime(ts + off, '%Y-%m-%dT%H:%M:%S') || z else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as local
+          from (select *, case when zone = '-0400' then interval (-240) minute else interval 330 minute end as off, case when zone = '-0400' then '-04:00' else '+05:30' end as z from payload_web)) w
+        left join suffixes using (host) left join found f using (host) left join hfac using (host) where why is null and k not in (1, 9, 10)""",
     "syslog_lines": """select '<30>{"event_id":' || event_id || ',"status":"' || status || '","resource":"' || resource || '"}' as value from v_dns""",
     "daily_index": f"select 'bites-' || {_NY} as index_name, count(*) as events from events group by 1",
-    "identity_table": """select d.event_id, d.client_ip as client, count(distinct w.user_id) as candidates from v_dns d join v_web w on w.address = d.client_ip
-        and abs(epoch(date_trunc('second', d.ts)) - epoch(date_trunc('second', w.ts))) <= 3600 group by all""",
+    "identity_table": """, near as (select d.event_id, d.client_ip as client, w.user_id as u, abs(epoch(date_trunc('second', d.ts)) - epoch(date_trunc('second', w.ts))) as gap from v_dns d join v_web w on w.address = d.client_ip
+          and abs(epoch(date_trunc('second', d.ts)) - epoch(date_trunc('second', w.ts))) <= 3600)
+        select event_id, client, 'u' || list(u order by gap, 'u' || u)[1] as client_user, 'address' as by, count(distinct u) as candidates from near group by all
+        union all select event_id, client, 'u' || u, 'name', 1 from named anti join near using (event_id) where ptr_status = 'ok' and u % 2 = 0 and u in (select user_id from v_web)""",
     "top_domains": "select registrable_domain, count(*) as events, count(distinct client_ip) as clients from ev where registrable_domain is not null group by 1 order by 2 desc, 1 limit 20",
     "category_share": "select category, count(*) as events, round(count(*) / (select count(*) from ev), 6) as share from evc group by 1",
     "facet_share": "select facet, path, count(*) as events, round(count(*) / (select count(*) from ev), 6) as share from evf group by 1, 2",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import enrich, sieve
-from ..plans.jobs import Reference, enrich_browser, enrich_dns
+from ..plans.jobs import Reference, enrich_browser, enrich_dns, lazily
 from ..sources import events as src
 
 
@@ -38,14 +38,14 @@ def verdicts(parsed: DataFrame, ref: Reference) -> DataFrame:
     return out.unionByName(other.select(cols))
 
 
-def process(payloads: DataFrame, ref: Reference, *, mode: str = "ancestor") -> DataFrame:
-    """Documents of both feeds from payloads with ``event_id``."""
+def process(payloads: DataFrame, ref: Reference, *, mode: str = "ancestor", cut: Callable[[DataFrame], DataFrame] = lazily) -> DataFrame:
+    """Documents of both feeds from payloads with ``event_id``; for ``cut`` see ``enrich_dns``."""
     parsed = src.parse(payloads)
     kinds = src.text_at(F.col("v"), "$.type")
     stamp = F.col("timestamp").try_cast("timestamp").alias("ts")
     dns = src.dns_fields(parsed.filter(kinds == "dns")).filter("complete").select("*", stamp)
     web = src.browser_fields(parsed.filter(kinds == "browser.history")).filter("complete").select("*", stamp)
-    return enrich.united(enrich.documents(enrich_dns(dns, ref, mode=mode)), enrich.documents(enrich_browser(web, ref, mode=mode)))
+    return enrich.united(enrich.documents(enrich_dns(dns, ref, mode=mode, cut=cut)), enrich.documents(enrich_browser(web, ref, mode=mode, cut=cut)))
 
 
 def consume(

@@ -1,14 +1,16 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from hostlens.operators import enrich, lookup, ptr, sieve, sinks
+from hostlens.operators import enrich, lookup, ptr, reports, sieve, sinks
 from hostlens.operators import entries as ent
 from hostlens.operators.suffix import registrable_domains
 from hostlens.operators import taxonomy as tax_module
 from hostlens.operators.taxonomy import classified, severities, severity_rows, taxonomy, taxonomy_rows, with_facets
-from hostlens.plans.jobs import Reference
+from hostlens.plans.jobs import Reference, build_entries
+from hostlens.session import written
 from hostlens.sources import events as src
 from hostlens.sources import lists
 from hostlens.streaming import consumer
@@ -95,6 +97,38 @@ def test_keep_previous(spark):
     assert {tuple(r) for r in ent.keep_previous(new, old).collect()} == {("a", "x.com"), ("b", "z.com")}
 
 
+def test_files_of_one_name_have_the_category_of_their_folder(spark, tmp_path):
+    for p, t in {"government/curated": "a.gov.uk\n", "social/curated": "b.example.com\nboth.com\n", "government/list.txt": "both.com\n", "x/list.txt": "c.com\n"}.items():
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text(t)
+    configured = spark.createDataFrame([("list.txt", ["ads"])], "source string, categories array<string>")
+    lines = lists.read_list_lines(spark, str(tmp_path))
+    built = {r["domain"]: (r["categories"], r["sources"]) for r in build_entries(lines, configured, spark.createDataFrame([], "context string, host string")).collect()}
+    assert built == {"a.gov.uk": (["government"], ["curated"]), "b.example.com": (["social"], ["curated"]), "both.com": (["ads", "social"], ["curated", "list.txt"]), "c.com": (["ads"], ["list.txt"])}
+
+
+def test_a_hot_host_without_chains_is_spread(spark, entries, rules):
+    """90 % of the events have one host and no chain; nothing is broadcast."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        host = "if(id % 10 > 0, 'a.news.example.com', concat('h', id, '.io'))"
+        e = spark.range(40000, numPartitions=8).selectExpr("id as event_id", f"{host} as host", "if(id % 50 = 0, array('cdn.org'), cast(array() as array<string>)) as chain", f"array({host}) as searches", "sha2(cast(id as string), 512) as wide")
+        e = written(e)
+        found = written(lookup.ancestor_lookup(lookup.hosts_of(e), entries))
+        out = lookup.resolve(e, entries, found=found, cut=written)
+        sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 40000 and sizes[-1] < 40000 / 4
+        got = {r["event_id"]: r for r in out.filter("event_id < 60").collect()}
+        assert got[1]["contexts"] == ["news"] and got[10]["contexts"] == [] and got[50]["contexts"] == ["advertising", "tracking"]
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_sources(spark, tmp_path):
     for p, t in {"porn/curated": "a.com\n\n", "tracking/list.txt": "0.0.0.0 t.net\n", "tld/fallback.txt": "# x\nCOM\n\norg\n", "x/.gitignore": "*"}.items():
         (tmp_path / p).parent.mkdir(exist_ok=True)
@@ -118,6 +152,9 @@ def test_ptr_holds_until_its_ttl(spark):
     ev = spark.sql(" union all ".join(f"select {i} event_id, {c} client, {ts(t)} ts" for i, (c, t) in enumerate([("'c'", 399), ("'c'", 400), ("'c'", 99), ("null", 150), ("'c'", 100)])))
     got = {r["event_id"]: (r["ptr_status"], r["client_hosts_short"]) for r in ptr.with_ptr(ev, obs, ttl=300).collect()}
     assert got == {0: ("ok", ["a"]), 1: ("not_observed", []), 2: ("not_observed", []), 3: ("skipped", []), 4: ("ok", ["a"])}
+    two = spark.sql(f"select 'c' client, {ts(100)} observed_at, array(h) hosts, 'p' ptr, s status from values ('b.x', 'ok'), ('a.x', 'ok'), ('z.x', 'nxdomain') t(h, s)")
+    for o in (two, two.orderBy("hosts"), two.orderBy(F.desc("hosts"))):  # of one time, the greatest counts
+        assert ptr.with_ptr(ev.filter("event_id = 4"), o, ttl=300).first()["client_hosts"] == ["b.x"]
     many = spark.range(59).selectExpr("cast(id as string) client", "cast(id as timestamp) observed_at", "array('h') hosts", "'p' ptr", "'ok' status")
     assert {int(r["client"]) for r in ptr.bounded(many, most=10).collect()} == set(range(49, 59))
 
@@ -156,6 +193,31 @@ def test_stream_equals_batch(spark, ref, tmp_path):
     assert got.select("batch_id").distinct().count() >= 1 and got.count() == 3
 
 
+def test_identities_are_counted_within_reach(spark):
+    r = random.Random(7)
+    web = [(r.randint(0, 9000), f"u{r.randint(0, 5)}", f"h{r.randint(0, 3)}", f"10.0.0.{r.randint(0, 2)}") for _ in range(300)]
+    dns = [(i, f"10.0.0.{r.randint(0, 3)}", r.randint(-2000, 12000)) for i in range(400)]
+    w = spark.createDataFrame([(u, h, [a, a, "1.1.1.1"], h, t) for t, u, h, a in web], "client_user string, client_hostname string, client_ips array<string>, client_hostname_short string, t long").selectExpr("*", "cast(t as timestamp) ts")
+    d = spark.createDataFrame([(i, a, t, ["h1"] if i % 2 else []) for i, a, t in dns], "event_id long, client string, t long, client_hosts_short array<string>").selectExpr("*", "cast(t as timestamp) ts")
+    got = {x["event_id"]: (x["by"], x["client_user"], x["candidates"]) for x in reports.client_identity_table(w, d, within_seconds=100).collect()}
+    named = {(u, h) for _, u, h, _ in web if h == "h1"}
+    for i, a, t in dns:
+        near = sorted((abs(t - bt), u, h) for bt, u, h, x in web if x == a and abs(t - bt) <= 100)
+        want = ("address", near[0][1], len({x[1:] for x in near})) if near else ("name", min(named)[0], len(named)) if i % 2 else None
+        assert got.get(i) == want
+
+
+def test_streams_without_repeats_and_by_hour(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:50:00"), ("c", "2024-01-01 01:20:00")]
+    spark.createDataFrame(rows, "event_id string, t string").selectExpr("event_id", "cast(t as timestamp) ts").coalesce(1).write.parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema("event_id string, ts timestamp").parquet(f"{tmp_path}/in")
+    for name, df in (("once", consumer.without_repeats(read())), ("hours", consumer.hourly(read()))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append" if name == "once" else "complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/ck-{name}").start()
+        q.awaitTermination()
+        assert consumer.progress(q)["batch"] >= 0
+    assert sorted(x["event_id"] for x in spark.table("once").collect()) == ["a", "b", "c"] and sorted(x["events"] for x in spark.table("hours").collect()) == [1, 3]
+
+
 def test_sieve_reasons(spark):
     rules = spark.createDataFrame([("dns", "domain", "Example.com."), ("dns", "host", "h.net"), ("browser", "user", "Bob")], "scope string, kind string, value string")
     rows = [("www.example.com", "OK", None), ("www.notexample.com", "OK", None), ("H.net.", "OK", "host"), ("x.io", None, "status")]
@@ -176,9 +238,18 @@ def test_generations(spark, entries, tmp_path):
     assert sinks.manifest(spark, root) is None and not sinks.is_stale(spark, root, None)
     sinks.publish(entries, root, built_at=5)
     assert sinks.read_generation(spark, root).count() == 4 and sinks.is_stale(spark, root, 4) and not sinks.is_stale(spark, root, 5)
+    for bad, more in ((entries.limit(0), {}), (entries, {"needed": ["no.such"]}), (entries, {"least": 4})):
+        with pytest.raises(ValueError, match="not usable"):
+            sinks.publish(bad, root, built_at=6, **more)
+        assert sinks.manifest(spark, root)["built_at"] == 5 and sinks.read_generation(spark, root).count() == 4
+    with pytest.raises(ValueError, match="not newer"):
+        sinks.publish(entries, root, built_at=5)
     entries.limit(1).write.mode("overwrite").parquet(f"{root}/generation=5")
     with pytest.raises(ValueError, match="damaged"):
         sinks.read_generation(spark, root)
+    for n in (7, 8, 9):
+        sinks.publish(entries, root, built_at=n, needed=["*.gov"], least=3)
+    assert sinks.generations(spark, root) == [8, 9] and sinks.read_generation(spark, root).count() == 4
 
 
 def test_daily_and_syslog(spark, tmp_path):

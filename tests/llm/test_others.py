@@ -97,7 +97,7 @@ def test_rules_need_a_token(spark):
         url_filters.rules_table(spark, [url_filters.pattern_rule("*", "block")])
 
 
-def text_of(page, templates=frozenset()):
+def text_of(page, templates=None):
     root = html_text.parse(page)
     html_text.hash_subtrees(root)
     return html_text.main_text(root, templates)

@@ -6,145 +6,108 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .grams import chunks, mix
-
-#: The most frequent words of all documents are the shared vocabulary; id 0 is any other
-#: word, and begins a document. Bigrams are counted in a table of hashed pairs.
-VOCABULARY, TABLE_BITS = 32_768, 19
-#: Share of the bigram estimate; the rest is the unigram's.
-BIGRAM = 0.7
-#: Words a task gathers before it passes on their counts.
-GATHER = 2_000_000
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    n = 0
-
-    def out() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "n"])
-
-    for batch in batches:
-        for _, words, _ in chunks(batch.column(0)):
-            held.append(words)
-            n += len(words)
-            if n > GATHER:
-                yield out()
-                held, n = [], 0
-    if held:
-        yield out()
-
-
-class Vocabulary:
-    """Ids of word hashes by an open table: 8 bytes a slot, twice as many slots as words."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.words = np.sort(hashes)
-        self.bits = max(4, int(len(hashes) * 8).bit_length())
-        slots = self.words >> np.uint64(64 - self.bits)
-        self.first = np.searchsorted(slots, np.arange((1 << self.bits) + 1, dtype=np.uint64))
-        self.deep = int(np.diff(self.first).max()) if len(hashes) else 0
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
-        at = self.first[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
-        for k in range(self.deep):
-            i = np.minimum(at + k, len(self.words) - 1)
-            out[self.words[i] == h] = i[self.words[i] == h] + 1
-        return out
-
-
-def pairs(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(previous id, slot of the bigram) of every word; documents begin with id 0."""
-    before = np.zeros(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    starts = bounds[:-1]
-    before[starts[starts < len(ids)]] = 0
-    slot = mix((before << 32 | ids).astype(np.uint64)) >> np.uint64(64 - TABLE_BITS)
-    return before, slot.astype(np.int64)
-
-
-class Model:
-    """Counts of one corpus over the shared vocabulary and table (4 MB and 0.3 MB)."""
-
-    def __init__(self, unigrams: np.ndarray, bigrams: np.ndarray) -> None:
-        total = unigrams.sum()
-        self.unigram = ((unigrams + 1) / (total + len(unigrams))).astype(np.float32)
-        #: what the table says of a word after a seen one; documents' beginnings count as id 0
-        self.bigrams, self.seen = bigrams.astype(np.float32), np.maximum(unigrams, 1).astype(np.float32)
-
-    def losses(self, before: np.ndarray, ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Bits of each word."""
-        p = np.minimum(self.bigrams[slots] / self.seen[before], 1.0)
-        return -np.log2(BIGRAM * p + (1 - BIGRAM) * self.unigram[ids])
-
-
-def counts(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Occurrences of the words, then of the table's slots, over whole texts of all rows.
-
-    A task passes on at most one row for each of these; the driver gets them summed.
+from .common import discard, materialize
+from .grams import chunks
+
+#: Of each seen word or pair so much of a count goes to what was not seen (both models).
+DISCOUNT = 0.75
+#: Words of a text that make one row; longer texts are several rows.
+BLOCK = 1 << 16
+#: Losses are whole parts of a bit, so that sums do not depend on their order.
+UNIT = 1 << 20
+
+
+def word_blocks(docs: DataFrame) -> DataFrame:
+    """(row, id, part, n, before, words) of (row, id, t).
+
+    Words by their hashes, in order, at most BLOCK a row; ``before`` is the word ahead of
+    them (0 begins a text); part 0 is there for each row, and ``n`` counts all its words.
     """
-    n_words, n_slots = len(vocabulary.words) + 1, 1 << TABLE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(n_words + n_slots, np.int64)
         for batch in batches:
-            for _, words, bounds in chunks(batch.column(0)):
-                ids = vocabulary.ids(words)
-                held[:n_words] += np.bincount(ids, minlength=n_words)
-                held[n_words:] += np.bincount(pairs(ids, bounds)[1], minlength=n_slots)
-        some = np.flatnonzero(held)
-        for s in range(0, len(some), 1 << 16):
-            i = some[s : s + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(held[i])], ["i", "n"])
+            for at, words, bounds in chunks(batch.column(2)):
+                n = np.diff(bounds)
+                parts = np.maximum(-(-n // BLOCK), 1)
+                of = np.repeat(np.arange(len(n)), parts)
+                part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start = bounds[of] + part * BLOCK
+                before = np.where(part > 0, words[np.maximum(start - 1, 0)] if len(words) else 0, 0).astype(np.uint64)
+                held = pa.ListArray.from_arrays(pa.array(np.append(start, bounds[-1]).astype(np.int32)), pa.array(words.view(np.int64)))
+                take = pa.array(at + of)
+                cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(part.astype(np.int32)), pa.array(n[of].astype(np.int64)), pa.array(before.view(np.int64)), held]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "part", "n", "before", "words"])
+
+    return docs.mapInArrow(run, f"row long, id {docs.schema['id'].dataType.simpleString()}, part int, n long, before long, words array<long>")
+
 
-    got = materialize(texts.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")), "lm-counts").toPandas()
-    out = np.zeros(n_words + n_slots)
-    out[got["i"]] = got["n"]
-    return out
+def pairs(blocks: DataFrame, *more: str) -> DataFrame:
+    """(*more, h, w): each word ``w`` with the one before it."""
+    ahead = F.concat(F.array("before"), F.slice("words", 1, F.size("words") - 1))
+    some = blocks.filter(F.size("words") > 0).select(*more, F.explode(F.arrays_zip(ahead.alias("h"), F.col("words").alias("w"))).alias("_p"))
+    return some.select(*more, "_p.h", "_p.w")
 
 
-def train(background: DataFrame, target: DataFrame) -> tuple[Vocabulary, Model, Model]:
-    """The shared vocabulary, the target's and the background's model, from texts.
+def held(c: Column, share: float) -> Column:
+    """How likely a word with ``c`` occurrences is in a sample of that share of all words."""
+    return F.lit(1.0) - F.pow(F.lit(1.0 - share), c)
 
-    Both models have one vocabulary (of the background), order, table and smoothing.
+
+def losses(counts: DataFrame) -> DataFrame:
+    """(h, w, t, b): bits (in parts of UNIT) that either model needs for a pair's word.
+
+    ``counts`` has each pair's occurrences ``c`` in all documents and ``ct`` in the
+    target. Both are bigram models with absolute discount that go back to unigrams, and
+    these to equal shares of the one vocabulary: every word of the documents. The
+    background is matched to the target in size: its counts are those expected in a
+    sample of the documents that has as many words as the target, so that it isn't
+    the surer model for being the larger. For each word ahead both sum up to 1.
     """
-    words = background.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "h").limit(VOCABULARY).select("h").collect()
-    vocabulary = Vocabulary(np.array([r[0] for r in top], np.int64).view(np.uint64))
-    n = len(vocabulary.words) + 1
-    own, common = counts(target, vocabulary), counts(background, vocabulary)
-    return vocabulary, Model(own[:n], own[n:]), Model(common[:n], common[n:])
+    d = DISCOUNT
+    by_word = materialize(counts.groupBy("w").agg(F.sum("c").alias("wc"), F.sum("ct").alias("wt")), "lm-words")
+    n, nt, v = by_word.agg(F.sum("wc"), F.sum("wt"), F.count("*")).first()
+    n, nt, v = n or 0, nt or 0, max(v, 1)
+    share = min(1.0, nt / n) if nt else 1.0
+    whole = lambda x: F.sum(F.round(x * UNIT).cast("long")) / UNIT
+    types, tt = by_word.agg(whole(held(F.col("wc"), share)), F.count_if(F.col("wt") > 0)).first()
+    types = types or 0.0
+    own1 = (F.greatest(F.col("wt") - d, F.lit(0.0)) + d * tt / v) / nt if nt else F.lit(1.0 / v)
+    all1 = (F.col("wc") * share - d * held(F.col("wc"), share) + d * types / v) / (share * n or 1.0)
+    word = materialize(by_word.select("w", own1.alias("p1t"), all1.alias("p1b")), "lm-unigrams")
+    ahead = counts.groupBy("h").agg(F.sum("c").alias("hc"), F.sum("ct").alias("ht"), whole(held(F.col("c"), share)).alias("hk"), F.count_if(F.col("ct") > 0).alias("hkt"))
+    ahead = materialize(ahead, "lm-ahead")  # apart, so that Spark can split the joins on hot words
+    j = counts.join(ahead, "h").join(word, "w")
+    own = F.when(F.col("ht") > 0, (F.greatest(F.col("ct") - d, F.lit(0.0)) + d * F.col("hkt") * F.col("p1t")) / F.col("ht")).otherwise(F.col("p1t"))
+    common = (F.col("c") * share - d * held(F.col("c"), share) + d * F.col("hk") * F.col("p1b")) / (F.col("hc") * share)
+    bits = lambda p: F.round(-F.log2(p) * UNIT).cast("long")
+    return j.select("h", "w", bits(own).alias("t"), bits(common).alias("b"))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``n_tokens``, ``target_loss``, ``background_loss``, ``score``) of every row.
 
     ``target`` holds ids of the documents that make the target corpus; all rows make the
-    background. Losses are bits a token; ``score`` is target less background loss,
-    lower for texts like the target. A null text counts as empty; without tokens all
-    three are 0. With an empty target its model is uniform. Repeated rows are counted
-    and scored each; null ids are never in the target; other columns are not read.
+    background (see ``losses``). Losses are bits a word; ``score`` is target less
+    background loss, lower for texts like the target. A null text counts as empty;
+    without words all three are 0. With an empty target its model is uniform, and the
+    background is not thinned. Repeated rows are counted and scored each; null ids are
+    never in the target; an empty table gives an empty result; other columns are not read.
+
+    All counts are tables that grow with the input; nothing of them is collected or
+    broadcast. Texts are split into words once and not shuffled. Each word meets the loss
+    of its pair by a join whose hot pairs Spark can split.
     """
-    d = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    # the target's ids grow with the input and are not broadcast
-    own = d.join(target.select(F.col(id_col).alias("_id")).hint("merge"), "_id", "left_semi")
-    vocabulary, wanted, common = train(d.select("t"), own.select("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, words, bounds in chunks(batch.column(1)):
-                n = np.diff(bounds)
-                ids = vocabulary.ids(words)
-                before, slots = pairs(ids, bounds)
-                rows = np.repeat(np.arange(len(n)), n)
-                means = [np.bincount(rows, m.losses(before, ids, slots), minlength=len(n)) / np.maximum(n, 1) for m in (wanted, common)]
-                cols = [pa.array(x) for x in (n.astype(np.int64), *means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), *cols], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
-
-    return d.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, score double")
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    blocks = materialize(word_blocks(d), "lm-blocks")  # fixes the rows' numbers
+    own = target.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("own", F.lit(1)).hint("merge")
+    counts = pairs(blocks.join(own, "id", "left"), "own").groupBy("h", "w").agg(F.count("*").alias("c"), F.count("own").alias("ct"))
+    counts = materialize(counts, "lm-counts")
+    lost = materialize(losses(counts), "lm-losses")
+    discard(counts)
+    sums = pairs(blocks, "row").join(lost, ["h", "w"]).groupBy("row").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    mean = lambda x: F.coalesce(F.col(x) / F.col("n") / UNIT, F.lit(0.0))
+    out = blocks.filter("part = 0").select("row", "id", "n").join(sums, "row", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))

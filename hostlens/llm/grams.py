@@ -17,7 +17,8 @@ CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15  # odd: has an inverse modulo 2**64
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,13 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 2))
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers = tuple(np.cumprod(np.array([1] + [b] * (size - 1), np.uint64), dtype=np.uint64) for b in (_BASE, inverse))
+def _power_tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, up to CHUNK bytes: longer texts go piece by piece."""
+    if not _powers:
+        _powers.extend(np.cumprod(np.array([1] + [b] * (CHUNK - 1), np.uint64), dtype=np.uint64) for b in (_BASE, _INVERSE))
     return _powers
 
 
@@ -65,10 +63,29 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[cuts] = inside[cuts]
     last[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    words = (sums[ends] - sums[starts]) * inverse[starts]
+    power, inverse = _power_tables()
+    words, carry = np.empty(len(starts), np.uint64), np.uint64(0)
+    for at in range(0, len(data), CHUNK):  # running sums of a piece; a word may end in a later one
+        piece = data[at : at + CHUNK]
+        scale = [np.uint64(pow(b, at, 1 << 64)) for b in (_BASE, _INVERSE)]
+        sums = np.empty(len(piece) + 1, np.uint64)
+        sums[0] = carry
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * power[: len(piece)], out=sums[1:])
+        sums[1:] *= scale[0]
+        sums[1:] += carry
+        carry = sums[-1]
+        s = slice(*np.searchsorted(starts, (at, at + len(piece))))
+        e = slice(*np.searchsorted(ends, (at, at + len(piece)), "right"))
+        words[s] = sums[starts[s] - at]
+        done = sums[ends[e] - at] - words[e]
+        # to the power of where the word begins, here or in an earlier piece
+        begin = starts[e]
+        if len(begin) and begin[0] < at:
+            done[:1] *= np.uint64(pow(_INVERSE, int(begin[0]), 1 << 64))
+            done[1:] *= inverse[begin[1:] - at] * scale[1]
+        else:
+            done *= inverse[begin - at] * scale[1]
+        words[e] = done
     return mix(words), np.searchsorted(starts, offsets)
 
 

@@ -9,19 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
 from .grams import chunks, counted, mix, shingles
-from .common import materialize
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Samples a band, and bands: texts of similarity 0.8 meet with probability 0.9992.
 ROWS, BANDS = 3, 10
-#: Inverse document frequency: ln(1 + 1 / max(share of the documents, FLOOR)). Shares
-#: below the floor are not told apart: what a large group of near copies has in common
-#: would otherwise weigh so much less than their differences that they drift apart.
-FLOOR = 0.25
-#: Documents whose frequent shingles are listed at once; frequent lists this long at
-#: most are held by each task (beyond, they are counted by a shuffle).
-LIST_DOCS, HELD = 64, 1_000_000
+#: Inverse document frequency: ln(1 + 1 / max(share of the documents, FLOOR)). So at most
+#: (shingles of a document / FLOOR) shingles have another idf than the rest, at any
+#: size of the input, and each task holds these.
+FLOOR = 0.001
+#: Plain MinHash samples a band, and bands, that tell copies from other documents while
+#: document frequencies are counted.
+COPY_ROWS, COPY_BANDS = 2, 6
+#: Documents are counted in whole parts, so that sums do not depend on their order.
+UNIT = 1 << 32
 #: Rounds in which the bands' groups compare their classes with a pivot; an exact pass
 #: over all pairs that are left (see ``left_pairs``) follows.
 ROUNDS = 2
@@ -30,52 +32,68 @@ ROUNDS = 2
 # --- document frequencies ----------------------------------------------------------
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in FLOOR of the documents of some run of LIST_DOCS or more.
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n): in how many documents of a run each shingle is."""
+    for batch in batches:
+        for _, words, bounds in chunks(batch.column(0)):
+            h, n = np.unique(counted(*shingles(words, bounds, SHINGLE))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    What is in FLOOR of all documents is in FLOOR of those of some run.
-    """
-    held: list[np.ndarray] = []
-    docs = 0
 
-    def out() -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-        return pa.RecordBatch.from_arrays([pa.array(h[n >= FLOOR * docs].view(np.int64))], ["h"])
+def least(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """(n, documents) plain MinHash samples."""
+    out = np.empty((n, len(starts)), np.uint64)
+    for j in range(n):
+        out[j] = np.minimum.reduceat(mix(h ^ np.uint64((j + 101) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), starts)
+    return out
 
-    for batch in batches:
-        for _, words, bounds in chunks(batch.column(0)):
-            held.append(counted(*shingles(words, bounds, SHINGLE))[0])
-            docs += len(bounds) - 1
-            if docs >= 2 * LIST_DOCS:
-                yield out()
-                held, docs = [], 0
-    if docs:
-        yield out()
+
+def _sketched(wanted: np.ndarray):
+    """(row, keys, hits) of (row, t): keys of the copy bands, and which wanted shingles it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, words, bounds in chunks(batch.column(1)):
+                h, rows, _ = counted(*shingles(words, bounds, SHINGLE))
+                if not len(h):
+                    continue
+                present, starts = np.unique(rows, return_index=True)
+                keys = band_keys(least(h, starts, COPY_ROWS * COPY_BANDS), COPY_ROWS).view(np.int64)
+                found = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1) if len(wanted) else np.zeros(len(h), int)
+                hit = wanted[found] == h if len(wanted) else np.zeros(len(h), bool)
+                ends = np.append(np.searchsorted(rows[hit], present), hit.sum()).astype(np.int32)
+                cols = [batch.column(0).take(pa.array(at + present)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), COPY_BANDS).cast(pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(found[hit].astype(np.int32)))], ["row", "keys", "hits"])
+
+    return run
 
 
 def frequent_shingles(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, idf) of all shingles in over FLOOR of the documents: exact.
+    """(sorted hashes, idf) of all shingles in over FLOOR of the documents (``t``).
+
+    Copies do not make a shingle frequent: else what many near copies have in common
+    would weigh less than their differences, and they would drift apart. A document
+    counts as one part of the largest group that shares one of its copy bands, so that
+    exact and near copies together count as about one document.
 
-    There are at most (shingles of a document / FLOOR) of them.
+    All shingles are counted, with partial sums. Only those in over FLOOR of the rows are
+    counted by groups: there are at most (shingles of a document / FLOOR) of them.
     """
-    listed = materialize(texts.mapInArrow(_listed, "h long").distinct(), "near-frequent")
-    n = listed.count()
-    if not n:
+    seen = texts.mapInArrow(_seen, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > FLOOR * n_docs)
+    wanted = np.sort(np.array([r["h"] for r in seen.select("h").toLocalIterator()], np.int64).view(np.uint64))
+    if not len(wanted):
         return np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    wanted = np.sort(np.array([r[0] for r in listed.collect()], np.int64).view(np.uint64)) if n <= HELD else None
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, words, bounds in chunks(batch.column(0)):
-                h = counted(*shingles(words, bounds, SHINGLE))[0]
-                if wanted is not None:
-                    h = h[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h]
-                h, c = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "n"])
-
-    df = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > FLOOR * n_docs)
-    rows = sorted((int(np.int64(r["h"]).view(np.uint64)), r["n"]) for r in df.toLocalIterator())
-    return np.array([r[0] for r in rows], np.uint64), np.log1p(n_docs / np.array([r[1] for r in rows], float)).astype(np.float32)
+    d = texts.select(F.monotonically_increasing_id().alias("row"), "t")
+    sketch = materialize(d.mapInArrow(_sketched(wanted), "row long, keys array<long>, hits array<int>"), "near-sketch")
+    bands = sketch.select("row", F.posexplode("keys").alias("band", "key"))
+    sizes = materialize(bands.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1"), "near-sizes")  # apart, so that a join on a hot key can be split
+    parts = materialize(bands.join(sizes, ["band", "key"]).groupBy("row").agg(F.max("c").alias("c")), "near-parts")
+    hits = sketch.join(parts, "row", "left").select(F.explode("hits").alias("k"), F.round(F.lit(UNIT) / F.coalesce("c", F.lit(1))).cast("long").alias("part"))
+    rows = sorted((r["k"], r["part"]) for r in hits.groupBy("k").agg(F.sum("part").alias("part")).toLocalIterator())
+    discard(sketch, sizes, parts)
+    share = np.array([r[1] for r in rows], float) / UNIT / n_docs
+    at = np.array([r[0] for r in rows], int)[share > FLOOR]
+    return wanted[at], np.log1p(1 / share[share > FLOOR]).astype(np.float32)
 
 
 class Weights:
@@ -132,11 +150,11 @@ def samples(h: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int) -> n
     return out
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """(documents, BANDS) keys of the samples of each band."""
-    s = s.astype(np.uint64).reshape(BANDS, ROWS, -1)
-    keys = np.zeros((BANDS, s.shape[2]), np.uint64)
-    for k in range(ROWS):
+def band_keys(s: np.ndarray, rows: int) -> np.ndarray:
+    """(documents, bands) keys of the samples of each band of ``rows``."""
+    s = s.astype(np.uint64).reshape(len(s) // rows, rows, -1)
+    keys = np.zeros((len(s), s.shape[2]), np.uint64)
+    for k in range(rows):
         keys = mix(keys * np.uint64(0x8CB92BA72F3D8DD7) + s[:, k])
     return keys.T
 
@@ -151,7 +169,7 @@ def _signed(weights: Weights, text_at: int):
                 bands: list = [[] for _ in range(n)]
                 if len(h):
                     present, starts = np.unique(rows, return_index=True)
-                    keys = band_keys(samples(h, weights(h, tf), starts, ROWS * BANDS)).view(np.int64)
+                    keys = band_keys(samples(h, weights(h, tf), starts, ROWS * BANDS), ROWS).view(np.int64)
                     for k, row in zip(present, keys, strict=True):
                         bands[k] = row
                 cols = [batch.column(k).slice(at, n) for k in keep]
@@ -248,6 +266,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         low = materialize(low, "near-low")  # apart, so that a join on a hot node can be split
+        made.append(low)
         j = both.join(low, "a")
         if large:
             j = j.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -255,6 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
             j = j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         return j.filter("a <> b").distinct()
 
+    made: list[DataFrame] = []
+
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
@@ -262,20 +283,25 @@ def components(edges: DataFrame) -> DataFrame:
     was = None
     while (now := sign(e)) != was:
         was = now
+        made.append(e)
         e = materialize(star(star(e, True), False), "near-edges")
+        discard(*made)
+        made.clear()
     return e.select(F.col("a").alias("node"), F.col("b").alias("least"))
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """(id, ``class_id``, ``n_links``, ``kept``) of every row.
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, keep: list[str] | None = None) -> DataFrame:
+    """(id, ``class_id``, ``kept``) of every row.
 
     Two texts are linked when the weighted Jaccard similarity of their TF-IDF five-word
     shingles is at least ``similar``; classes are connected components, named by their
-    smallest id, whose document is ``kept``. ``n_links`` counts the verified links of a
-    document's text to other texts. Texts under five words are one shingle; texts
-    without words are alike only when equal. Null texts count as empty. Rows that repeat
-    an id are one document. A null id has a name of its own (from 2**62 on, made from
-    the text), which is its ``class_id`` where no other id is in its class.
+    smallest id, whose document is ``kept``. Texts under five words are one shingle;
+    texts without words are alike only when equal. Null texts count as empty. Ids are
+    whole numbers. Rows that repeat an id are one document, kept in one row for each of
+    its texts. A null id has a name of its own (from 2**62 on, made from the text),
+    which is its ``class_id`` where no other id is in its class; of equal texts without
+    ids one is kept. An empty table gives an empty result. Other columns are not read,
+    but for those named in ``keep``, which each row brings as the struct ``row``.
 
     Equal texts collapse first. In a band's group, all texts are compared with one
     pivot (not each with each); in further rounds each group's remaining classes are
@@ -286,17 +312,20 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = F.coalesce(F.col(id_col).cast("long"), F.abs(F.xxhash64(text) % (1 << 62)) + (1 << 62))
-    src = docs.select(named.alias("n"), F.col(id_col).alias("_id"), text.alias("t"))
+    more = [F.struct(*(f"`{c}`" for c in keep)).alias("row")] if keep else []
+    src = docs.select(named.alias("n"), F.col(id_col).alias("_id"), text.alias("t"), *more)
     n_docs = src.count()
     weights = Weights(*frequent_shingles(src.select("t"), n_docs))
-    kind = docs.schema[id_col].dataType.simpleString()
-    signed = src.withColumn("th", F.md5("t")).select("n", "_id", "th", "t").mapInArrow(_signed(weights, 3), f"n long, _id {kind}, th string, bands array<long>")
-    signed = materialize(signed, "near-signed")
-    copies = materialize(signed.groupBy("th").agg(F.min("n").alias("rep")), "near-copies")  # apart, so that a join on a hot text can be split
-    rep = signed.select("n", "th", "bands").join(copies, "th").filter("n = rep").select("n", "bands").distinct()
-    rows = materialize(rep.select("n", F.posexplode("bands").alias("band", "key")), "near-bands")
-    groups = materialize(rows.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("n").alias("pivot")).filter("c > 1").drop("c"), "near-pivots")
-    rows = materialize(rows.join(groups, ["band", "key"]), "near-groups")  # groups of two or more
+    own = src.select("n", "_id", F.md5("t").alias("th"), F.monotonically_increasing_id().alias("at"), "t", *(["row"] if keep else []))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "t")
+    signed = materialize(own.mapInArrow(_signed(weights, 4), f"{kinds}, bands array<long>"), "near-signed")  # fixes the rows' numbers
+    copies = signed.groupBy("th").agg(F.min(F.struct("n", "at")).alias("_r")).select("th", F.col("_r.n").alias("rep"), F.col("_r.at").alias("rep_at"))
+    copies = materialize(copies, "near-copies")  # apart, so that a join on a hot text can be split
+    rep = signed.select("n", "th", "at", "bands").join(copies, "th").filter("at = rep_at").select("n", "bands").distinct()
+    bands = materialize(rep.select("n", F.posexplode("bands").alias("band", "key")), "near-bands")
+    groups = materialize(bands.groupBy("band", "key").agg(F.count("*").alias("c"), F.min("n").alias("pivot")).filter("c > 1").drop("c"), "near-pivots")
+    rows = materialize(bands.join(groups, ["band", "key"]), "near-groups")  # groups of two or more
+    discard(bands, groups)
 
     # the texts of all groups, fetched once; the ids grow with the input and are not broadcast
     grouped = rows.select("n").distinct().hint("merge")
@@ -306,14 +335,17 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
         return pairs.join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
 
-    tested = edges = None
+    tested = edges = classes = None
+    made = [rows, texts]
     pairs = rows.filter("n <> pivot").select(F.col("n").alias("a"), F.col("pivot").alias("b")).distinct()
     for k in range(ROUNDS + 1):
         pairs = materialize(pairs, "near-pairs")
         a, b = (texts.select(F.col("n").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
         found = materialize(joined.mapInArrow(_verified(weights), "a long, b long, similarity double").filter(F.col("similarity") >= similar).select("a", "b"), "near-found")
+        made += [pairs, found]
         edges = found if edges is None else edges.unionByName(found)
+        discard(classes)
         classes = materialize(components(edges), "near-classes")
         if k == ROUNDS:
             break
@@ -327,10 +359,10 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         top = r.groupBy("band", "key").agg(F.max("n").alias("m"), F.count("*").alias("k")).filter("k > 1").drop("k")
         top = materialize(top, "near-pivots")
         pairs = untested(r.join(top, ["band", "key"]).filter("n <> m").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct(), tested)
+        made += [r, top]
+    discard(*made)
 
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    links = both.groupBy("a").agg(F.count("*").alias("n_links"))
-    named_copies = copies.join(classes, copies["rep"] == classes["node"], "left").select("th", "rep", F.coalesce("least", "rep").alias("class_id"))
-    named_copies = named_copies.join(links, named_copies["rep"] == links["a"], "left").select("th", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = signed.select("n", "_id", "th").join(named_copies, "th")
-    return out.select(F.col("_id").alias(id_col), "class_id", "n_links", (F.col("n") == F.col("class_id")).alias("kept"))
+    named_copies = copies.join(classes, copies["rep"] == classes["node"], "left").select("th", "rep_at", F.coalesce("least", "rep").alias("class_id"))
+    out = signed.select("n", "_id", "th", "at", *(["row"] if keep else [])).join(named_copies, "th")
+    kept = (F.col("n") == F.col("class_id")) & (F.col("at") == F.col("rep_at"))
+    return out.select(F.col("_id").alias(id_col), "class_id", kept.alias("kept"), *(["row"] if keep else []))

@@ -7,12 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from hostlens.llm import exact_dedup, lm_scoring, mixing, near_dedup, quality, telephony
-from hostlens.llm.grams import chunks, shingles
+from hostlens.llm import exact_dedup, grams, lm_scoring, mixing, near_dedup, quality, telephony
+from hostlens.llm.grams import chunks, counted, shingles
 from hostlens.llm.line_dedup import apply_bitmaps, line_bitmaps, line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, kept string, size string, class_id string, score string"
@@ -177,8 +178,6 @@ def test_mix(docs, empty):
 
 
 def test_shingles_and_words():
-    import pyarrow as pa
-
     ts = texts()
     names = {}
     for at, words, bounds in chunks(pa.array(ts)):
@@ -202,17 +201,23 @@ def test_samples_agree_as_often_as_weights():
     assert abs(got - want) < 4 * (want * (1 - want) / n) ** 0.5 + 0.005
 
 
+def spans(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    return [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] * bool(w)
+
+
 def test_near_classes(docs, empty, spark):
     ts = texts()
 
-    def bag(t):
-        w = (t or "").lower().split()
-        return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
-
-    bags = {i: bag(t) for i, t in enumerate(ts)}
-    df = Counter(s for b in bags.values() for s in b)
-    share = {s: n / len(ts) for s, n in df.items()}
-    idf = {s: np.log(1 + 1 / max(p, near_dedup.FLOOR)) for s, p in share.items()}
+    bags = {i: Counter(spans(t)) for i, t in enumerate(ts)}
+    frequent = dict(zip(*map(np.ndarray.tolist, near_dedup.frequent_shingles(docs.select(F.coalesce("text", F.lit("")).alias("t")), len(ts))), strict=True))
+    names = {}
+    for at, words, bounds in chunks(pa.array(ts)):
+        h, rows = shingles(words, bounds)
+        for i in range(len(bounds) - 1):
+            names |= dict(zip(spans(ts[at + i]), h[rows == i].tolist(), strict=True))
+    idf = {s: frequent.get(names[s], np.log1p(1 / near_dedup.FLOOR)) for b in bags.values() for s in b}
+    assert len({round(x, 3) for x in idf.values()}) > 3  # words that many documents say weigh less
     up = {i: i for i in bags}
 
     def root(i):
@@ -220,7 +225,6 @@ def test_near_classes(docs, empty, spark):
             i = up[i]
         return i
 
-    links = Counter()
     reps = {}
     for i, t in enumerate(ts):
         reps.setdefault(t or "", i)
@@ -233,7 +237,6 @@ def test_near_classes(docs, empty, spark):
                 total = sum(n * idf[s] for b in (bags[i], bags[j]) for s, n in b.items()) - both
                 if both / total >= 0.8:
                     up[max(root(i), root(j))] = min(root(i), root(j))
-                    links[i] += 1
     least = defaultdict(list)
     for i in bags:
         least[root(i)].append(i)
@@ -241,9 +244,12 @@ def test_near_classes(docs, empty, spark):
     rows = near_dedup.near_classes(docs).collect()
     assert {r["doc_id"]: r["class_id"] for r in rows} == want and all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in rows)
     assert near_dedup.near_classes(empty).count() == 0
-    odd = frame(spark, [(None, "one two three four five six", None, None, None), (4, "one two three four five six", None, None, None), (None, None, None, None, None)])
-    got = near_dedup.near_classes(odd).collect()
-    assert sorted((r["doc_id"] is None, r["class_id"] == 4, r["kept"]) for r in got) == [(False, True, True), (True, False, True), (True, True, False)]
+    same = "one two three four five six"
+    odd = frame(spark, [(None, same, None, None, None), (4, same, None, None, None), (4, same, None, None, None), (None, None, None, None, None), (None, "", None, None, None), (7, "", None, "s", None)])
+    got = near_dedup.near_classes(odd.filter("doc_id is null or doc_id < 7")).collect()
+    assert sorted((r["doc_id"] is None, r["class_id"] == 4, r["kept"]) for r in got) == [(False, True, False), (False, True, True), (True, False, False), (True, False, True), (True, True, False)]
+    carried = near_dedup.near_classes(odd, keep=["source", "doc_id"]).filter("kept").select("row.*").collect()
+    assert sorted(map(tuple, carried), key=repr) == [("s", 7), (None, 4)]
 
 
 def test_linked_members_of_a_large_group(spark):
@@ -261,14 +267,54 @@ def test_linked_members_of_a_large_group(spark):
     assert {r["doc_id"]: r["class_id"] for r in rows} == {i: i - 1 if 100 <= i < 132 and i % 2 else i for i in docs}
 
 
-def test_frequent_shingles_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "LIST_DOCS", 4)
-    rows = [("often said by very many documents here" if i % 2 else f"rare words {i} of one text {i}",) for i in range(60)]
-    d = spark.createDataFrame(rows, "t string").repartition(7)
-    h, idf = near_dedup.frequent_shingles(d, 60)
-    assert len(h) == 3 and np.allclose(idf, np.log1p(2))
-    monkeypatch.setattr(near_dedup, "HELD", 0)
-    assert (near_dedup.frequent_shingles(d, 60)[0] == h).all()
+def test_frequent_shingles(spark):
+    """By documents, of which near and exact copies together are about one."""
+    say = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    common = "often said by very many documents here"
+    rows = [f"{say(i, 30)} {common if i < 400 else say(-1 - i, 3)} {say(-3000 - i, 30)}" for i in range(2000)]
+    base = say(5000, 200).split()
+    rows += [" ".join([*base[: k % 190], f"new{k}", *base[k % 190 + 1 :]]) for k in range(300)] + [say(6000, 20)] * 200
+    d = spark.createDataFrame([(x,) for x in rows], "t string").repartition(7)
+    h, idf = near_dedup.frequent_shingles(d, len(rows))
+    share = dict(zip(h.tolist(), (1 / np.expm1(idf)).tolist(), strict=True))
+    names = {}
+    for _, words, bounds in chunks(pa.array([common, " ".join(base), say(6000, 20)])):
+        hs, of = shingles(words, bounds)
+        names |= {k: hs[of == k].tolist() for k in range(3)}
+    assert all(abs(share[x] - 400 / 2500) < 0.02 for x in names[0])
+    assert all(share.get(x, 0) < 10 / 2500 for x in names[1]) and not set(names[2]) & share.keys()
+    plain = spark.createDataFrame([(x,) for x in rows[:2000]], "t string").repartition(3)
+    h, idf = near_dedup.frequent_shingles(plain, 2000)
+    df = Counter(x for t in rows[:2000] for x in set(spans(t)))
+    assert len(h) == sum(n > 2 for n in df.values()) == 3 and np.allclose(np.expm1(idf), 5, rtol=0.1)
+
+
+def test_recall_on_given_tables(spark):
+    """Near copies of every fifth document, found by comparing it with all others."""
+    try:
+        d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").cache()
+    except Exception:
+        pytest.skip("no tables here")
+    rows = d.collect()
+    weights = near_dedup.Weights(*near_dedup.frequent_shingles(d.select(F.col("text").alias("t")), len(rows)))
+    held = {}
+    for at, words, bounds in chunks(pa.array([r["text"] for r in rows])):
+        h, of, tf = counted(*shingles(words, bounds))
+        for i in range(len(bounds) - 1):
+            held[rows[at + i]["doc_id"]] = h[of == i], weights(h[of == i], tf[of == i])
+    cls = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(d).collect()}
+    near = [(i, j) for i in held if i % 5 == 0 for j in held if i != j and near_dedup.similarity(held[i], held[j]) >= 0.8]
+    assert len(near) > 5 and np.mean([cls[i] == cls[j] for i, j in near]) >= 0.9
+
+
+def test_words_of_very_long_texts(monkeypatch):
+    """Hashed piece by piece; a word may be longer than a piece."""
+    ts = [t or "" for t in texts()] + ["y" * 700 + " z " + "é" * 333, " ".join(["w"] * 500)]
+    whole = np.concatenate([w for _, w, _ in chunks(pa.array(ts))])
+    monkeypatch.setattr(grams, "CHUNK", 64)
+    monkeypatch.setattr(grams, "_powers", [])
+    parts = list(chunks(pa.array(ts)))
+    assert len(parts) > 5 and (np.concatenate([w for _, w, _ in parts]) == whole).all()
 
 
 def test_components(spark):
@@ -288,30 +334,52 @@ def test_components(spark):
     assert got == {x: m for x, m in least.items() if x != m}
 
 
-def test_lm_scoring(docs, empty, spark):
-    target = spark.createDataFrame([(i,) for i in range(15, 30)] + [(None,)], "doc_id long")
-    rows = lm_scoring.cross_entropy_difference(docs, target).collect()
-    ts = texts()
-    said = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in ts]
+def brute_losses(said, own):
+    """Mean bits of each text: target, then background, as ``losses`` defines them."""
+    d = lm_scoring.DISCOUNT
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for i, w in enumerate(said):
+    for i, w in said.items():
         for k in (0, 1):
-            if k or i in range(15, 30):
+            if k or i in own:
                 uni[k].update(w)
-                bi[k].update(zip(["", *w], w, strict=False))
-    n = len(uni[1]) + 1
-    for r in rows:
-        w = said[r["doc_id"]]
-        assert r["n_tokens"] == len(w)
-        loss = []
-        for k in (0, 1):
-            total = sum(uni[k].values())
-            p = [lm_scoring.BIGRAM * min(bi[k][a, b] / max(uni[k][a] if a else 0, 1), 1) + (1 - lm_scoring.BIGRAM) * (uni[k][b] + 1) / (total + n) for a, b in zip(["", *w], w, strict=False)]
-            loss.append(-sum(map(np.log2, p)) / len(w) if w else 0)
-        assert np.allclose([r["target_loss"], r["background_loss"], r["score"]], [*loss, loss[0] - loss[1]], rtol=1e-3, atol=1e-3)
+                bi[k].update(zip([None, *w], w, strict=False))
+    n = [sum(u.values()) for u in uni]
+    r, v = min(1.0, n[0] / n[1]) if n[0] else 1.0, len(uni[1])
+    q = lambda c: 1 - (1 - r) ** c
+    types, ahead, kinds = [sum(map(q, uni[1].values())), len(uni[0])], [Counter(), Counter()], [Counter(), Counter()]
+    for k in (0, 1):
+        for (h, _), c in bi[k].items():
+            ahead[k][h] += c
+            kinds[k][h] += q(c) if k else 1
+
+    def p(h, w):
+        t1 = (max(uni[0][w] - d, 0) + d * types[1] / v) / n[0] if n[0] else 1 / v
+        b1 = (uni[1][w] * r - d * q(uni[1][w]) + d * types[0] / v) / (r * n[1])
+        t = (max(bi[0][h, w] - d, 0) + d * kinds[0][h] * t1) / ahead[0][h] if ahead[0][h] else t1
+        return t, (bi[1][h, w] * r - d * q(bi[1][h, w]) + d * kinds[1][h] * b1) / (r * ahead[1][h])
+
+    for h in [None, *list(uni[1])[:5]]:  # both are proper: they sum up to one
+        if ahead[1][h]:
+            assert np.allclose(np.sum([p(h, w) for w in uni[1]], axis=0), 1)
+    return {i: -np.mean([np.log2(p(h, x)) for h, x in zip([None, *w], w, strict=False)], axis=0) if w else np.zeros(2) for i, w in said.items()}
+
+
+@pytest.mark.parametrize("block", [1 << 16, 7])
+def test_lm_scoring(docs, empty, spark, monkeypatch, block):
+    monkeypatch.setattr(lm_scoring, "BLOCK", block)  # 7: texts go through in several rows
+    said = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for i, t in enumerate(texts())}
+    target = spark.createDataFrame([(i,) for i in range(15, 30)] + [(None,), (15,)], "doc_id long")
+    for ids, own in ((target, set(range(15, 30))), (target.limit(0), set())):
+        want = brute_losses(said, own)
+        rows = lm_scoring.cross_entropy_difference(docs, ids).collect()
+        assert len(rows) == len(said)
+        for r in rows:
+            t, b = want[r["doc_id"]]
+            assert r["n_tokens"] == len(said[r["doc_id"]]) and np.allclose([r["target_loss"], r["background_loss"], r["score"]], [t, b, t - b], rtol=1e-4, atol=1e-4)
     assert lm_scoring.cross_entropy_difference(empty, target).count() == 0
-    none = lm_scoring.cross_entropy_difference(docs, target.limit(0)).filter("n_tokens > 0").select(F.countDistinct(F.round("target_loss", 4))).first()[0]
-    assert none == 1  # a uniform model
+    odd = frame(spark, [(None, "a b", None, None, None), (None, "a c c", None, None, None), (3, "a b", None, None, None), (3, "a b", None, None, None)])
+    got = lm_scoring.cross_entropy_difference(odd, target).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 2), (0, 3), (3, 2), (3, 2)] and len({r["score"] for r in got if r["n_tokens"] == 2}) == 1
 
 
 def test_quality(spark, empty):
@@ -331,6 +399,32 @@ def test_quality(spark, empty):
     assert all(x["predicted"] == 1 for x in alone)
 
 
+def rank_auc(score, y):
+    score, y = np.asarray(score), np.asarray(y)
+    return np.mean([(a > b) + (a == b) / 2 for a in score[y == 1] for b in score[y == 0]])
+
+
+def test_quality_is_the_calibrated_difference(spark):
+    """Every score again, from the dictionaries; held-out labels; long texts differ too."""
+    try:
+        d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    except Exception:
+        pytest.skip("no tables here")
+    m = quality.train(d, labels)
+    packers = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False) for x in (m.good, m.bad)]
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = quality.score(d.select("doc_id", "text"), m).collect()
+    for r in rows:
+        raw = r["text"].encode()
+        good, bad = (len(p.compress(raw)) for p in packers)
+        assert abs(r["score"] - 1 / (1 + np.exp(-((bad - good) / (len(raw) + 1) * m.weight + m.offset)))) < 1e-6
+    assert m.weight > 0
+    held = [r for r in rows if r["doc_id"] in truth and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert rank_auc([r["score"] for r in held], [truth[r["doc_id"]] for r in held]) > 0.85
+    long = d.withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 12))
+    assert quality.quality_scores(long, labels).select(F.countDistinct("score")).first()[0] > 500
+
+
 def test_scores_do_not_depend_on_held_out_labels(spark):
     d = frame(spark, [(i, f"text number {i} " * 5, None, None, None) for i in range(60)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")

@@ -32,9 +32,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
-    gone = near_classes(docs).filter("not kept and doc_id is not null").select("doc_id")
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of each class of near copies the document with the smallest id stays.
+
+    Rows without an id are judged by their texts; of equal ones a single row stays, as of
+    rows that repeat both id and text. A null or empty text is only like another such.
+    """
+    return near_classes(docs, keep=COLUMNS).filter("kept").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -35,11 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts lineage; the copy outlives lost executors.
+    Cuts lineage; the copy outlives lost executors. The shuffle files that it took go
+    with the end of the job, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, was) if was is not None else spark.conf.unset(CLEAN_UP)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

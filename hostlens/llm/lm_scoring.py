@@ -1,113 +1,242 @@
-"""LM scoring: cross-entropy difference of a target and a background bigram model."""
+"""LM scoring: cross-entropy difference of a target and a background bigram model.
+
+The words of all documents, and all their pairs, are counted exactly. Texts become runs
+of some hundred thousand words. A run sends each distinct key once, dealt into buckets by
+its hash; a bucket sums up its keys over all runs, and sends the sums back to the runs
+in the order in which they came. So each run has the counts of its own words and pairs
+over the whole corpus, and no task, nor the driver, has a table of all of them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
-from .grams import chunks
+from .grams import chunks, mix
 
-#: Of each seen word or pair so much of a count goes to what was not seen (both models).
-DISCOUNT = 0.75
-#: Words of a text that make one row; longer texts are several rows.
-BLOCK = 1 << 16
+#: Words that the Dirichlet prior weighs as much as: of a pair's model by its unigrams,
+#: and of the unigrams by equal shares, for each word of the vocabulary.
+PAIR_PRIOR, WORD_PRIOR = 2.0, 0.1
+#: Words of a run (a longer text is several runs), and keys of a bucket.
+RUN, BUCKET = 1 << 19, 1 << 19
 #: Losses are whole parts of a bit, so that sums do not depend on their order.
 UNIT = 1 << 20
 
 
-def word_blocks(docs: DataFrame) -> DataFrame:
-    """(row, id, part, n, before, words) of (row, id, t).
+@dataclass
+class Run:
+    """Some documents in a row, or a part of one."""
 
-    Words by their hashes, in order, at most BLOCK a row; ``before`` is the word ahead of
-    them (0 begins a text); part 0 is there for each row, and ``n`` counts all its words.
-    """
+    own: np.ndarray  # of each document: in the target
+    n: np.ndarray  # of each document: its words here
+    words: np.ndarray  # distinct hashes, sorted
+    seq: np.ndarray  # which of them stand here, one after another
+    before: int  # the one ahead of the first (of a text's beginning: that of hash 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, words, bounds in chunks(batch.column(2)):
-                n = np.diff(bounds)
-                parts = np.maximum(-(-n // BLOCK), 1)
-                of = np.repeat(np.arange(len(n)), parts)
-                part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-                start = bounds[of] + part * BLOCK
-                before = np.where(part > 0, words[np.maximum(start - 1, 0)] if len(words) else 0, 0).astype(np.uint64)
-                held = pa.ListArray.from_arrays(pa.array(np.append(start, bounds[-1]).astype(np.int32)), pa.array(words.view(np.int64)))
-                take = pa.array(at + of)
-                cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(part.astype(np.int32)), pa.array(n[of].astype(np.int64)), pa.array(before.view(np.int64)), held]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "part", "n", "before", "words"])
+    def sides(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the word ahead of each word, its document, whether that is in the target)"""
+        ahead = np.empty(len(self.seq), np.int64)
+        ahead[1:] = self.seq[:-1]
+        begin = np.cumsum(self.n) - self.n
+        ahead[begin[(begin < len(ahead)) & (self.n > 0)]] = np.searchsorted(self.words, 0)
+        if len(ahead):
+            ahead[0] = self.before
+        doc = np.repeat(np.arange(len(self.n)), self.n)
+        return ahead, doc, self.own[doc]
 
-    return docs.mapInArrow(run, f"row long, id {docs.schema['id'].dataType.simpleString()}, part int, n long, before long, words array<long>")
+    def word_counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Distinct words; as word and as the one ahead, in all and in the target."""
+        ahead, _, own = self.sides()
+        count = lambda x: np.bincount(x, minlength=len(self.words))
+        return self.words, [count(self.seq), count(self.seq[own]), count(ahead), count(ahead[own])]
 
+    def pair_codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct pairs, which of them stand here)"""
+        ahead, _, _ = self.sides()
+        return np.unique(ahead * len(self.words) + self.seq, return_inverse=True)
 
-def pairs(blocks: DataFrame, *more: str) -> DataFrame:
-    """(*more, h, w): each word ``w`` with the one before it."""
-    ahead = F.concat(F.array("before"), F.slice("words", 1, F.size("words") - 1))
-    some = blocks.filter(F.size("words") > 0).select(*more, F.explode(F.arrays_zip(ahead.alias("h"), F.col("words").alias("w"))).alias("_p"))
-    return some.select(*more, "_p.h", "_p.w")
+    def pair_counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Hashes of the distinct pairs; their counts in all and in the target."""
+        codes, at = self.pair_codes()
+        own = self.sides()[2]
+        a, b = (self.words[x] for x in np.divmod(codes, max(len(self.words), 1)))
+        keys = mix(a * np.uint64(0x8CB92BA72F3D8DD7) + mix(b.copy()))
+        return keys, [np.bincount(at, minlength=len(codes)), np.bincount(at[own], minlength=len(codes))]
 
 
-def held(c: Column, share: float) -> Column:
-    """How likely a word with ``c`` occurrences is in a sample of that share of all words."""
-    return F.lit(1.0) - F.pow(F.lit(1.0 - share), c)
+RUN_TYPE = "rows array<long>, own array<boolean>, n array<long>, words array<long>, seq array<int>, before int, pairs long"
 
 
-def losses(counts: DataFrame) -> DataFrame:
-    """(h, w, t, b): bits (in parts of UNIT) that either model needs for a pair's word.
+def runs(docs: DataFrame) -> DataFrame:
+    """(row, part, ids, RUN_TYPE) of (row, id, own, t); named by its first row and part."""
 
-    ``counts`` has each pair's occurrences ``c`` in all documents and ``ct`` in the
-    target. Both are bigram models with absolute discount that go back to unigrams, and
-    these to equal shares of the one vocabulary: every word of the documents. The
-    background is matched to the target in size: its counts are those expected in a
-    sample of the documents that has as many words as the target, so that it isn't
-    the surer model for being the larger. For each word ahead both sum up to 1.
-    """
-    d = DISCOUNT
-    by_word = materialize(counts.groupBy("w").agg(F.sum("c").alias("wc"), F.sum("ct").alias("wt")), "lm-words")
-    n, nt, v = by_word.agg(F.sum("wc"), F.sum("wt"), F.count("*")).first()
-    n, nt, v = n or 0, nt or 0, max(v, 1)
-    share = min(1.0, nt / n) if nt else 1.0
-    whole = lambda x: F.sum(F.round(x * UNIT).cast("long")) / UNIT
-    types, tt = by_word.agg(whole(held(F.col("wc"), share)), F.count_if(F.col("wt") > 0)).first()
-    types = types or 0.0
-    own1 = (F.greatest(F.col("wt") - d, F.lit(0.0)) + d * tt / v) / nt if nt else F.lit(1.0 / v)
-    all1 = (F.col("wc") * share - d * held(F.col("wc"), share) + d * types / v) / (share * n or 1.0)
-    word = materialize(by_word.select("w", own1.alias("p1t"), all1.alias("p1b")), "lm-unigrams")
-    ahead = counts.groupBy("h").agg(F.sum("c").alias("hc"), F.sum("ct").alias("ht"), whole(held(F.col("c"), share)).alias("hk"), F.count_if(F.col("ct") > 0).alias("hkt"))
-    ahead = materialize(ahead, "lm-ahead")  # apart, so that Spark can split the joins on hot words
-    j = counts.join(ahead, "h").join(word, "w")
-    own = F.when(F.col("ht") > 0, (F.greatest(F.col("ct") - d, F.lit(0.0)) + d * F.col("hkt") * F.col("p1t")) / F.col("ht")).otherwise(F.col("p1t"))
-    common = (F.col("c") * share - d * held(F.col("c"), share) + d * F.col("hk") * F.col("p1b")) / (F.col("hc") * share)
-    bits = lambda p: F.round(-F.log2(p) * UNIT).cast("long")
-    return j.select("h", "w", bits(own).alias("t"), bits(common).alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for at, words, bounds in chunks(batch.column(3)):
+                n = np.diff(bounds)
+                long = np.flatnonzero(n > RUN)
+                for a, b in pairwise(sorted({0, len(n), *long, *(long + 1)})):
+                    one = at + a, words[bounds[a] : bounds[b]], n[a:b]
+                    if n[a] > RUN or sum(len(h[1]) for h in held) >= RUN:
+                        yield from made(batch, held)
+                        held = []
+                    if n[a] > RUN:
+                        yield from made(batch, [one])
+                    else:
+                        held.append(one)
+            yield from made(batch, held)
+
+    def made(batch: pa.RecordBatch, held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        words, n, at = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), held[0][0]
+        for part in range(max(-(-len(words) // RUN), 1) if len(n) == 1 else 1):
+            now = words[part * RUN : (part + 1) * RUN] if len(n) == 1 else words
+            own = np.asarray(batch.column(2).slice(at, len(n)).is_valid())
+            before = words[part * RUN - 1] if part else np.uint64(0)
+            distinct, seq = np.unique(np.concatenate((np.array([before, 0], np.uint64), now)), return_inverse=True)
+            r = Run(own, n if len(n) > 1 else np.array([len(now)]), distinct, seq[2:], int(seq[0]))
+            one = lambda x, t: pa.array([x], pa.list_(t))
+            rows = np.asarray(batch.column(0).slice(at, len(n)))
+            ids = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), batch.column(1).slice(at, len(n)))
+            cols = [pa.array([rows[0]]), pa.array([part], pa.int32()), ids, one(rows, pa.int64()), one(own, pa.bool_()), one(r.n, pa.int64()), one(distinct.view(np.int64), pa.int64()), one(r.seq, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([r.before], pa.int32()), pa.array([len(r.pair_codes()[0])], pa.int64())], ["row", "part", "ids", "rows", "own", "n", "words", "seq", "before", "pairs"])
+
+    return docs.mapInArrow(run, f"row long, part int, ids array<{docs.schema['id'].dataType.simpleString()}>, {RUN_TYPE}")
+
+
+def read_run(row: dict[str, pa.Array]) -> Run:
+    flat = lambda c, t: np.asarray(row[c].values).astype(t, copy=False)
+    return Run(flat("own", bool), flat("n", np.int64), flat("words", np.int64).view(np.uint64), flat("seq", np.int64), row["before"].as_py())
+
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: batch.column(j)[k] for j, c in enumerate(batch.schema.names)}
+
+
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys by bucket, where each bucket begins and the end)"""
+    at = (mix(keys.copy()) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    return order, np.searchsorted(at[order], np.arange(buckets + 1))
+
+
+def totals(held: DataFrame, counts: Callable[[Run], tuple[np.ndarray, list[np.ndarray]]], kinds: int, buckets: int, name: str) -> DataFrame:
+    """(row, part, bucket, c0, c1, ...): sums over all runs for the keys of a run's part of
+    a bucket, in their order. ``fresh`` counts each key of the corpus once."""
+    names = [f"c{k}" for k in range(kinds)]
+    arrays = ", ".join(f"{c} array<long>" for c in names)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            keys, values = counts(read_run(row))
+            order, cuts = dealt(keys, buckets)
+            some = np.flatnonzero(np.diff(cuts))
+            ends = pa.array(np.append(cuts[some], cuts[-1]).astype(np.int32))
+            listed = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys[order].view(np.int64), *(v[order].astype(np.int64) for v in values))]
+            cols = [pa.array(np.full(len(some), row["row"].as_py())), pa.array(np.full(len(some), row["part"].as_py(), np.int32)), pa.array(some)]
+            yield pa.RecordBatch.from_arrays([*cols, *listed], ["row", "part", "bucket", "keys", *names])
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = table["keys"].combine_chunks()
+        if isinstance(keys, pa.ChunkedArray):
+            keys = pa.concat_arrays(keys.chunks)
+        _, first, at = np.unique(np.asarray(keys.flatten()), return_index=True, return_inverse=True)
+        out = {c: table[c] for c in ("row", "part", "bucket")}
+        sizes = np.concatenate(([0], np.cumsum(np.asarray(keys.value_lengths())))).astype(np.int32)
+        for c in names:
+            sums = np.zeros(len(first), np.int64)
+            np.add.at(sums, at, np.asarray(pa.concat_arrays([x.flatten() for x in table[c].chunks])))
+            out[c] = pa.ListArray.from_arrays(pa.array(sizes), pa.array(sums[at]))
+        fresh = np.zeros(len(at), np.int64)
+        fresh[first] = 1
+        out["fresh"] = pa.array(np.add.reduceat(fresh, sizes[:-1]))
+        return pa.table(out)
+
+    rows = held.mapInArrow(send, f"row long, part int, bucket long, keys array<long>, {arrays}")
+    return materialize(rows.groupBy("bucket").applyInArrow(add, f"row long, part int, bucket long, {arrays}, fresh long"), name)
+
+
+def by_run(sums: DataFrame, kinds: int, name: str) -> DataFrame:
+    """(row, part, name): a run's sums, one bucket after another."""
+    cols = [f"c{k}" for k in range(kinds)]
+    return sums.groupBy("row", "part").agg(F.array_sort(F.collect_list(F.struct("bucket", *cols))).alias(name))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``n_tokens``, ``target_loss``, ``background_loss``, ``score``) of every row.
 
     ``target`` holds ids of the documents that make the target corpus; all rows make the
-    background (see ``losses``). Losses are bits a word; ``score`` is target less
-    background loss, lower for texts like the target. A null text counts as empty;
-    without words all three are 0. With an empty target its model is uniform, and the
-    background is not thinned. Repeated rows are counted and scored each; null ids are
-    never in the target; an empty table gives an empty result; other columns are not read.
-
-    All counts are tables that grow with the input; nothing of them is collected or
-    broadcast. Texts are split into words once and not shuffled. Each word meets the loss
-    of its pair by a join whose hot pairs Spark can split.
+    background. Losses are bits a word; ``score`` is target less background loss, lower
+    for texts like the target. A null text counts as empty; without words all three are
+    0. With an empty target its model is uniform, and the background is not scaled.
+    Repeated rows are counted and scored each; null ids are never in the target; an
+    empty table gives an empty result; other columns are not read.
+
+    Both are bigram models with Dirichlet priors: a pair's probability is (its count +
+    PAIR_PRIOR * its word's probability) / (count of the word ahead + PAIR_PRIOR), and
+    a word's is (its count + WORD_PRIOR) / (all counts + WORD_PRIOR for each word of the
+    vocabulary), which is every word of the documents. For each word ahead they sum up
+    to 1. The background is matched to the target in size: its counts are scaled to as
+    many words, so that it isn't the surer model for being the larger.
+
+    The texts meet the target's ids in one shuffle; from there on only hashes of distinct
+    words and pairs are shuffled, once there and their sums once back.
     """
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    blocks = materialize(word_blocks(d), "lm-blocks")  # fixes the rows' numbers
+    # the target's ids grow with the input and are not broadcast
     own = target.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("own", F.lit(1)).hint("merge")
-    counts = pairs(blocks.join(own, "id", "left"), "own").groupBy("h", "w").agg(F.count("*").alias("c"), F.count("own").alias("ct"))
-    counts = materialize(counts, "lm-counts")
-    lost = materialize(losses(counts), "lm-losses")
-    discard(counts)
-    sums = pairs(blocks, "row").join(lost, ["h", "w"]).groupBy("row").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    mean = lambda x: F.coalesce(F.col(x) / F.col("n") / UNIT, F.lit(0.0))
-    out = blocks.filter("part = 0").select("row", "id", "n").join(sums, "row", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))
+    held = materialize(runs(d.join(own, "id", "left").select("row", "id", "own", "t")), "lm-runs")
+    size = held.agg(F.sum(F.size("words")).alias("words"), F.sum("pairs").alias("pairs")).first()
+    buckets = [max(1, -(-(size[c] or 0) // BUCKET)) for c in ("words", "pairs")]
+    words = totals(held, Run.word_counts, 4, buckets[0], "lm-words")
+    pairs = totals(held, Run.pair_counts, 2, buckets[1], "lm-pairs")
+    # counts of a run, summed over the runs, are those of the corpus; hash 0 is no word
+    seen = F.aggregate(F.transform("n", lambda x: x), F.lit(0).cast("long"), lambda a, x: a + x)
+    mine = F.aggregate(F.arrays_zip("n", "own"), F.lit(0).cast("long"), lambda a, x: a + F.when(x["own"], x["n"]).otherwise(0))
+    n, nt = held.agg(F.sum(seen), F.sum(mine)).first()
+    n, nt, v = n or 0, nt or 0, max((words.agg(F.sum("fresh")).first()[0] or 0) - 1, 1)
+    share = min(1.0, nt / n) if nt else 1.0
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            r = read_run(row)
+            ahead, doc, _ = r.sides()
+            codes, at = r.pair_codes()
+            w = gathered(row["_words"], dealt(r.words, buckets[0])[0], 4)
+            p = gathered(row["_pairs"], dealt(r.pair_counts()[0], buckets[1])[0], 2)
+            sums = []
+            for c, cw, ch, all_, k in ((p[1], w[1], w[3], nt, 1.0), (p[0], w[0], w[2], n, share)):
+                one = (cw * k + WORD_PRIOR) / (all_ * k + WORD_PRIOR * v)
+                prob = (c[at] * k + PAIR_PRIOR * one[r.seq]) / (ch[ahead] * k + PAIR_PRIOR)
+                sums.append(np.bincount(doc, np.round(-np.log2(prob) * UNIT), minlength=len(r.n)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([row["rows"].values, row["ids"].values, pa.array(r.n), *map(pa.array, sums)], ["row", "id", "n", "t", "b"])
+
+    known = held.join(by_run(words, 4, "_words"), ["row", "part"]).join(by_run(pairs, 2, "_pairs"), ["row", "part"], "left")
+    kind = docs.schema[id_col].dataType.simpleString()
+    parts = materialize(known.mapInArrow(score, f"row long, id {kind}, n long, t long, b long"), "lm-losses")
+    discard(held, words, pairs)
+    whole = parts.groupBy("row").agg(F.first("id").alias("id"), *(F.sum(c).alias(c) for c in ("n", "t", "b")))
+    mean = lambda x: F.when(F.col("n") > 0, F.col(x) / F.col("n") / UNIT).otherwise(0.0)
+    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))
+
+
+def gathered(parts: pa.ListScalar, order: np.ndarray, kinds: int) -> list[np.ndarray]:
+    """A run's sums in the order of its keys."""
+    out = []
+    for k in range(kinds):
+        x = np.zeros(len(order))
+        if len(order):
+            x[order] = np.asarray(parts.values.field(k + 1).flatten())
+        out.append(x)
+    return out

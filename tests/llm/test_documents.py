@@ -335,38 +335,32 @@ def test_components(spark):
 
 
 def brute_losses(said, own):
-    """Mean bits of each text: target, then background, as ``losses`` defines them."""
-    d = lm_scoring.DISCOUNT
-    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    """Mean bits of each text: target, then background, by the models' definition."""
+    m, a = lm_scoring.PAIR_PRIOR, lm_scoring.WORD_PRIOR
+    uni, bi, ahead = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
     for i, w in said.items():
         for k in (0, 1):
             if k or i in own:
                 uni[k].update(w)
                 bi[k].update(zip([None, *w], w, strict=False))
-    n = [sum(u.values()) for u in uni]
-    r, v = min(1.0, n[0] / n[1]) if n[0] else 1.0, len(uni[1])
-    q = lambda c: 1 - (1 - r) ** c
-    types, ahead, kinds = [sum(map(q, uni[1].values())), len(uni[0])], [Counter(), Counter()], [Counter(), Counter()]
-    for k in (0, 1):
-        for (h, _), c in bi[k].items():
-            ahead[k][h] += c
-            kinds[k][h] += q(c) if k else 1
+                ahead[k].update([None, *w][: len(w)])
+    n, v = [sum(u.values()) for u in uni], len(uni[1])
+    scale = [1, min(1.0, n[0] / n[1]) if n[0] else 1.0]
 
     def p(h, w):
-        t1 = (max(uni[0][w] - d, 0) + d * types[1] / v) / n[0] if n[0] else 1 / v
-        b1 = (uni[1][w] * r - d * q(uni[1][w]) + d * types[0] / v) / (r * n[1])
-        t = (max(bi[0][h, w] - d, 0) + d * kinds[0][h] * t1) / ahead[0][h] if ahead[0][h] else t1
-        return t, (bi[1][h, w] * r - d * q(bi[1][h, w]) + d * kinds[1][h] * b1) / (r * ahead[1][h])
+        one = [(uni[k][w] * scale[k] + a) / (n[k] * scale[k] + a * v) for k in (0, 1)]
+        return [(bi[k][h, w] * scale[k] + m * one[k]) / (ahead[k][h] * scale[k] + m) for k in (0, 1)]
 
     for h in [None, *list(uni[1])[:5]]:  # both are proper: they sum up to one
-        if ahead[1][h]:
-            assert np.allclose(np.sum([p(h, w) for w in uni[1]], axis=0), 1)
+        assert np.allclose(np.sum([p(h, w) for w in uni[1]], axis=0), 1)
     return {i: -np.mean([np.log2(p(h, x)) for h, x in zip([None, *w], w, strict=False)], axis=0) if w else np.zeros(2) for i, w in said.items()}
 
 
-@pytest.mark.parametrize("block", [1 << 16, 7])
-def test_lm_scoring(docs, empty, spark, monkeypatch, block):
-    monkeypatch.setattr(lm_scoring, "BLOCK", block)  # 7: texts go through in several rows
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_scoring(docs, empty, spark, monkeypatch, small):
+    if small:  # long texts are several runs, and keys are dealt into many buckets
+        for name, value in (("RUN", 700), ("BUCKET", 50)):
+            monkeypatch.setattr(lm_scoring, name, value)
     said = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for i, t in enumerate(texts())}
     target = spark.createDataFrame([(i,) for i in range(15, 30)] + [(None,), (15,)], "doc_id long")
     for ids, own in ((target, set(range(15, 30))), (target.limit(0), set())):

@@ -15,6 +15,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ class Run:
         return keys, [np.bincount(at, minlength=len(codes)), np.bincount(at[own], minlength=len(codes))]
 
 
-RUN_TYPE = "rows array<long>, own array<boolean>, n array<long>, words array<long>, seq array<int>, before int, pairs long"
+RUN_TYPE = "rows array<long>, own array<boolean>, n array<long>, words binary, seq binary, before int, pairs long"
 
 
 def runs(docs: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def runs(docs: DataFrame) -> DataFrame:
             one = lambda x, t: pa.array([x], pa.list_(t))
             rows = np.asarray(batch.column(0).slice(at, len(n)))
             ids = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), batch.column(1).slice(at, len(n)))
-            cols = [pa.array([rows[0]]), pa.array([part], pa.int32()), ids, one(rows, pa.int64()), one(own, pa.bool_()), one(r.n, pa.int64()), one(distinct.view(np.int64), pa.int64()), one(r.seq, pa.int32())]
+            cols = [pa.array([rows[0]]), pa.array([part], pa.int32()), ids, one(rows, pa.int64()), one(own, pa.bool_()), one(r.n, pa.int64()), pa.array([distinct.tobytes()], pa.binary()), pa.array([packed(r.seq)], pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([r.before], pa.int32()), pa.array([len(r.pair_codes()[0])], pa.int64())], ["row", "part", "ids", "rows", "own", "n", "words", "seq", "before", "pairs"])
 
     return docs.mapInArrow(run, f"row long, part int, ids array<{docs.schema['id'].dataType.simpleString()}>, {RUN_TYPE}")
@@ -115,7 +116,7 @@ def runs(docs: DataFrame) -> DataFrame:
 
 def read_run(row: dict[str, pa.Array]) -> Run:
     flat = lambda c, t: np.asarray(row[c].values).astype(t, copy=False)
-    return Run(flat("own", bool), flat("n", np.int64), flat("words", np.int64).view(np.uint64), flat("seq", np.int64), row["before"].as_py())
+    return Run(flat("own", bool), flat("n", np.int64), np.frombuffer(row["words"].as_py(), np.uint64), unpacked(row["seq"].as_py()), row["before"].as_py())
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
@@ -131,46 +132,55 @@ def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(at[order], np.arange(buckets + 1))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Most counts are small: compressed they take few bits."""
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(np.ascontiguousarray(numbers, "<i8").tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
+
+
 def totals(held: DataFrame, counts: Callable[[Run], tuple[np.ndarray, list[np.ndarray]]], kinds: int, buckets: int, name: str) -> DataFrame:
-    """(row, part, bucket, c0, c1, ...): sums over all runs for the keys of a run's part of
+    """(row, part, bucket, counts, fresh): sums over all runs for the keys of a run's part of
     a bucket, in their order. ``fresh`` counts each key of the corpus once."""
-    names = [f"c{k}" for k in range(kinds)]
-    arrays = ", ".join(f"{c} array<long>" for c in names)
+    out = "row long, part int, bucket long, counts binary, fresh long"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_row(batches):
             keys, values = counts(read_run(row))
             order, cuts = dealt(keys, buckets)
             some = np.flatnonzero(np.diff(cuts))
-            ends = pa.array(np.append(cuts[some], cuts[-1]).astype(np.int32))
-            listed = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys[order].view(np.int64), *(v[order].astype(np.int64) for v in values))]
-            cols = [pa.array(np.full(len(some), row["row"].as_py())), pa.array(np.full(len(some), row["part"].as_py(), np.int32)), pa.array(some)]
-            yield pa.RecordBatch.from_arrays([*cols, *listed], ["row", "part", "bucket", "keys", *names])
+            sent, values = keys[order], np.array(values, np.int64).reshape(kinds, -1)[:, order]
+            parts = [(sent[cuts[k] : cuts[k + 1]].tobytes(), packed(values[:, cuts[k] : cuts[k + 1]])) for k in some]
+            cols = [pa.array(np.full(len(some), row["row"].as_py(), np.int64)), pa.array(np.full(len(some), row["part"].as_py(), np.int32)), pa.array(some, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x[j] for x in parts], pa.binary()) for j in (0, 1))], ["row", "part", "bucket", "keys", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        keys = table["keys"].combine_chunks()
-        if isinstance(keys, pa.ChunkedArray):
-            keys = pa.concat_arrays(keys.chunks)
-        _, first, at = np.unique(np.asarray(keys.flatten()), return_index=True, return_inverse=True)
-        out = {c: table[c] for c in ("row", "part", "bucket")}
-        sizes = np.concatenate(([0], np.cumsum(np.asarray(keys.value_lengths())))).astype(np.int32)
-        for c in names:
-            sums = np.zeros(len(first), np.int64)
-            np.add.at(sums, at, np.asarray(pa.concat_arrays([x.flatten() for x in table[c].chunks])))
-            out[c] = pa.ListArray.from_arrays(pa.array(sizes), pa.array(sums[at]))
-        fresh = np.zeros(len(at), np.int64)
-        fresh[first] = 1
-        out["fresh"] = pa.array(np.add.reduceat(fresh, sizes[:-1]))
-        return pa.table(out)
-
-    rows = held.mapInArrow(send, f"row long, part int, bucket long, keys array<long>, {arrays}")
-    return materialize(rows.groupBy("bucket").applyInArrow(add, f"row long, part int, bucket long, {arrays}, fresh long"), name)
-
-
-def by_run(sums: DataFrame, kinds: int, name: str) -> DataFrame:
+        sent = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+        ends = np.cumsum([len(x) for x in sent])
+        _, first, at = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
+        values = np.concatenate([unpacked(x).reshape(kinds, -1) for x in table["counts"].to_pylist()], axis=1)
+        sums = np.array([np.bincount(at, v, len(first)) for v in values])[:, at]  # whole below 2**53
+        fresh = np.diff(np.searchsorted(np.sort(first), ends), prepend=0)
+        cols = {c: table[c] for c in ("row", "part", "bucket")}
+        return pa.table(cols | {"counts": pa.array(map(packed, np.split(sums, ends[:-1], axis=1)), pa.binary()), "fresh": pa.array(fresh, pa.int64())})
+
+    rows = held.mapInArrow(send, "row long, part int, bucket long, keys binary, counts binary")
+    return materialize(rows.groupBy("bucket").applyInArrow(add, out), name)
+
+
+def by_run(sums: DataFrame, name: str) -> DataFrame:
     """(row, part, name): a run's sums, one bucket after another."""
-    cols = [f"c{k}" for k in range(kinds)]
-    return sums.groupBy("row", "part").agg(F.array_sort(F.collect_list(F.struct("bucket", *cols))).alias(name))
+    return sums.groupBy("row", "part").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts"))).alias(name))
+
+
+def gathered(parts: pa.ListScalar, order: np.ndarray, kinds: int) -> np.ndarray:
+    """A run's sums in the order of its keys."""
+    out = np.zeros((kinds, len(order)))
+    if len(order):
+        out[:, order] = np.concatenate([unpacked(x.as_py()).reshape(kinds, -1) for x in parts.values.field(1)], axis=1)
+    return out
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +207,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
     # the target's ids grow with the input and are not broadcast
     own = target.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("own", F.lit(1)).hint("merge")
     held = materialize(runs(d.join(own, "id", "left").select("row", "id", "own", "t")), "lm-runs")
-    size = held.agg(F.sum(F.size("words")).alias("words"), F.sum("pairs").alias("pairs")).first()
+    size = held.agg(F.sum(F.octet_length("words") / 8).cast("long").alias("words"), F.sum("pairs").alias("pairs")).first()
     buckets = [max(1, -(-(size[c] or 0) // BUCKET)) for c in ("words", "pairs")]
     words = totals(held, Run.word_counts, 4, buckets[0], "lm-words")
     pairs = totals(held, Run.pair_counts, 2, buckets[1], "lm-pairs")
@@ -222,21 +232,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
                 sums.append(np.bincount(doc, np.round(-np.log2(prob) * UNIT), minlength=len(r.n)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([row["rows"].values, row["ids"].values, pa.array(r.n), *map(pa.array, sums)], ["row", "id", "n", "t", "b"])
 
-    known = held.join(by_run(words, 4, "_words"), ["row", "part"]).join(by_run(pairs, 2, "_pairs"), ["row", "part"], "left")
+    known = held.join(by_run(words, "_words"), ["row", "part"]).join(by_run(pairs, "_pairs"), ["row", "part"], "left")
     kind = docs.schema[id_col].dataType.simpleString()
     parts = materialize(known.mapInArrow(score, f"row long, id {kind}, n long, t long, b long"), "lm-losses")
     discard(held, words, pairs)
     whole = parts.groupBy("row").agg(F.first("id").alias("id"), *(F.sum(c).alias(c) for c in ("n", "t", "b")))
     mean = lambda x: F.when(F.col("n") > 0, F.col(x) / F.col("n") / UNIT).otherwise(0.0)
     return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))
-
-
-def gathered(parts: pa.ListScalar, order: np.ndarray, kinds: int) -> list[np.ndarray]:
-    """A run's sums in the order of its keys."""
-    out = []
-    for k in range(kinds):
-        x = np.zeros(len(order))
-        if len(order):
-            x[order] = np.asarray(parts.values.field(k + 1).flatten())
-        out.append(x)
-    return out

@@ -22,9 +22,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     another; a group of null ids only has ``keep_id`` null and is kept. An empty table
     gives an empty result. Columns other than the two named are not read.
 
-    Plan: hashes (not texts) are grouped, with partial sums before the shuffle. Only
-    rows whose hash occurs again have their text fetched, and equality is decided by
-    grouping those on (hash, bytes): a hot group shrinks to one row a task before it is
+    Plan: hashes (not texts) are grouped, with partial sums before the shuffle. Rows
+    whose hash occurs again have their text fetched, by a join on the id that shuffles
+    each text once where these ids are too many to broadcast, and equality is decided by
+    grouping them on (hash, bytes): a hot group shrinks to one row a task before it is
     shuffled. Where one hash has several texts, the same rows are assigned by their
     bytes instead of by hash.
     """

@@ -59,24 +59,22 @@ def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_kept_text``, ``n_lines`` and ``n_dropped`` (all columns stay)."""
-    b = bitmaps.select(F.col(id_col).alias("_b_id"), F.col("text_hash").alias("_b_th"), F.col("n_dropped").alias("_b_n"), F.col("words").alias("_b_words"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.withColumn("_th", F.xxhash64(text))
-    joined = d.join(b, d[id_col].eqNullSafe(b["_b_id"]) & (d["_th"] == b["_b_th"]), "left")
+    """``docs`` with ``_kept_text``, ``n_lines`` and ``n_dropped``.
+
+    All columns stay but those with the names of these three, which are replaced. Ids
+    are whole numbers.
+    """
+    b = bitmaps.select(F.col(id_col).alias("_b_id"), F.col("text_hash").alias("_b_th"), F.struct("n_dropped", "words").alias("_b"))
+    d = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_d"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_th", F.xxhash64("_t"))
+    joined = d.join(b, d["_id"].eqNullSafe(b["_b_id"]) & (d["_th"] == b["_b_th"]), "left").withColumn("_lines", F.split("_t", "\n"))
     gone = F.expr(
-        "flatten(transform(_b_words, w -> transform(filter(sequence(0, 63), b -> (shiftright(w.bits, b) & 1L) = 1L), b -> w.word * 64 + b)))"
+        "flatten(transform(_b.words, w -> transform(filter(sequence(0, 63), b -> (shiftright(w.bits, b) & 1L) = 1L), b -> w.word * 64 + b)))"
     )
-    lines = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("_kept_text", F.when(F.col("_b_n").isNull(), text).otherwise(kept))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce("_b_n", F.lit(0)).cast("long"))
-        .drop("_lines", "_th", "_b_id", "_b_th", "_b_n", "_b_words")
-    )
+    new = [F.when(F.col("_b").isNull(), F.col("_t")).otherwise(kept).alias("_kept_text"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce("_b.n_dropped", F.lit(0)).cast("long").alias("n_dropped")]
+    stay = [F.col(f"_d.`{c}`").alias(c) for c in docs.columns if c not in ("_kept_text", "n_lines", "n_dropped")]
+    return joined.select("_d", F.struct(*new).alias("_new")).select(*stay, "_new.*")  # in two steps: names may clash
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:

@@ -26,7 +26,8 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony(table(spark, sf_dir, "documents"))
+    """With the resampled PCM itself."""
+    return telephony(table(spark, sf_dir, "documents"), with_pcm=True)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,8 +118,8 @@ class Coder:
         got = a[4][b[1]] = self.meets(a[1], b[1]) if a[0] else self.merged(b[1]) == [b[1]]
         return got
 
-    def tokens(self, run: str) -> list[tuple]:
-        """The tokens of a run of known characters; none if it has others."""
+    def tokens(self, run: str) -> list[tuple] | None:
+        """The tokens of a run; null if it has unknown characters."""
         last: list = [None] * (len(run) + 1)
         last[0] = self.begin
         for end, token in self.found.iter(run):
@@ -134,7 +134,7 @@ class Coder:
         while end:
             token = last[end]
             if token is None:
-                return []
+                return None
             out.append(token)
             end -= token[0]
         out.reverse()
@@ -145,12 +145,15 @@ class Coder:
 
     def part(self, part: str) -> tuple[str, str]:
         got = self.tokens(part)
-        if got:
+        if got is not None:
             return ",".join([x[2] for x in got]), "".join([x[3] for x in got])
         found, start = [], 0
         for i in range(len(part) + 1):
             if i == len(part) or part[i] not in self.known:
-                found += [x[2:4] for x in self.tokens(part[start:i])]
+                known = self.tokens(part[start:i])
+                if known is None:  # cannot be: each known character is a token
+                    raise ValueError(f"no tokens for {part[start:i]!r}")
+                found += [x[2:4] for x in known]
                 if i < len(part):
                     found.append((self.byte_ids(part[i]), part[i]))
                 start = i + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,9 @@ PCM, ALAW, MULAW, IMA = 1, 6, 7, 17  # format tags of RIFF/WAVE
 RATE = 8000
 #: Payloads are padded to whole blocks of this many bytes.
 BLOCK = 192
-#: Payload bytes that are worked on at once (one document more at most).
-CHUNK = 2 << 20
+#: Payload bytes that are worked on at once: many documents, or a piece of a long one. A
+#: whole number of blocks.
+CHUNK = (2 << 20) // BLOCK * BLOCK
 
 # Fixed values of the IMA ADPCM format: step sizes, and index changes by code.
 IMA_STEPS = np.array([
@@ -67,16 +68,25 @@ def decode_ima(blocks: np.ndarray) -> np.ndarray:
 
 
 def doubled(pcm: np.ndarray) -> np.ndarray:
-    """Resampled to twice the rate: a half-band filter (-1, 9, 9, -1)/16 in whole numbers."""
-    if not len(pcm):
-        return pcm
-    x = np.pad(pcm.astype(np.int32), (1, 2), mode="edge")
+    """Resampled to twice the rate: a half-band filter (-1, 9, 9, -1)/16 in whole numbers,
+    piece by piece with the neighbours of each."""
     out = np.empty(2 * len(pcm), np.int16)
     out[0::2] = pcm
-    out[1::2] = np.clip((9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4, -32768, 32767)
+    for at in range(0, len(pcm), CHUNK):
+        end = min(at + CHUNK, len(pcm))
+        x = pcm[np.clip(np.arange(at - 1, end + 2), 0, len(pcm) - 1)].astype(np.int32)
+        out[2 * at + 1 : 2 * end : 2] = np.clip((9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4, -32768, 32767)
     return out
 
 
+def sums(values: np.ndarray, starts: np.ndarray, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums of f(values) from each start to the next. Several documents are one piece; the
+    pieces of a long document are summed up one by one."""
+    if len(starts) > 1 or len(values) <= CHUNK:
+        return np.add.reduceat(f(values), starts, dtype=np.int64)
+    return np.array([sum(int(f(values[at : at + CHUNK]).sum(dtype=np.int64)) for at in range(0, len(values), CHUNK))])
+
+
 def wave(data: bytes, tag: int, rate: int, bits: int, align: int) -> bytes:
     """A mono RIFF/WAVE file; ``data`` has an even length or gets a pad byte."""
     pad = b"\0" * (len(data) % 2)
@@ -150,17 +160,18 @@ def features(files: list[bytes]) -> list[dict]:
     raw = np.frombuffer(b"".join(data), np.uint8)
     lengths = np.array([len(x) for x in data])
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    mu, a = MULAW_PCM[raw], ALAW_PCM[raw]
-    ima = decode_ima(raw.reshape(-1, BLOCK))
-    total = lambda x, at=starts: np.add.reduceat(x, at, dtype=np.int64)
-    energy = total(mu.astype(np.int64) ** 2) // lengths
-    peak = np.maximum.reduceat(np.abs(mu.astype(np.int32)), starts)
-    turns = (mu[1:] < 0) != (mu[:-1] < 0)
-    turns = np.append(turns, False)
+    mu = MULAW_PCM[raw]
+    square = lambda x: x.astype(np.int64) ** 2
+    energy = sums(mu, starts, square) // lengths
+    peak = np.maximum(np.maximum.reduceat(mu, starts).astype(int), -np.minimum.reduceat(mu, starts).astype(int))
+    turns = np.append((mu[1:] < 0) != (mu[:-1] < 0), False)
     turns[starts[1:] - 1] = False
-    crossings = total(turns)
-    a_energy = total(a.astype(np.int64) ** 2) // lengths
-    ima_energy = total((ima.astype(np.int64) ** 2).sum(axis=1), starts // BLOCK) // (lengths // BLOCK * ima.shape[1])
+    crossings = np.add.reduceat(turns, starts, dtype=np.int64)
+    a_energy = sums(raw, starts, lambda x: square(ALAW_PCM[x])) // lengths
+    blocks = raw.reshape(-1, BLOCK)
+    samples = 2 * (BLOCK - 4) + 1
+    decoded = np.concatenate([square(decode_ima(blocks[k : k + CHUNK // BLOCK])).sum(axis=1) for k in range(0, len(blocks), CHUNK // BLOCK)])
+    ima_energy = np.add.reduceat(decoded, starts // BLOCK) // (lengths // BLOCK * samples)
     out = []
     for k, (s, n) in enumerate(zip(starts, lengths, strict=True)):
         pcm = wave(doubled(mu[s : s + n]).astype("<i2").tobytes(), PCM, 2 * RATE, 16, 2)
@@ -174,6 +185,7 @@ def features(files: list[bytes]) -> list[dict]:
             "feature": f"mulaw {energy[k]} {peak[k]} {crossings[k]} alaw {a_energy[k]} ima {ima_energy[k]}",
             "pcm_bytes": len(pcm),
             "pcm_sha256": hashlib.sha256(pcm).hexdigest(),
+            "pcm": pcm,
         })
     return out
 
@@ -181,13 +193,14 @@ def features(files: list[bytes]) -> list[dict]:
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 
 
-def telephony(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
+def telephony(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False, with_pcm: bool = False) -> DataFrame:
     """Each text's bytes as mu-law samples, stored, read back and measured.
 
     Null texts count as empty, and an empty payload is one block of spaces; the id may
     be null or repeat; an empty table gives an empty result; other columns are not read.
-    ``with_media`` adds the file (``media``). ``pcm_*`` are of the audio expanded and
-    resampled to 16 kHz. A task holds CHUNK payload bytes and a document at once.
+    ``with_media`` adds the file (``media``), ``with_pcm`` the audio expanded and resampled
+    to 16 kHz (``pcm``, four bytes for each of the text), which ``pcm_*`` tell of. A task
+    holds CHUNK payload bytes and a document at once.
     """
     names = [x.split()[0] for x in FEATURES.split(", ")]
     types = {"long": pa.int64(), "string": pa.string()}
@@ -207,8 +220,10 @@ def telephony(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 cols += [pa.array([r[n] for r in rows], types[x.split()[1]]) for n, x in zip(names, FEATURES.split(", "), strict=True)]
                 if with_media:
                     cols.append(pa.array(files, pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, [id_col, "n_bytes", *names, *["media"] * with_media])
+                if with_pcm:
+                    cols.append(pa.array([r["pcm"] for r in rows], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, [id_col, "n_bytes", *names, *["media"] * with_media, *["pcm"] * with_pcm])
                 at += len(files)
 
     d = docs.select(id_col, text_col)
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, n_bytes long, {FEATURES}" + ", media binary" * with_media)
+    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, n_bytes long, {FEATURES}" + ", media binary" * with_media + ", pcm binary" * with_pcm)

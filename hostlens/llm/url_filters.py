@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,10 +31,26 @@ def host_rule(host: str, path: str, verdict: str) -> dict:
 
 
 def pattern_rule(pattern: str, verdict: str) -> dict:
-    """``^`` is a border of a token, ``*`` anything; the rest is literal."""
+    """``^`` is a border of a token, ``*`` anything; the rest is literal. Its tokens are those
+    with a border or other separator on both sides, as only these are whole in every url."""
     border = r"(?:(?<![a-z0-9])(?=[a-z0-9])|(?<=[a-z0-9])(?![a-z0-9]))"
     regex = "".join(border if c == "^" else ".*" if c == "*" else re.escape(c) for c in pattern)
-    return {"rule": pattern, "verdict": verdict, "kind": "pattern", "regex": regex, "tokens": [t for t in re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", pattern)]}
+    return {"rule": pattern, "verdict": verdict, "kind": "pattern", "regex": regex, "tokens": [t for t in re.findall(r"(?<=[^A-Za-z0-9*])[a-z0-9]+(?=[^A-Za-z0-9*])", pattern)]}
+
+
+def parse_rules(lines: Iterable[str]) -> list[dict]:
+    """Rules of a list: "block host/path", "allow host/path", "block ^pattern" (see
+    ``pattern_rule``). Blank lines and those that begin with # are skipped."""
+    rules = []
+    for line in map(str.strip, lines):
+        if line and not line.startswith("#"):
+            verdict, _, what = line.partition(" ")
+            if verdict not in ("allow", "block") or not what.strip():
+                raise ValueError(f"no rule: {line}")
+            what = what.strip()
+            host, slash, path = what.partition("/")
+            rules.append(host_rule(host, slash + path, verdict) if slash and not re.search("[*^]", what) else pattern_rule(what, verdict))
+    return rules
 
 
 def rules_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
@@ -80,7 +97,8 @@ def filter_urls(urls: DataFrame, rules: list[dict], *, url_col: str = "url", def
         F.min(F.when(hosts, F.struct((-length).alias("n"), F.col("rule").alias("rule"), F.col("verdict").alias("verdict")))).alias("_host"),
         F.max(F.when(~hosts, F.col("verdict"))).alias("_pattern"),
     )
-    best = materialize(best, "url-verdicts")  # apart, so that the join on a hot url can be split
+    # apart, so that the join on a hot url can be split; it grows with the urls and is not broadcast
+    best = materialize(best, "url-verdicts").hint("merge")
     out = base.withColumn("host", host).withColumn("path", path).join(best, "_u", "left")
     return out.withColumn("rule", F.col("_host.rule")).withColumn("verdict", F.coalesce(F.col("_host.verdict"), F.col("_pattern"), F.lit(default))).drop("_u", "_host", "_pattern")
 

@@ -102,16 +102,28 @@ def test_line_dedup(docs, empty, monkeypatch, hot):
     assert line_dedup(empty).count() == 0
     again = apply_bitmaps(docs, line_bitmaps(docs))
     assert again.count() == docs.count() and set(docs.columns) <= set(again.columns)
+    clash = docs.withColumns({"_lines": F.lit("x"), "_th": F.lit("y"), "n_lines": F.lit(-1)})
+    again = apply_bitmaps(clash, line_bitmaps(docs)).collect()
+    assert all(r["_lines"] == "x" and r["_th"] == "y" and r["n_lines"] >= 1 for r in again) and sum(r["n_dropped"] for r in again) > 0
 
 
 def test_telephony(docs, empty):
-    rows = {r["doc_id"]: r for r in telephony.telephony(docs, with_media=True).collect()}
+    rows = {r["doc_id"]: r for r in telephony.telephony(docs, with_media=True, with_pcm=True).collect()}
     for i, t in enumerate(texts()):
         raw = (t or "").encode()
         pay = raw + b" " * (max(-(-len(raw) // 192), 1) * 192 - len(raw))
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
         tag, rate, _, data = telephony.read_wave(bytes(r["media"]))
+        rate2, pcm = telephony.to_pcm(bytes(r["pcm"]))
+        mu = telephony.MULAW_PCM[np.frombuffer(pay, np.uint8)].astype(int)
+        assert rate2 == 16000 and (pcm[::2] == mu).all() and r["pcm_sha256"] == hashlib.sha256(r["pcm"]).hexdigest() and r["pcm_bytes"] == len(r["pcm"])
+        x = np.concatenate((mu[:1], mu, mu[-1:], mu[-1:]))  # odd samples: the filter, one by one
+        assert pcm[1::2].tolist() == [max(-32768, min(32767, (9 * (x[k + 1] + x[k + 2]) - x[k] - x[k + 3] + 8) >> 4)) for k in range(len(mu))]
+        said = r["feature"].split()
+        a = telephony.ALAW_PCM[np.frombuffer(pay, np.uint8)].astype(int)
+        ima = telephony.decode_ima(np.frombuffer(pay, np.uint8).reshape(-1, 192)).astype(int)
+        assert said == ["mulaw", str((mu**2).sum() // len(mu)), str(abs(mu).max()), str(((mu[1:] < 0) != (mu[:-1] < 0)).sum()), "alaw", str((a**2).sum() // len(a)), "ima", str((ima**2).sum() // ima.size)]
         assert bytes(data) == pay and (tag, rate) == (telephony.MULAW, 8000) and r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
     same = defaultdict(set)
     for i, t in enumerate(texts()):
@@ -119,6 +131,14 @@ def test_telephony(docs, empty):
     assert all(len(x) == 1 for x in same.values()) and telephony.telephony(empty).count() == 0
 
 
+def test_long_audio_goes_piece_by_piece(monkeypatch):
+    texts_ = ["long text, said again. " * 400, "short", ""]
+    files = [telephony.stored(t)[1] for t in texts_]
+    whole = telephony.features(files)
+    monkeypatch.setattr(telephony, "CHUNK", 1920)
+    assert [telephony.features([f])[0] for f in files] == whole
+
+
 def test_companding_and_adpcm(spark):
     # G.711: known codes, symmetry, monotony
     mu, a = telephony.MULAW_PCM.astype(int), telephony.ALAW_PCM.astype(int)

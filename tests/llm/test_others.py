@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -92,6 +93,25 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(df, rules[:1]).filter("rule is not null").select("rule").distinct().count() == 1
 
 
+def test_thousands_of_rules(spark):
+    """The index gives the same as trying every rule on every url."""
+    r = random.Random(9)
+    lines = ["# a list", ""] + [f"{r.choice(['allow', 'block'])} h{r.randint(0, 900)}.{r.choice(['com', 'net'])}/{r.choice(['', 'en/', 'de/x', 'a'])}" for _ in range(3000)]
+    lines += [f"block ^w{k}^" for k in range(0, 1000, 7)] + [f"block ^w{k}^*zz" for k in range(5)] + ["allow ^w7^"]
+    rules = url_filters.parse_rules(lines)
+    urls = [f"https://{r.choice(['', 'm.', 'w14.'])}h{r.randint(0, 999)}.{r.choice(['com', 'net', 'org'])}/{r.choice(['en/', 'de/x', 'ab', ''])}{r.choice(['', '/w21', '-w1.zz', 'w21'])}?q" for _ in range(400)]
+    got = {x["url"]: (x["rule"], x["verdict"]) for x in url_filters.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    for u in urls:
+        at = u.split("://")[1].split("?")[0]
+        host, path = at.split("/", 1)[0], "/" + at.split("/", 1)[1]
+        fit = [x for x in rules if x["kind"] == "host" and (host == x["rule"].split("/")[0] or host.endswith("." + x["rule"].split("/")[0])) and path.startswith("/" + x["rule"].split("/", 1)[1])]
+        best = min(fit, key=lambda x: (-len(x["rule"]), x["rule"], x["verdict"])) if fit else None
+        hits = [x["verdict"] for x in rules if x["kind"] == "pattern" and re.search(x["regex"], at)]
+        assert got[u] == ((best["rule"], best["verdict"]) if best else (None, max(hits, default="allow")))
+    with pytest.raises(ValueError, match="no rule"):
+        url_filters.parse_rules(["deny x/"])
+
+
 def test_rules_need_a_token(spark):
     with pytest.raises(ValueError, match="literal"):
         url_filters.rules_table(spark, [url_filters.pattern_rule("*", "block")])
@@ -129,6 +149,28 @@ def test_templates_of_a_host_go(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_counts_decide_about_slots(spark):
+    """A name alone deletes nothing where pages can be counted; a recurring shell goes, whatever it holds."""
+    page = "<main><p>Own {0}</p><div class='comments'><p>reader {0} said</p></div><p>End {0}</p></main>"
+    rows = [(i, f"https://a.com/{i}", page.format(i)) for i in range(12)]
+    rows += [(50, "https://a.com/50", "<main><p>x</p><section class='related work'><p>cited by the author</p></section></main>")]
+    rows += [(60, "https://b.com/1", page.format(60))]  # too few pages to count: the name decides
+    rows += [(100 + i, f"https://c.com/{'s' if i < 40 else 'o'}/{i}", f"<body><div>text {i}</div>{'<div>Menu of a section</div>' if i in range(12) else ''}</body>") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    assert all(got[i] == f"Own {i} End {i}" for i in range(12)) and got[50] == "x cited by the author" and got[60] == "Own 60 End 60"
+    assert all(got[100 + i] == f"text {i}" for i in range(400))  # 12 of 400 pages, but of 40 in the section
+    never = {r["page_id"]: r["text"] for r in html_text.extract_text(df, min_pages=10**6).collect()}
+    assert "Menu of a section" in never[100]  # without templates the result is another
+
+
+@pytest.mark.parametrize("page", ["<b " * 350000 + '"', "<b>" * 150000 + "<div></div>" * 50000, "<i>" * 100000 + "</p>" * 200000, "<script>" + "</script" * 120000, "<p a='" * 150000, "<!--" * 250000])
+def test_malformed_pages_take_linear_time(page):
+    began = time.perf_counter()
+    text_of(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_templates_inside_main_go(spark):
     box = "<div class='x1'><p>Read our other stories</p></div>"
     rows = [(i, f"https://a.com/{i}", f"<main><div class='x2'><p>Own {i}</p>{box}<p>Said by many</p></div></main>") for i in range(12)]
@@ -179,6 +221,27 @@ def test_pipeline(spark, tmp_path):
     assert {x["doc_id"] for x in out} == counts[3] and len(out) >= len(counts[3])
 
 
+@needs_model
+def test_stages_on_an_empty_table(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, size long, kept string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0, name
+        assert name.startswith("Sentence") or out.columns == corpus_pipeline.COLUMNS
+
+
+def test_near_copies_without_ids_go(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    same = " ".join(f"w{k}" for k in range(100))
+    near = same.replace("w50 ", "other ")
+    rows = [(None, same), (None, near), (3, near), (None, None), (None, ""), (8, "alone here and not alike to any of them")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert got == [(0, ""), (3, near), (8, rows[5][1])]
+
+
 def test_mixture_keeps_null_and_repeated_ids(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from hostlens.llm.mixing import mix

@@ -1,4 +1,9 @@
-"""From raw documents to tokens: five stages, each over all that the one before kept."""
+"""From raw documents to tokens: five stages, each over all that the one before kept.
+
+For every stage: a null text counts as empty, rows without an id or with one that repeats
+are rows of their own, columns beside those of documents are left out, and an empty table
+gives an empty result. Ids are whole numbers.
+"""
 
 from __future__ import annotations
 
@@ -19,13 +24,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
+    """Documents that the compression classifier rejects go, each row by its own text.
+
+    Without labels of both classes the smoothed share of the one decides for all alike.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs.select(COLUMNS), model).filter("predicted = 1").select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; documents of which nothing is left too."""
+    """Lines that an earlier document holds go; documents of which nothing is left too.
+
+    Documents that were empty before stay. Rows without an id come last, as one document.
+    """
     kept = apply_bitmaps(docs.select(COLUMNS), line_bitmaps(docs)).withColumn("text", F.col("_kept_text"))
     kept = kept.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
@@ -43,7 +54,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as many times as the mix takes it (none, once or twice).
 
-    Null and repeated ids are rows of their own, each with its own copies.
+    Null and repeated ids are rows of their own, each with its own copies. Texts without
+    words are taken once; a null source is a source.
     """
     taken = mix(docs, keep=COLUMNS).filter("copies > 0").select("row.*", "copies")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)

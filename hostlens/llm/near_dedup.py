@@ -159,11 +159,14 @@ def band_keys(s: np.ndarray, rows: int) -> np.ndarray:
     return keys.T
 
 
-def _signed(weights: Weights, text_at: int):
+def _signed(weights: Weights, text_at: int | None, field: str = ""):
+    """Texts are the column ``text_at``, or a field of the last column (a struct)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [k for k in range(batch.num_columns) if k != text_at]
-            for at, words, bounds in chunks(batch.column(text_at)):
+            rows = batch.column(batch.num_columns - 1)
+            for at, words, bounds in chunks(batch.column(text_at) if text_at is not None else rows.flatten()[rows.type.get_field_index(field)]):
                 n = len(bounds) - 1
                 h, rows, tf = counted(*shingles(words, bounds, SHINGLE))
                 bands: list = [[] for _ in range(n)]
@@ -174,6 +177,7 @@ def _signed(weights: Weights, text_at: int):
                         bands[k] = row
                 cols = [batch.column(k).slice(at, n) for k in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(bands, pa.list_(pa.int64()))], [*(batch.schema.names[k] for k in keep), "bands"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -316,9 +320,9 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(named.alias("n"), F.col(id_col).alias("_id"), text.alias("t"), *more)
     n_docs = src.count()
     weights = Weights(*frequent_shingles(src.select("t"), n_docs))
-    own = src.select("n", "_id", F.md5("t").alias("th"), F.monotonically_increasing_id().alias("at"), "t", *(["row"] if keep else []))
+    own = src.select("n", "_id", F.md5("t").alias("th"), F.monotonically_increasing_id().alias("at"), *(["row"] if keep and text_col in keep else ["t", *(["row"] if keep else [])]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "t")
-    signed = materialize(own.mapInArrow(_signed(weights, 4), f"{kinds}, bands array<long>"), "near-signed")  # fixes the rows' numbers
+    signed = materialize(own.mapInArrow(_signed(weights, own.columns.index("t") if "t" in own.columns else None, text_col), f"{kinds}, bands array<long>"), "near-signed")  # fixes the rows' numbers
     copies = signed.groupBy("th").agg(F.min(F.struct("n", "at")).alias("_r")).select("th", F.col("_r.n").alias("rep"), F.col("_r.at").alias("rep_at"))
     copies = materialize(copies, "near-copies")  # apart, so that a join on a hot text can be split
     rep = signed.select("n", "th", "at", "bands").join(copies, "th").filter("at = rep_at").select("n", "bands").distinct()

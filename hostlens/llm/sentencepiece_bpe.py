@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Entries of a worker's memo of encoded words; when full it becomes the older memo.
-MEMO = 250_000
+#: Entries of a worker's memo of encoded words; when full it becomes the older memo. And
+#: answers on pairs of tokens that are remembered; when full they are forgotten.
+MEMO, PAIRS = 100_000, 300_000
 #: Longer words are not remembered.
 MEMO_CHARS = 64
 
@@ -59,6 +60,7 @@ class Coder:
             self.found.add_word(p, (len(p), p, csv, p.replace(SPACE, " "), {}))
         self.found.make_automaton()
         self.begin = (0, "", "", "", {})
+        self.pairs = 0
         self.edges: dict[str, tuple[list, list] | None] = {}
         self.memo: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
@@ -115,6 +117,11 @@ class Coder:
 
     def compatible(self, a: tuple, b: tuple) -> bool:
         """a may be the beginning of the text."""
+        self.pairs += 1
+        if self.pairs > PAIRS:
+            self.pairs = 0
+            for token in [self.begin, *self.found.values()]:
+                token[4].clear()
         got = a[4][b[1]] = self.meets(a[1], b[1]) if a[0] else self.merged(b[1]) == [b[1]]
         return got
 
@@ -234,6 +241,7 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
                 cols += [pa.array(ids, more[0][1]), pa.array(texts, more[1][1])]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        pa.default_memory_pool().release_unused()
 
     d = docs.select(id_col, text_col)
     schema = ", ".join([f"`{id_col}` {d.schema[0].dataType.simpleString()}", "n_tokens long, ids_sha256 string, decoded_sha256 string", *(f"{n} {t}" for n, _, t in more)])

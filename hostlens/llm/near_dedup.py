@@ -80,7 +80,9 @@ def frequent_shingles(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.nda
     counted by groups: there are at most (shingles of a document / FLOOR) of them.
     """
     seen = texts.mapInArrow(_seen, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > FLOOR * n_docs)
-    wanted = np.sort(np.array([r["h"] for r in seen.select("h").collect()], np.int64).view(np.uint64))
+    seen = materialize(seen.select("h"), "near-seen")  # so that its shuffle files go at once
+    wanted = np.sort(np.array([r["h"] for r in seen.collect()], np.int64).view(np.uint64))
+    discard(seen)
     if not len(wanted):
         return np.zeros(0, np.uint64), np.zeros(0, np.float32)
     d = texts.select(F.monotonically_increasing_id().alias("row"), "t")
@@ -89,8 +91,9 @@ def frequent_shingles(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.nda
     sizes = materialize(bands.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1"), "near-sizes")  # apart, so that a join on a hot key can be split
     parts = materialize(bands.join(sizes, ["band", "key"]).groupBy("row").agg(F.max("c").alias("c")), "near-parts")
     hits = sketch.join(parts, "row", "left").select(F.explode("hits").alias("k"), F.round(F.lit(UNIT) / F.coalesce("c", F.lit(1))).cast("long").alias("part"))
-    rows = sorted((r["k"], r["part"]) for r in hits.groupBy("k").agg(F.sum("part").alias("part")).collect())
-    discard(sketch, sizes, parts)
+    shares = materialize(hits.groupBy("k").agg(F.sum("part").alias("part")), "near-shares")
+    rows = sorted((r["k"], r["part"]) for r in shares.collect())
+    discard(sketch, sizes, parts, shares)
     share = np.array([r[1] for r in rows], float) / UNIT / n_docs
     at = np.array([r[0] for r in rows], int)[share > FLOOR]
     return wanted[at], np.log1p(1 / share[share > FLOOR]).astype(np.float32)

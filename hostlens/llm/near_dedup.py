@@ -24,9 +24,8 @@ FLOOR = 0.001
 COPY_ROWS, COPY_BANDS = 2, 6
 #: Documents are counted in whole parts, so that sums do not depend on their order.
 UNIT = 1 << 32
-#: Rounds in which the bands' groups compare their classes with a pivot; an exact pass
-#: over all pairs that are left (see ``left_pairs``) follows.
-ROUNDS = 2
+#: Weights are summed in floats: bounds give way by so much.
+SLACK = 1 - 1e-5
 
 
 # --- document frequencies ----------------------------------------------------------
@@ -224,45 +223,76 @@ def _verified(weights: Weights):
 def _postings(weights: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, words, bounds in chunks(batch.column(2)):
+            for at, words, bounds in chunks(batch.column(1)):
                 h, rows, tf = counted(*shingles(words, bounds, SHINGLE))
                 w = weights(h, tf).astype(float)
                 total = np.bincount(rows, w, minlength=len(bounds) - 1)
                 take = pa.array(at + rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(w), pa.array(total[rows])], ["n", "c", "h", "w", "total"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(h.view(np.int64)), pa.array(w), pa.array(total[rows])], ["n", "h", "w", "total"])
 
     return run
 
 
-def left_pairs(rows: DataFrame, classes: DataFrame, texts: DataFrame, weights: Weights, similar: float) -> DataFrame:
-    """(a, b): all pairs of a group and of two classes that may be similar enough.
-
-    Exact: a pair of weights A <= B is similar only if both hold t / (1 + t) * (A + B) in
-    common. Only shingles of two or more classes count for that; in one order of them
-    all, the rarest first, the first common one must be followed (itself included) by
-    that much on both sides. So each text brings its first shingles only, and they meet
-    the classes of a shingle before they meet the texts of those. What many texts have
-    in common stands last, and does not join them unless it is enough by itself.
-    """
-    share, slack = similar / (1 + similar), 1 - 1e-5  # weights are summed in floats
+def unlinked(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(n, c, g): texts of groups that hold two classes, with their class and these groups."""
     r = rows.select("band", "key", "n").join(classes, rows["n"] == classes["node"], "left").select("band", "key", "n", F.coalesce("least", "n").alias("c"))
     r = materialize(r, "near-rest")
     live = materialize(r.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("band", "key"), "near-live")
     met = r.join(live, ["band", "key"]).groupBy("n").agg(F.min("c").alias("c"), F.collect_set(F.xxhash64("band", "key")).alias("g"))
     met = materialize(met, "near-met")
-    own = texts.join(met.select("n", "c"), "n").select("n", "c", "t")
-    own = materialize(own.mapInArrow(_postings(weights), "n long, c long, h long, w double, total double"), "near-postings")
+    discard(r, live)
+    return met
+
+
+def first_shingles(met: DataFrame, postings: DataFrame, similar: float) -> DataFrame:
+    """(n, c, h, rest, total): the shingles of a text one of which a similar text must hold.
+
+    A pair of weights A <= B is similar only if both hold t / (1 + t) * (A + B) in common.
+    Only shingles of two or more classes count for that; in one order of them all, the
+    rarest first, the first common one must be followed (itself included) by that much
+    (``rest``) on both sides. What many texts have in common stands last, and does not
+    join them unless it is enough by itself.
+    """
+    own = materialize(postings.join(met.select("n", "c"), "n"), "near-own")
     often = materialize(own.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("h", "k"), "near-common")
     rest = F.sum("w").over(Window.partitionBy("n").orderBy(F.desc("k"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0))
-    first = own.join(often, "h").withColumn("rest", rest).filter(F.col("rest") >= F.col("total") * similar * slack)
-    first = materialize(first.select("n", "c", "h", "rest", "total").join(met.select("n", "g"), "n"), "near-first")
+    first = own.join(often, "h").withColumn("rest", rest).filter(F.col("rest") >= F.col("total") * similar * SLACK)
+    first = materialize(first.select("n", "c", "h", "rest", "total"), "near-first")
+    discard(own, often)
+    return first
+
+
+def star_pairs(first: DataFrame, similar: float) -> DataFrame:
+    """(a, b): of each class one text by shingle, with one of those of the shingle.
+
+    As many pairs as first shingles at most. A text meets another pivot with each of its
+    shingles, so that most classes become one before all their pairs are looked at.
+    """
+    share = similar / (1 + similar)
+    side = first.groupBy("h", "c").agg(F.min_by(F.struct("n", "rest", "total"), F.xxhash64("n", "h")).alias("s"))
+    side = materialize(side.select("h", "c", "s.*"), "near-sides")
+    pivot = side.groupBy("h").agg(F.min_by(F.struct("c", "n", "rest", "total"), F.xxhash64("n", "h")).alias("p"), F.count("*").alias("k")).filter("k > 1")
+    pivot = materialize(pivot.select("h", *(F.col(f"p.{x}").alias(f"{x}1") for x in ("c", "n", "rest", "total"))), "near-pivots")
+    enough = F.least("rest", "rest1") >= (F.col("total") + F.col("total1")) * share * SLACK
+    near = side.join(pivot, "h").filter(enough & (F.col("c") != F.col("c1")) & (F.least("total", "total1") >= F.greatest("total", "total1") * similar * SLACK))
+    return near.select(F.greatest("n", "n1").alias("a"), F.least("n", "n1").alias("b")).distinct()
+
+
+def left_pairs(met: DataFrame, first: DataFrame, similar: float) -> DataFrame:
+    """(a, b): all pairs of a group and of two classes that may be similar enough.
+
+    Exact, by the bounds of ``first_shingles``: the first shingles of texts meet the
+    classes of a shingle before they meet the texts of those.
+    """
+    share = similar / (1 + similar)
+    first = materialize(first.join(met.select("n", "g"), "n"), "near-first")
     sides = materialize(first.groupBy("h", "c").agg(F.max("rest").alias("rest1"), F.min("total").alias("total0"), F.max("total").alias("total1")).withColumnRenamed("c", "c2"), "near-sides")
-    may = F.least("rest", "rest1") >= (F.col("total") + F.col("total0")) * share * slack
+    may = F.least("rest", "rest1") >= (F.col("total") + F.col("total0")) * share * SLACK
     one = first.join(sides, "h").filter(may & (F.col("c") != F.col("c2")) & (F.col("total1") >= F.col("total")))
     one = materialize(one.select("h", "c2", F.col("n").alias("a"), F.col("rest").alias("rest1"), F.col("total").alias("total1"), F.col("g").alias("g1")), "near-meet")
     two = first.withColumnRenamed("c", "c2").join(one, ["h", "c2"])
-    enough = F.least("rest", "rest1") >= (F.col("total") + F.col("total1")) * share * slack
-    two = two.filter(enough & (F.col("total1") <= F.col("total")) & (F.col("total1") >= F.col("total") * similar * slack) & F.arrays_overlap("g", "g1"))
+    enough = F.least("rest", "rest1") >= (F.col("total") + F.col("total1")) * share * SLACK
+    two = two.filter(enough & (F.col("total1") <= F.col("total")) & (F.col("total1") >= F.col("total") * similar * SLACK) & F.arrays_overlap("g", "g1"))
     return two.select(F.greatest("a", "n").alias("a"), F.least("a", "n").alias("b")).distinct()
 
 
@@ -311,11 +341,10 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     but for those named in ``keep``, which each row brings as the struct ``row``.
 
     Equal texts collapse first. In a band's group, all texts are compared with one
-    pivot (not each with each); in further rounds each group's remaining classes are
-    compared with another pivot, so a text that missed one pivot meets others, in this
-    band or another. Of the pairs then left (one group, two classes) all are compared
-    that the exact bounds of ``left_pairs`` do not rule out. Nothing is capped. Only
-    texts in groups are shuffled.
+    pivot (not each with each). Classes left in one group then meet by their rarest
+    shingles, each with a pivot of its own (``star_pairs``). Of the pairs then left (one
+    group, two classes) all are compared that the exact bounds of ``left_pairs`` do not
+    rule out. Nothing is capped. Only texts in groups are shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = F.coalesce(F.col(id_col).cast("long"), F.abs(F.xxhash64(text) % (1 << 62)) + (1 << 62))
@@ -342,31 +371,38 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
         return pairs.join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
 
-    tested = edges = classes = None
+    edges = classes = None
     made = [rows, texts]
-    pairs = rows.filter("n <> pivot").select(F.col("n").alias("a"), F.col("pivot").alias("b")).distinct()
-    for k in range(ROUNDS + 1):
-        pairs = materialize(pairs, "near-pairs")
+
+    def link(pairs: DataFrame) -> None:
+        """Verifies pairs and makes the classes anew."""
+        nonlocal edges, classes
         a, b = (texts.select(F.col("n").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
         found = materialize(joined.mapInArrow(_verified(weights), "a long, b long, similarity double").filter(F.col("similarity") >= similar).select("a", "b"), "near-found")
-        made += [pairs, found]
+        made.append(found)
         edges = found if edges is None else edges.unionByName(found)
         discard(classes)
         classes = materialize(components(edges), "near-classes")
-        if k == ROUNDS:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if k + 1 == ROUNDS:
-            pairs = untested(left_pairs(rows, classes, texts, weights, similar), tested)
-            continue
-        # of each class in a group one text, against the text of the largest such
-        r = rows.join(classes, rows["n"] == classes["node"], "left").select("band", "key", "n", F.coalesce("least", "n").alias("c"))
-        r = materialize(r.groupBy("band", "key", "c").agg(F.max("n").alias("n")), "near-rest")
-        top = r.groupBy("band", "key").agg(F.max("n").alias("m"), F.count("*").alias("k")).filter("k > 1").drop("k")
-        top = materialize(top, "near-pivots")
-        pairs = untested(r.join(top, ["band", "key"]).filter("n <> m").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct(), tested)
-        made += [r, top]
+
+    # first each text of a group with the group's pivot
+    tested = materialize(rows.filter("n <> pivot").select(F.col("n").alias("a"), F.col("pivot").alias("b")).distinct(), "near-pairs")
+    made.append(tested)
+    link(tested)
+    # then the classes that are left in a group, with a pivot for each of their first shingles
+    met = unlinked(rows, classes)
+    postings = materialize(texts.join(met.select("n"), "n").select("n", "t").mapInArrow(_postings(weights), "n long, h long, w double, total double"), "near-postings")
+    first = first_shingles(met, postings, similar)
+    star = materialize(untested(star_pairs(first, similar), tested), "near-pairs")
+    made += [met, postings, first, star]
+    link(star)
+    # then all pairs of what is left
+    tested = tested.unionByName(star)
+    met = unlinked(rows, classes)
+    first = first_shingles(met, postings, similar)
+    rest = materialize(untested(left_pairs(met, first, similar), tested), "near-pairs")
+    made += [met, first, rest]
+    link(rest)
     discard(*made)
 
     named_copies = copies.join(classes, copies["rep"] == classes["node"], "left").select("th", "rep_at", F.coalesce("least", "rep").alias("class_id"))

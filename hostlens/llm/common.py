@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
+#: Rows of an Arrow batch, where the session leaves it at Spark's own number: texts are long,
+#: and a batch is held several times, by the JVM and by its Python worker.
+BATCH_ROWS, SPARKS_BATCH_ROWS = "1000", "10000"
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -33,13 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with batches of ``BATCH_ROWS`` from now on in its session."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCHES) == SPARKS_BATCH_ROWS:
+        conf.set(BATCHES, BATCH_ROWS)
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage; the copy outlives lost executors. The shuffle files that it took go
     with the end of the job, as nothing reads them again.
     """
-    spark = df.sparkSession
+    spark = small_batches(df).sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     was = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")

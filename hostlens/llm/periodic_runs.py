@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Periods up to this are found by a scan at each lag.
 SCANNED = 24
 #: Words that are worked on at once: many documents, or one long one.
@@ -241,7 +243,7 @@ def periodic_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     d = docs.select(id_col, text_col)
     kind = d.schema[0].dataType.simpleString()
-    return d.mapInArrow(run, f"`{id_col}` {kind}, runs array<struct<start: bigint, length: bigint, period: bigint>>, best struct<start: bigint, length: bigint, period: bigint>, collapsed string")
+    return small_batches(d).mapInArrow(run, f"`{id_col}` {kind}, runs array<struct<start: bigint, length: bigint, period: bigint>>, best struct<start: bigint, length: bigint, period: bigint>, collapsed string")
 
 
 def with_planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:

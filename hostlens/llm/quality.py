@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 #: The classifier is fitted on at most so many labelled documents a class for its
 #: dictionaries, and as many others for its calibration. They are taken in the order of a
@@ -103,7 +103,7 @@ def differences(texts: DataFrame, good: bytes, bad: bytes) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sizes.difference(t.as_py()) for t in batch.column(1)], pa.float64())], ["_y", "x"])
 
-    return texts.select(F.col("_y").cast("int"), "_t").mapInArrow(run, "_y int, x double")
+    return small_batches(texts).select(F.col("_y").cast("int"), "_t").mapInArrow(run, "_y int, x double")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: f
 
     d = docs.drop("score", "predicted")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    return d.mapInArrow(run, f"{fields}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return small_batches(d).mapInArrow(run, f"{fields}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

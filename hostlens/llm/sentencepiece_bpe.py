@@ -17,6 +17,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 SPACE = "▁"
 #: Entries of a worker's memo of encoded words; when full it becomes the older memo. And
 #: answers on pairs of tokens that are remembered; when full they are forgotten.
@@ -245,4 +247,4 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
 
     d = docs.select(id_col, text_col)
     schema = ", ".join([f"`{id_col}` {d.schema[0].dataType.simpleString()}", "n_tokens long, ids_sha256 string, decoded_sha256 string", *(f"{n} {t}" for n, _, t in more)])
-    return d.mapInArrow(run, schema)
+    return small_batches(d).mapInArrow(run, schema)

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17  # format tags of RIFF/WAVE
 RATE = 8000
 #: Payloads are padded to whole blocks of this many bytes.
@@ -144,7 +146,7 @@ def resample_media(media: DataFrame, *, id_col: str = "doc_id", media_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pcm, pa.binary()), pa.array(error, pa.string())], [id_col, "pcm", "error"])
 
     d = media.select(id_col, media_col)
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, pcm binary, error string")
+    return small_batches(d).mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, pcm binary, error string")
 
 
 def stored(text: str) -> tuple[int, bytes]:
@@ -226,4 +228,4 @@ def telephony(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 at += len(files)
 
     d = docs.select(id_col, text_col)
-    return d.mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, n_bytes long, {FEATURES}" + ", media binary" * with_media + ", pcm binary" * with_pcm)
+    return small_batches(d).mapInArrow(run, f"`{id_col}` {d.schema[0].dataType.simpleString()}, n_bytes long, {FEATURES}" + ", media binary" * with_media + ", pcm binary" * with_pcm)

@@ -19,7 +19,7 @@ from .common import materialize
 QUEUE = 200_000
 #: Subtrees of at most so many turns are worked on whole in one task, where the tables are
 #: so small that their share for each partition is less.
-SHARD_LEAST = 2000
+SHARD_LEAST = 200
 #: Ids that one piece of a member list holds at most.
 PIECE = 1000
 

@@ -45,9 +45,12 @@ def cname_chain(events: DataFrame) -> DataFrame:
 
 
 def dns_answers(events: DataFrame) -> DataFrame:
-    """``resolved_ips`` (null when none) and the response code in capitals."""
-    e = events.withColumn("_ips", resolved_addresses(F.col("resolved_ip")))
-    return e.withColumn("resolved_ips", F.when(F.size("_ips") > 0, F.col("_ips"))).withColumn("response_code", response_code(F.col("response_code"))).drop("_ips")
+    """``resolved_ips`` (null when none) and the response code in capitals, of events that
+    bring what these are made of."""
+    e = events
+    if "resolved_ip" in e.columns:
+        e = e.withColumn("_ips", resolved_addresses(F.col("resolved_ip"))).withColumn("resolved_ips", F.when(F.size("_ips") > 0, F.col("_ips"))).drop("_ips")
+    return e.withColumn("response_code", response_code(F.col("response_code"))) if "response_code" in e.columns else e
 
 
 def client_identity(events: DataFrame) -> DataFrame:

@@ -123,6 +123,17 @@ def sorted_entries(entries: DataFrame) -> DataFrame:
     return e.repartitionByRange("reversed").sortWithinPartitions("reversed")
 
 
+def below(entries: DataFrame, domain: str) -> DataFrame:
+    """The entries for a domain and all below it, wildcards too, from rows with ``reversed``.
+
+    They stand together in the order of the reversed labels: a range, which Parquet's
+    statistics narrow down to the row groups that hold it.
+    """
+    r = ".".join(reversed(domain.strip(".").lower().split(".")))
+    # "/" follows "." and a hyphen is before it, so the range's few others go by the second test
+    return entries.filter((F.col("reversed") >= r) & (F.col("reversed") < f"{r}/")).filter((F.col("reversed") == r) | F.startswith("reversed", F.lit(f"{r}.")))
+
+
 def exact_population(lines: DataFrame) -> DataFrame:
     """(domain, categories) of (line, categories) for look-up by exact key: no grammar."""
     g = lines.select(ws_strip(F.col("line")).alias("domain"), F.explode("categories").alias("category")).filter("domain <> ''")

@@ -22,6 +22,43 @@ def top_domains(events: DataFrame, *, k: int = 20, guessed: bool | None = None)
     return g.orderBy(F.desc("events"), "registrable_domain").limit(k)
 
 
+#: Base-2 logarithm of a sketch's size: a standard error of 1.04 / sqrt(2 ** 12) = 1.6 %.
+SKETCH_BITS = 12
+
+
+def daily_clients(events: DataFrame, *, time: str = "ts") -> DataFrame:
+    """(day, registrable_domain, client, events) of the events of a day: the exact base of
+    its index, from which counts over any days can be made."""
+    e = events.filter("registrable_domain is not null").withColumn("day", F.to_date(F.col(time)))
+    return e.groupBy("day", "registrable_domain", "client").agg(F.count("*").alias("events"))
+
+
+def daily_domains(clients: DataFrame) -> DataFrame:
+    """(day, registrable_domain, events, clients, sketch) from ``daily_clients``: some
+    kilobytes a domain and day that can be united, however many clients there are."""
+    return clients.groupBy("day", "registrable_domain").agg(
+        F.sum("events").alias("events"), F.count("client").alias("clients"), F.hll_sketch_agg("client", F.lit(SKETCH_BITS)).alias("sketch")
+    )
+
+
+def distinct_clients(clients: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """(registrable_domain, events, clients) over the days from ``first`` to ``last``, exactly.
+    A client of several days counts once; only its domain's distinct clients are shuffled."""
+    each = _days(clients, first, last).groupBy("registrable_domain", "client").agg(F.sum("events").alias("events"))
+    return each.groupBy("registrable_domain").agg(F.sum("events").alias("events"), F.count("client").alias("clients"))
+
+
+def sketched_clients(daily: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The same from ``daily_domains``; ``clients`` is an estimate."""
+    return _days(daily, first, last).groupBy("registrable_domain").agg(F.sum("events").alias("events"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("clients"))
+
+
+def _days(rows: DataFrame, first: str | None, last: str | None) -> DataFrame:
+    for day, ok in ((first, F.col("day") >= F.lit(first).cast("date")), (last, F.col("day") <= F.lit(last).cast("date"))):
+        rows = rows.filter(ok) if day else rows
+    return rows
+
+
 def _share(events: DataFrame, labels: Column, names: list[str]) -> DataFrame:
     """Events that carry a label, each once for it, and their share of all events."""
     total = events.agg(F.count("*").alias("_all"))

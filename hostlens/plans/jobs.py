@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -56,28 +56,38 @@ def _judged(events: DataFrame, ref: Reference, mode: str, found: DataFrame | Non
     return with_facets(looked, ref.taxonomy or taxonomy(spark), ref.severities or severities(spark))
 
 
-def enrich_dns(events: DataFrame, ref: Reference, *, mode: str = "ancestor", drop_errors: bool = True, drop_replies: bool = True, cut: Callable[[DataFrame], DataFrame] = lazily) -> DataFrame:
+def enrich_dns(
+    events: DataFrame, ref: Reference, *, mode: str = "ancestor", drop_errors: bool = True, drop_replies: bool = True, cut: Callable[[DataFrame], DataFrame] = lazily,
+    sieved: bool = False, wanted: Sequence[str] | None = None,
+) -> DataFrame:
     """Typed DNS events (with ``event_id`` and ``ts``) to enriched ones; dropped events go.
 
     What the sieve keeps is read several times (hosts, chains, the events themselves), and
     hot hosts meet the facts of their host in one join; ``cut`` may write both sides once
-    (``session.written``), so that Spark can split such a key.
+    (``session.written``), so that Spark can split such a key. Events that are ``sieved``
+    are stored already and are not written again. Of the events' own columns only those
+    ``wanted`` (null: all) and what the look-ups need are carried; addresses and codes of
+    the answers are made last, where they are wanted.
     """
-    e = sieve.sieve_dns(events, ref.ignore, drop_errors=drop_errors, drop_replies=drop_replies).filter("drop_reason is null")
-    e = enrich.dns_answers(enrich.cname_chain(enrich.dns_request(enrich.dns_searches(e)))).filter(F.size("searches") > 0)
-    e = cut(e)
+    e = events if sieved else sieve.sieve_dns(events, ref.ignore, drop_errors=drop_errors, drop_replies=drop_replies).filter("drop_reason is null")
+    e = enrich.cname_chain(enrich.dns_request(enrich.dns_searches(e))).filter(F.size("searches") > 0)
+    if wanted is not None:
+        needed = {"host", "searches", "chain", *wanted, *(["client", "ts"] if ref.observations is not None else []), *(["resolved_ip"] if "resolved_ips" in wanted else [])}
+        e = e.select(*(f"`{c}`" for c in e.columns if c in needed))
+    e = e if sieved else cut(e)
     facts, found = host_facts(e, ref, mode)
     found = found if found is None else cut(found)
     e = lookup.with_chains(e, found, cut).join(cut(facts.drop("public_suffix")), "host", "left")
-    e = _judged(e, ref, mode, found, cut)
+    e = enrich.dns_answers(_judged(e, ref, mode, found, cut))
     return ptr.without_ptr(e) if ref.observations is None else ptr.with_ptr(e, ref.observations)
 
 
-def enrich_browser(events: DataFrame, ref: Reference, *, mode: str = "ancestor", cut: Callable[[DataFrame], DataFrame] = lazily) -> DataFrame:
-    """Typed browser events to enriched ones."""
-    e = sieve.sieve_browser(events, ref.ignore).filter("drop_reason is null").withColumn("host", sieve.browser_host(F.col("host")))
-    e = cut(enrich.client_identity(enrich.browser_times(e)))
+def enrich_browser(events: DataFrame, ref: Reference, *, mode: str = "ancestor", cut: Callable[[DataFrame], DataFrame] = lazily, sieved: bool = False) -> DataFrame:
+    """Typed browser events to enriched ones; ``cut`` and ``sieved`` as for DNS."""
+    e = events if sieved else sieve.sieve_browser(events, ref.ignore).filter("drop_reason is null")
+    e = e.withColumn("host", sieve.browser_host(F.col("host")))
+    e = e if sieved else cut(e)
     facts, found = host_facts(e, ref, mode)
-    e = e.join(cut(facts.drop("public_suffix")), "host", "left")
+    e = enrich.client_identity(enrich.browser_times(e)).join(cut(facts.drop("public_suffix")), "host", "left")
     e = enrich.browser_searches(e).withColumn("request", F.col("scheme"))
     return _judged(e, ref, mode, found, cut)  # there are no chains

@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ip, text
-from ..operators import enrich, entries as ent, lookup, ptr, reports, sieve, sinks
+from ..operators import enrich, entries as ent, increments, lookup, ptr, reports, sieve, sinks
 from ..operators.suffix import registrable_domains
 from ..operators.taxonomy import severities, severity_rows, taxonomy, taxonomy_rows, with_facets
 from ..session import shared_dir, written
 from ..sources import lists
 from ..sources.events import parse
 from ..streaming import consumer
+from ..streaming.ptr_memory import state_store, with_ptr_stream
+from ..streaming.reference import LastGood
 from .jobs import Reference, build_entries, enrich_browser, enrich_dns
 
 ADAPTER = """
@@ -90,24 +92,30 @@ def web_events(s: SparkSession, d: str) -> DataFrame:
 
 def observations(s: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.when(F.col("user_id") % 2 == 0, "host-").otherwise("pc-"), "user_id", F.lit(".office.lan"))
-    rev = F.concat(F.array_join(F.reverse(F.split("client", "[.]")), "."), F.lit(".in-addr.arpa."))
-    hosts = F.when(F.col("status") == "ok", F.array(name)).otherwise(F.array().cast("array<string>"))
+    # as resolvers answer: with the root's dot, and one name in several cases
+    hosts = F.when(F.col("status") == "ok", F.array(F.concat(F.upper(name), F.lit(".")), name)).otherwise(F.array().cast("array<string>"))
     # of what was seen of a client in one second the last counts
     seen = view(s, d, "v_seen").groupBy("client", "ts").agg(F.max(F.struct("event_id", "user_id", "status")).alias("x")).select("client", "ts", "x.*")
-    return seen.select("client", F.col("ts").alias("observed_at"), hosts.alias("hosts"), rev.alias("ptr"), "status")
+    return seen.select("client", F.col("ts").alias("observed_at"), hosts.alias("hosts"), "status")
+
+
+_entries: dict[tuple[str, str], DataFrame] = {}
 
 
 def entries_of(s: SparkSession, d: str) -> DataFrame:
-    """Built once and written, as a published generation is."""
-    return written(build_entries(view(s, d, "v_list_lines"), small(s, "configured"), view(s, d, "v_ignorelist")))
+    """Built once for a session and folder and written; jobs read a published generation."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _entries:
+        _entries[key] = written(build_entries(view(s, d, "v_list_lines"), small(s, "configured"), view(s, d, "v_ignorelist")))
+    return _entries[key]
 
 
 def reference(s: SparkSession, d: str, **more: DataFrame) -> Reference:
     return Reference(entries_of(s, d), small(s, "rules"), small(s, "ignore"), **more)
 
 
-def dns(s: SparkSession, d: str, mode: str = "ancestor") -> DataFrame:
-    return enrich_dns(dns_events(s, d), reference(s, d), mode=mode, cut=written)
+def dns(s: SparkSession, d: str, mode: str = "ancestor", wanted: tuple[str, ...] = ()) -> DataFrame:
+    return enrich_dns(dns_events(s, d), reference(s, d), mode=mode, cut=written, wanted=["event_id", "client", *wanted])
 
 
 def listed(*names: str) -> list[Column]:
@@ -150,12 +158,71 @@ def encoded(s: SparkSession, d: str) -> DataFrame:
     return ent.encoded(e, ent.combinations(e))
 
 
+def new_root(s: SparkSession, name: str) -> str:
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
 def generation_sum(s: SparkSession, d: str) -> DataFrame:
-    root = f"{shared_dir(s)}/generations-{uuid.uuid4().hex}"
-    built = build_entries(view(s, d, "v_list_lines"), small(s, "configured"), view(s, d, "v_ignorelist"))
-    for n in (1, 2, 3):  # the first one goes when the third is there
-        sinks.publish(built, root, built_at=n, needed=["*.example.com"], least=5)
-    return sinks.checksum(sinks.read_generation(s, root)).withColumn("generations", F.lit(len(sinks.generations(s, root))))
+    """Refused builds between published ones: the two newest published stay."""
+    root = new_root(s, "generations")
+    built = entries_of(s, d)
+    for n, needed in ((1, "*.example.com"), (2, "no.such"), (3, "*.example.com"), (4, "no.such"), (5, "*.example.com"), (6, "no.such")):
+        try:
+            sinks.publish(built, root, built_at=n, needed=[needed], least=5)
+        except ValueError:
+            if needed != "no.such":
+                raise
+    stored = sinks.generations(s, root)
+    return sinks.checksum(sinks.read_generation(s, root)).withColumn("generations", F.lit(len(stored))).withColumn("stored", F.lit(",".join(map(str, stored))))
+
+
+def bucketed(s: SparkSession, d: str) -> DataFrame:
+    """A published generation whose rows are dealt by domain."""
+    root = new_root(s, "generations")
+    sinks.publish(entries_of(s, d), root, built_at=1, buckets=8)
+    return sinks.read_generation(s, root)
+
+
+def entries_below(s: SparkSession, d: str) -> DataFrame:
+    e = bucketed(s, d)
+    parts = [ent.below(e, x).select(F.lit(x).alias("below"), "domain", *listed("categories")) for x in ("com", "example.org", "spam-farm.example.net")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def built_by_steps(s: SparkSession, d: str) -> DataFrame:
+    """Three builds: a list and half of another are missing, then one is empty, then all are there."""
+    root, lines, ign = new_root(s, "increments"), written(view(s, d, "v_list_lines")), view(s, d, "v_ignorelist")
+    steps = [
+        (lines.filter("source <> 'list3' and (source <> 'list2' or page_id % 2 = 0)"), ign.filter("context <> 'malware'")), (lines.filter("source <> 'list0'"), ign), (lines, ign)
+    ]
+    for n, (some, rules) in enumerate(steps, 1):
+        increments.build_next(some.select("source", "folder", "line"), small(s, "configured"), rules, root, built_at=n, least=5)
+    return sinks.read_generation(s, root).select("domain", "reversed", *listed("categories", "sources"))
+
+
+def list_folder(s: SparkSession, d: str) -> str:
+    """Lists, a registry, an ignorelist and top-level domains as the files of a folder."""
+    root, held = new_root(s, "lists"), new_root(s, "held")
+    view(s, d, "v_list_lines").select("line", "folder", "source").repartition("folder", "source").write.partitionBy("folder", "source").text(held)
+    for folder, source in (x.split("/") for x in sinks.children(s, held, 2)):
+        (part,) = (x for x in sinks.children(s, f"{held}/{folder}/{source}", 1) if x.startswith("part-"))
+        sinks.move(s, f"{held}/{folder}/{source}/{part}", f"{root}/{folder.partition('=')[2]}/{source.partition('=')[2]}")
+    s.createDataFrame([("# known",), ("COM",), ("",), ("org",)], "value string").coalesce(1).write.text(f"{root}/tld/known.txt")
+    rows = [(f"n-{f}", f"any/{f}", "https://lists.example/x", c) for f, c in CONFIGURED]
+    s.createDataFrame(rows, "name string, file string, url string, categories array<string>").coalesce(1).write.json(f"{root}/index/registry")
+    ign = view(s, d, "v_ignorelist").groupBy("context").agg(F.collect_list("host").alias("hosts"))  # a person's file
+    ign.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("context", "hosts")))).alias("value")).coalesce(1).write.text(f"{root}/index/ignored")
+    return root
+
+
+def from_files(s: SparkSession, d: str) -> DataFrame:
+    """Entries from list files, by the registry, the ignorelist and the known domains beside them."""
+    root = list_folder(s, d)
+    lines = lists.read_list_lines(s, root, exclude=["./news/./list0"])
+    known = lists.tlds(s.read.text(f"{root}/tld/*").withColumnRenamed("value", "line"))
+    registry = lists.registry_files(s.read.schema("name string, file string, url string, categories array<string>").json(f"{root}/index/registry"))
+    built = build_entries(lines, registry, lists.read_ignorelist(s, f"{root}/index/ignored"), known)
+    return built.select("domain", *listed("categories", "sources"))
 
 
 # --- events ---------------------------------------------------------------------------
@@ -240,7 +307,7 @@ def exactly(s: SparkSession, d: str) -> DataFrame:
 
 def without_index(s: SparkSession, d: str) -> DataFrame:
     ref = Reference(None, small(s, "rules"), small(s, "ignore"), exact_entries=entries_of(s, d))
-    return enrich_dns(dns_events(s, d), ref, cut=written).select("event_id", F.array_join(F.array_sort("contexts"), "|").alias("contexts"), "index_error")
+    return enrich_dns(dns_events(s, d), ref, cut=written, wanted=["event_id"]).select("event_id", F.array_join(F.array_sort("contexts"), "|").alias("contexts"), "index_error")
 
 
 def faceted(s: SparkSession, d: str) -> DataFrame:
@@ -252,8 +319,96 @@ def faceted(s: SparkSession, d: str) -> DataFrame:
 
 
 def named_clients(s: SparkSession, d: str) -> DataFrame:
+    return ptr.with_ptr(asking(s, d), observations(s, d))
+
+
+def asking(s: SparkSession, d: str) -> DataFrame:
+    """Events with their client, which for some is no address."""
     e = enrich.dns_request(dns_events(s, d))
-    return ptr.with_ptr(e, observations(s, d))
+    return e.withColumn("client", F.when(F.col("event_id") % 31 == 0, "bad host").otherwise(F.col("client")))
+
+
+def asof_stream(s: SparkSession, d: str) -> DataFrame:
+    """The same by a stream's state: thirds of the time arrive one after another, and the
+    stream is stopped and started again between them."""
+    state_store(s)
+    root = new_root(s, "ptr-stream")
+    e, o = written(asking(s, d).select("event_id", "client", "ts")), written(observations(s, d))
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    # what comes last lets all others go
+    end = s.createDataFrame([(-1, "0.0.0.0")], "event_id long, client string").withColumn("ts", F.lit(last).cast(e.schema["ts"].dataType) + F.expr("interval 2 days"))
+    for third in range(3):
+        part = lambda c: F.least(F.lit(2), F.floor((F.unix_micros(F.col(c).cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))) * 3 / F.greatest(F.lit(1), F.unix_micros(F.lit(last).cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))))) == third  # noqa: E731, B023
+        now = e.filter(part("ts"))
+        (now.unionByName(end) if third == 2 else now).write.mode("append").parquet(f"{root}/events")
+        o.filter(part("observed_at")).write.mode("append").parquet(f"{root}/seen")
+        read = lambda df, name: s.readStream.schema(df.schema).parquet(f"{root}/{name}")
+        found = with_ptr_stream(read(e, "events"), read(o, "seen"), late="1 second").filter("event_id >= 0")
+        found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(found.schema).parquet(f"{root}/out").select("event_id", "ptr", "ptr_status", *listed("client_hosts", "client_hosts_short"))
+
+
+_streamed: dict[tuple[str, str], str] = {}
+
+
+def streamed(s: SparkSession, d: str) -> str:
+    """Where a consumer wrote the payloads, which came in thirds. In the second third the
+    published generation is damaged, in the last one there is a new one. Once a session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _streamed:
+        root, rows = new_root(s, "consumed"), payloads(s, d)
+        entries = entries_of(s, d)
+        sinks.publish(entries, f"{root}/entries", built_at=1)
+        current = LastGood(s, f"{root}/entries", lambda e, at: Reference(e, small(s, "rules"), small(s, "ignore"), built_at=at))
+        for third in range(3):
+            if third:
+                sinks.publish(entries, f"{root}/entries", built_at=third + 1)
+            if third == 1:
+                entries.limit(3).write.mode("overwrite").parquet(f"{root}/entries/generation=2")
+            rows.filter(F.regexp_extract("event_id", "[0-9]+", 0).cast("long") % 3 == third).select("value").write.mode("append").text(f"{root}/in")
+            consumer.consume(s.readStream.text(f"{root}/in"), current, f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()
+        _streamed[key] = f"{root}/out"
+    return _streamed[key]
+
+
+def stream_documents(s: SparkSession, d: str) -> DataFrame:
+    docs = consumer.committed(s, streamed(s, d))
+    return docs.select(F.get_json_object("packet", "$.id").alias("id"), "type", *listed("contexts", "risk"), "index_built_at")
+
+
+def stream_counts(s: SparkSession, d: str) -> DataFrame:
+    """What the commits counted, while the events were sieved."""
+    sums = consumer.commits(s, streamed(s, d)).agg(*(F.sum(v).alias(v) for v in consumer.VERDICTS))
+    return sums.unpivot([], list(consumer.VERDICTS), "verdict", "events")
+
+
+def clients_by_day(s: SparkSession, d: str) -> DataFrame:
+    """Distinct clients over daily tables, and whether the united sketches are within four
+    standard errors of them."""
+    root = new_root(s, "daily")
+    base = reports.daily_clients(dns(s, d, wanted=("ts",)))
+    base.write.partitionBy("day").parquet(f"{root}/clients")
+    base = s.read.parquet(f"{root}/clients")
+    reports.daily_domains(base).write.partitionBy("day").parquet(f"{root}/domains")
+    near = reports.sketched_clients(s.read.parquet(f"{root}/domains")).select("registrable_domain", F.col("clients").alias("_near"))
+    bound = 4 * 1.04 / 2 ** (reports.SKETCH_BITS / 2)
+    exact = reports.distinct_clients(base).join(near, "registrable_domain")
+    return exact.select("registrable_domain", "events", "clients", (F.abs(F.col("_near") - F.col("clients")) <= F.greatest(F.lit(1), F.col("clients") * bound)).alias("sketch_is_near"))
+
+
+def nameless(s: SparkSession, d: str) -> DataFrame:
+    """Every tenth event has no name at all: there is nothing to look up, and it goes."""
+    none = F.col("event_id") % 10 == 0
+    e = dns_events(s, d).withColumns({c: F.when(~none, F.col(c)) for c in ("resource", "etld_plus_one")})
+    return enrich_dns(e, reference(s, d), cut=written, wanted=["event_id"]).select("event_id", F.size("searches").alias("terms"))
+
+
+def daily_rows(s: SparkSession, d: str) -> DataFrame:
+    """Documents by the day they came in, in the operator's zone, written and read back."""
+    root = new_root(s, "daily-index")
+    e = s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts")
+    sinks.write_daily(e, root, prefix="bites", zone="America/New_York", processed=F.col("ts"))
+    return s.read.parquet(root).select("index_name", "event_id", "user_id")
 
 
 def asof(s: SparkSession, d: str) -> DataFrame:
@@ -342,6 +497,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exact_ignorelist": lambda s, d: ent.exact_ignorelist(population(s, d), view(s, d, "v_ignorelist")).select("domain", *listed("categories")),
     "list_usability": lambda s, d: ent.usable(merged(s, d), "domain", ["*.example.com"], 5),
     "generation_rows": generation_sum,
+    "bucketed_lookup": lambda s, d: lookup.ancestor_lookup(view(s, d, "v_hosts"), bucketed(s, d)).select("host", *listed("contexts", "sources", "matched_on")),
+    "entries_below": entries_below,
+    "incremental_build": built_by_steps,
+    "list_files": from_files,
     "normal_forms": normal_forms,
     "ip_addresses": addresses,
     "dns_shape": dns_shape,
@@ -362,12 +521,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_modes": compared,
     "taxonomy_facets": faceted,
     "ptr_as_of": asof,
+    "ptr_stream": asof_stream,
     "ptr_bounded": remembered,
     "browser_shape": web_shape,
     "enriched_browser": web_enriched,
     "documents": bites,
+    "stream_documents": stream_documents,
+    "stream_counts": stream_counts,
+    "nothing_to_look_up": nameless,
     "syslog_lines": syslog,
     "daily_index": ingest_days,
+    "daily_rows": daily_rows,
+    "distinct_clients": clients_by_day,
     "identity_table": identity_table,
     "top_domains": lambda s, d: reports.top_domains(dns(s, d), k=20),
     "category_share": lambda s, d: reports.category_share(dns(s, d)),
@@ -451,7 +616,8 @@ terms as (select event_id, resource, unnest([resource, e1, '*.' || e1, '*.' || r
 exact as (select event_id, list_sort(list_distinct(flatten(list(categories)))) as contexts from terms join entries using (domain) group by event_id),
 obs as (select client, ts, arg_max(status, event_id) as status, arg_max(user_id, event_id) as user_id from v_seen group by client, ts),
 uobs as (select * from obs where status <> 'Timeout'),
-ptrs as (select d.event_id, d.ts, d.client_ip as client, o.ts as seen, o.status, o.user_id as u from v_dns d asof left join uobs o on o.client = d.client_ip and o.ts <= d.ts),
+asked as (select *, case when event_id % 31 = 0 then 'bad host' else client_ip end as client from v_dns),
+ptrs as (select d.event_id, d.ts, d.client, o.ts as seen, o.status, o.user_id as u from asked d asof left join uobs o on o.client = d.client and o.ts <= d.ts),
 payload_dns as (select *, event_id % 40 as k from dns_drop),
 payload_web as (select w.*, case when k = 6 then 'time' when k = 2 then 'data' when list_contains(bc, 'host-' || user_id) or (list_contains(bc, address) and k <> 11) then 'client' when list_contains(bu, 'u' || user_id) and k <> 7 then 'user'
   when k = 3 then 'entry' when k = 4 then 'file' when k = 5 then 'no_host' when list_contains(bh, host) then 'host' when list_has_any({_UP("host")}, bd) then 'domain' end as why from (select *, cast(floor(event_id / 3) as bigint) % 40 as k from v_web) w, g),
@@ -460,7 +626,7 @@ hunm as (select host, list_sort(list(category)) as unmapped from hcat anti join
 hfac0 as (select host, list_sort(list(distinct path) filter (facet = 'purpose')) as purpose, list_sort(list(distinct path) filter (facet = 'service')) as service, list_sort(list(distinct path) filter (facet = 'risk')) as risk, max(rnk) as rnk
   from hpath left join sev using (path) group by host),
 hfac as (select * from hfac0 full join hunm using (host)),
-named as (select event_id, ts, client, case when d.seen + interval 900 second > d.ts then status else 'not_observed' end as ptr_status, case when d.seen + interval 900 second > d.ts then u end as u from ptrs d)
+named as (select event_id, ts, client, case when client = 'bad host' then 'bad_client_address' when d.seen + interval 900 second > d.ts then status else 'not_observed' end as ptr_status, case when d.seen + interval 900 second > d.ts then u end as u from ptrs d)
 """
 _NY = "strftime(timezone('America/New_York', ts::timestamp at time zone 'UTC'), '%Y-%m-%d')"
 _N = lambda x: f"nullif({x}, '')"
@@ -481,7 +647,15 @@ ORACLE_SQL: dict[str, str] = {k: SQL + v for k, v in {
     "exact_ignorelist": f"""select domain, {_JOIN('case when ctx is null then categories else list_filter(categories, lambda c: not list_contains(ctx, c)) end')} as categories
         from (select trim(line) as domain, list_sort(list(distinct folder)) as categories from v_list_lines group by 1) left join (select host as domain, list(distinct context) as ctx from v_ignorelist group by 1) using (domain)""",
     "list_usability": "select count(*) as rows, count(*) > 5 and bool_or(domain = '*.example.com') as usable from merged",
-    "generation_rows": f"select count(*) as rows, bit_xor(('0x' || md5(domain || chr(9) || {_JOIN('categories')} || chr(9) || {_JOIN('sources')})[1:15])::bigint) as checksum, 2 as generations from entries",
+    "generation_rows": f"select count(*) as rows, bit_xor(('0x' || md5(domain || chr(9) || {_JOIN('categories')} || chr(9) || {_JOIN('sources')})[1:15])::bigint) as checksum, 2 as generations, '3,5' as stored from entries",
+    "bucketed_lookup": f"select host, {_JOIN('contexts')} as contexts, {_JOIN('sources')} as sources, {_JOIN('matched_on')} as matched_on from found semi join v_hosts using (host)",
+    "entries_below": f"select below, domain, {_JOIN('categories')} as categories from entries, (values ('com'), ('example.org'), ('spam-farm.example.net')) b(below) where domain = below or ends_with(domain, '.' || below)",
+    "incremental_build": f"select domain, array_to_string(list_reverse(string_split(domain, '.')), '.') as reversed, {_JOIN('categories')} as categories, {_JOIN('sources')} as sources from entries",
+    "list_files": f"""select domain, {_JOIN('categories')} as categories, {_JOIN('sources')} as sources
+        from (select domain, sources, case when ctx is null then categories else list_filter(categories, lambda c: not list_contains(ctx, c)) end as categories
+          from (select c.host as domain, list_sort(list(distinct c.source)) as sources, list_sort(list_distinct(flatten(list(case when len(g.categories) > 0 then g.categories else [c.folder] end)))) as categories
+            from clean c left join configured g using (source) where regexp_extract(c.host, '[^.]+$') in ('com', 'org') and not (c.folder = 'news' and c.source = 'list0') group by c.host)
+          left join igd using (domain)) where len(categories) > 0""",
     "normal_forms": f"""select page_id, host as normal, host as bare, split_part(host, '.', 1) as short, array_to_string(list_reverse(string_split(host, '.')), '.') as reversed,
         regexp_extract(host, '([^.]+[.][^.]+)$', 1) as naive, regexp_extract(host, '[^.]+$') as tld,
         array_to_string(flatten(list_transform({_UP("host")}, lambda c: [c, '*.' || c])), '|') as probes from v_hosts""",
@@ -527,7 +701,9 @@ ORACLE_SQL: dict[str, str] = {k: SQL + v for k, v in {
         case max(rnk) when 3 then 'high' when 2 then 'medium' when 1 then 'low' end as risk_severity
         from (select event_id, unnest([names[(event_id + 1) % len(names) + 1], names[(event_id * 7 + 7) % len(names) + 1], case when event_id % 9 = 0 then 'nosuch' else 'ai' end]) as category
           from events, (select list_sort(list(distinct category)) as names from tax)) left join tax using (category) left join sev using (path) group by event_id""",
-    "ptr_as_of": """select event_id, case when u is not null then array_to_string(list_reverse(string_split(client, '.')), '.') || '.in-addr.arpa.' end as ptr, ptr_status,
+    "ptr_as_of": """select event_id, case when client = 'bad host' then '' else array_to_string(list_reverse(string_split(client, '.')), '.') || '.in-addr.arpa.' end as ptr, ptr_status,
+        case when ptr_status = 'ok' then p || u || '.office.lan' else '' end as client_hosts, case when ptr_status = 'ok' then p || u else '' end as client_hosts_short from (select *, case when u % 2 = 0 then 'host-' else 'pc-' end as p from named)""",
+    "ptr_stream": """select event_id, case when client = 'bad host' then '' else array_to_string(list_reverse(string_split(client, '.')), '.') || '.in-addr.arpa.' end as ptr, ptr_status,
         case when ptr_status = 'ok' then p || u || '.office.lan' else '' end as client_hosts, case when ptr_status = 'ok' then p || u else '' end as client_hosts_short from (select *, case when u % 2 = 0 then 'host-' else 'pc-' end as p from named)""",
     "ptr_bounded": "select client, ts as observed_at, status from (select *, row_number() over (partition by client order by ts desc) as k from uobs) where k = 1 order by ts desc, client limit 50",
     "browser_shape": """select event_id, case when browser = 'safari' then strftime(ts - off, '%Y-%m-%dT%H:%M:%SZ') else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as event_time_utc,
@@ -555,9 +731,19 @@ ORACLE_SQL: dict[str, str] = {k: SQL + v for k, v in {
             case when browser = 'safari' then strftime(ts, '%Y-%m-%dT%H:%M:%S') || z when browser in ('chrome', 'firefox') then strftime(ts + off, '%Y-%m-%dT%H:%M:%S') || z else strftime(ts, '%Y-%m-%dT%H:%M:%SZ') end as local
           from (select *, case when zone = '-0400' then interval (-240) minute else interval 330 minute end as off, case when zone = '-0400' then '-04:00' else '+05:30' end as z from payload_web)) w
         left join suffixes using (host) left join found f using (host) left join hfac using (host) where why is null and k not in (1, 9, 10)""",
+    "stream_documents": f"""select 'd' || e.event_id as id, 'dns' as type, {_JOIN('contexts')} as contexts, {_JOIN('risk')} as risk, case when e.event_id % 3 = 2 then 3 else 1 end as index_built_at
+        from (select *, event_id % 40 as k from ev) e left join fac using (event_id) where k not in (1, 2, 3, 4, 8)
+        union all select 'w' || event_id, 'browser.history', coalesce({_JOIN('f.contexts')}, ''), {_JOIN('risk')}, 1
+        from payload_web w left join found f using (host) left join hfac using (host) where why is null and k not in (1, 9, 10)""",
+    "stream_counts": """select verdict, count(*) as events from (
+        select case when k = 1 then 'unreadable' when k in (2, 8) or k = 4 or drop_reason is not null then 'dropped' when k = 3 and direction in ('inbound', 'ingress') then 'unreadable' else 'kept' end as verdict from payload_dns
+        union all select case when k = 1 then 'unreadable' when why is not null then 'dropped' when k in (9, 10) then 'unreadable' else 'kept' end from payload_web) group by 1""",
+    "nothing_to_look_up": "select event_id, 4 as terms from kept where event_id % 10 <> 0",
     "syslog_lines": """select '<30>{"event_id":' || event_id || ',"status":"' || status || '","resource":"' || resource || '"}' as value from v_dns""",
     "daily_index": f"select 'bites-' || {_NY} as index_name, count(*) as events from events group by 1",
-    "identity_table": """, near as (select d.event_id, d.client_ip as client, w.user_id as u, abs(epoch(date_trunc('second', d.ts)) - epoch(date_trunc('second', w.ts))) as gap from v_dns d join v_web w on w.address = d.client_ip
+    "daily_rows": f"select 'bites-' || {_NY} as index_name, event_id, user_id from events",
+    "distinct_clients": "select registrable_domain, count(*) as events, count(distinct client_ip) as clients, true as sketch_is_near from ev where registrable_domain is not null group by 1",
+    "identity_table": """, near as (select d.event_id, d.client, w.user_id as u, abs(epoch(date_trunc('second', d.ts)) - epoch(date_trunc('second', w.ts))) as gap from asked d join v_web w on w.address = d.client
           and abs(epoch(date_trunc('second', d.ts)) - epoch(date_trunc('second', w.ts))) <= 3600)
         select event_id, client, 'u' || list(u order by gap, 'u' || u)[1] as client_user, 'address' as by, count(distinct u) as candidates from near group by all
         union all select event_id, client, 'u' || u, 'name', 1 from named anti join near using (event_id) where ptr_status = 'ok' and u % 2 = 0 and u in (select user_id from v_web)""",

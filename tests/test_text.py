@@ -1,3 +1,6 @@
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,5 +52,30 @@ def test_addresses(spark):
     assert values(spark, ip.canonical_ip, ["010.0.0.1", None]) == [None, None]
 
 
+def test_addresses_are_those_of_the_standard_library(spark):
+    r = random.Random(3)
+    v4 = lambda: ".".join(str(r.choice([0, 1, 10, 127, 169, 172, 192, 168, 198, 224, 240, 255, 256, "01", r.randrange(256)])) for _ in range(r.choice([4] * 9 + [3, 5])))
+
+    def v6():
+        parts = [r.choice(["0", "0", "0000", "1", "ff", "FE80", "fc00", "2001", "db8", "ffff", "12345", "g", ""][: r.choice([10, 13])]) for _ in range(r.choice([8, 8, 7, 6, 3, 1, 0, 9]))]
+        k = r.randint(0, len(parts))
+        text = r.choice([":".join(parts), ":".join(parts[:k]) + "::" + ":".join(parts[k:])])
+        return text + r.choice(["", "", "", ":" + v4(), "%eth0", "%", "%a%b"])
+
+    texts = [v6() for _ in range(1500)] + [v4() for _ in range(700)] + ["::", "::1", "::ffff:1.2.3.4", "::ffff:127.0.0.1", " 10.0.0.1\t", "", "::1.2.3.4", "192.0.0.9", "2001:1::1", "1:2:3:4:5:6:7::", "1::2:3:4:5:6:7:8", ":::"]
+
+    def want(t):
+        try:
+            a = ipaddress.ip_address(t.strip())
+        except ValueError:
+            return None, None, ""
+        kind = next((n for n in ("unspecified", "loopback", "link_local", "multicast", "reserved", "private") if getattr(a, f"is_{n}")), "global")
+        return str(a), kind, ipaddress.ip_address(str(a).split("%")[0]).reverse_pointer + "."
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ip.canonical_ip("t"), ip.ip_class("t"), ip.reverse_name("t"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(x)[1:] for x in df.collect()] == [want(t) for t in texts]
+
+
 def test_punycode():
     assert ascii_labels("公司.cn") == "xn--55qx5d.cn" and ascii_labels("a.b") is None

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import enrich, sieve
 from ..operators.sinks import folder_of
-from ..plans.jobs import Reference, enrich_browser, enrich_dns, lazily
+from ..plans.jobs import Reference, enrich_browser, enrich_dns
 from ..session import written
 from ..sources import events as src
 
@@ -55,12 +55,12 @@ def verdicts(parsed: DataFrame, ref: Reference) -> DataFrame:
     return sifted(parsed, ref).select("event_id", "verdict", "drop_reason", "line")
 
 
-def process(payloads: DataFrame, ref: Reference, *, mode: str = "ancestor", cut: Callable[[DataFrame], DataFrame] = lazily) -> DataFrame:
+def process(payloads: DataFrame, ref: Reference, *, mode: str = "ancestor", cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Documents of both feeds from payloads with ``event_id``; for ``cut`` see ``enrich_dns``."""
     return documents(cut(sifted(src.parse(payloads), ref)), ref, mode=mode, cut=cut)
 
 
-def documents(rows: DataFrame, ref: Reference, *, mode: str = "ancestor", cut: Callable[[DataFrame], DataFrame] = lazily) -> DataFrame:
+def documents(rows: DataFrame, ref: Reference, *, mode: str = "ancestor", cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Documents of the kept rows of ``sifted``, which are not parsed again."""
     stamp = F.col("timestamp").try_cast("timestamp").alias("ts")
     kept = rows.filter("verdict = 'kept'").drop("verdict", "drop_reason", "line")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .url_filters import host_and_path
 
 # Fixed values of HTML: elements without content, of raw text, and those that break text.
@@ -158,19 +158,15 @@ def can_be_template(e: Element) -> bool:
     return e.tag in CONTAINERS and e.attrs.get("role") != "main" if e.main else e.tag not in ("html", "body")
 
 
-def main_text(root: Element, templates: frozenset[int] | None) -> str:
+def main_text(root: Element, templates: frozenset[int]) -> str:
     """The text left without dropped elements, templates and recurring slots.
 
     A page with an article (or main) element consists of these, without the containers
     inside them that are templates; paragraphs stay. Other pages consist of all that is
-    left. ``templates`` is null for a host with too few pages to count: there all slots go.
+    left. On a host with too few pages to count there are no templates, and only what HTML
+    itself marks goes.
     """
-    few = templates is None
-    templates = templates or frozenset()
-
-    def gone(e: Element) -> bool:
-        slot = shell(e)
-        return slot is not None and (few or slot in templates)
+    gone = lambda e: bool(templates) and shell(e) in templates
 
     tops, todo = [], [root]
     while todo:  # the outermost main elements in page order, outside dropped ones
@@ -223,7 +219,7 @@ def subtree_keys(pages: DataFrame) -> DataFrame:
 
 
 def recurring(pages: DataFrame, *, min_pages: int, min_share: float) -> tuple[DataFrame, DataFrame]:
-    """Templates as (_host, _few, _keys) and (_host, _section, _more), from (_host, _section, _html).
+    """Templates as (_host, _keys) and (_host, _section, _more), from (_host, _section, _html).
 
     Sums by section come first (with partial sums), and those of a host from them. A
     subtree inside main elements counts once for all pages whose main elements are equal:
@@ -236,17 +232,10 @@ def recurring(pages: DataFrame, *, min_pages: int, min_share: float) -> tuple[Da
 
     def often(*by: str) -> DataFrame:
         sizes = pages_of.groupBy(*by).agg(F.sum("_pages").alias("_pages"))
-        if "_section" in by:
-            sizes = sizes.filter(F.col("_pages") >= min_pages)
-            got = held.groupBy(*by, "_key", "_in").agg(F.sum("_n").alias("_n"))
-        else:
-            got = held.groupBy(*by, "_key", "_in").agg(F.sum("_n").alias("_n"))
-        got = got.groupBy(*by, "_key").agg(one).filter(F.col("_n") >= min_pages)
-        keys = got.join(sizes, list(by)).filter(F.col("_n") >= F.col("_pages") * min_share).groupBy(*by).agg(F.array_sort(F.collect_list("_key")).alias("_keys"))
-        return sizes.join(keys, list(by), "left") if "_section" not in by else keys
+        got = held.groupBy(*by, "_key", "_in").agg(F.sum("_n").alias("_n")).groupBy(*by, "_key").agg(one).filter(F.col("_n") >= min_pages)
+        return got.join(sizes, list(by)).filter(F.col("_n") >= F.col("_pages") * min_share).groupBy(*by).agg(F.array_sort(F.collect_list("_key")).alias("_keys"))
 
-    hosts = often("_host").select("_host", (F.col("_pages") < min_pages).alias("_few"), "_keys")
-    return materialize(hosts, "html-hosts"), materialize(often("_host", "_section").withColumnRenamed("_keys", "_more"), "html-templates")
+    return materialize(often("_host"), "html-hosts"), materialize(often("_host", "_section").withColumnRenamed("_keys", "_more"), "html-templates")
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -267,12 +256,12 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, few, keys, more in zip(*batch.columns[2:], strict=True):
+            for page, keys, more in zip(*batch.columns[2:], strict=True):
                 root = parse(page.as_py())
                 hash_subtrees(root)
-                texts.append(main_text(root, None if few.as_py() else frozenset([*(keys.as_py() or ()), *(more.as_py() or ())])))
+                texts.append(main_text(root, frozenset([*(keys.as_py() or ()), *(more.as_py() or ())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     kind = {f.name: f.dataType.simpleString() for f in p.schema}
     known = p.join(hosts, "_host", "left").join(sections, ["_host", "_section"], "left")
-    return known.select("_id", "_url", "_html", "_few", "_keys", "_more").mapInArrow(run, f"`{id_col}` {kind['_id']}, `{url_col}` {kind['_url']}, text string, n_chars long")
+    return small_batches(known).select("_id", "_url", "_html", "_keys", "_more").mapInArrow(run, f"`{id_col}` {kind['_id']}, `{url_col}` {kind['_url']}, text string, n_chars long")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, small_batches
 from .grams import chunks, mix
 
 #: Words that the Dirichlet prior weighs as much as: of a pair's model by its unigrams,
@@ -36,13 +36,14 @@ class Run:
     """Some documents in a row, or a part of one."""
 
     own: np.ndarray  # of each document: in the target
+    near: np.ndarray  # of each document: in the background's sample
     n: np.ndarray  # of each document: its words here
     words: np.ndarray  # distinct hashes, sorted
     seq: np.ndarray  # which of them stand here, one after another
     before: int  # the one ahead of the first (of a text's beginning: that of hash 0)
 
-    def sides(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(the word ahead of each word, its document, whether that is in the target)"""
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the word ahead of each word, its document)"""
         ahead = np.empty(len(self.seq), np.int64)
         ahead[1:] = self.seq[:-1]
         begin = np.cumsum(self.n) - self.n
@@ -50,38 +51,44 @@ class Run:
         if len(ahead):
             ahead[0] = self.before
         doc = np.repeat(np.arange(len(self.n)), self.n)
-        return ahead, doc, self.own[doc]
+        return ahead, doc
 
     def word_counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Distinct words; as word and as the one ahead, in all and in the target."""
-        ahead, _, own = self.sides()
+        """Distinct words; as word and as the one ahead, in background and target."""
+        ahead, doc = self.sides()
         count = lambda x: np.bincount(x, minlength=len(self.words))
-        return self.words, [count(self.seq), count(self.seq[own]), count(ahead), count(ahead[own])]
+        return self.words, [count(x[which[doc]]) for x in (self.seq, ahead) for which in (self.near, self.own)]
 
     def pair_codes(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct pairs, which of them stand here)"""
-        ahead, _, _ = self.sides()
+        ahead, _ = self.sides()
         return np.unique(ahead * len(self.words) + self.seq, return_inverse=True)
 
     def pair_counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Hashes of the distinct pairs; their counts in all and in the target."""
+        """Hashes of the distinct pairs; their counts in background and target."""
         codes, at = self.pair_codes()
-        own = self.sides()[2]
+        doc = self.sides()[1]
         a, b = (self.words[x] for x in np.divmod(codes, max(len(self.words), 1)))
         keys = mix(a * np.uint64(0x8CB92BA72F3D8DD7) + mix(b.copy()))
-        return keys, [np.bincount(at, minlength=len(codes)), np.bincount(at[own], minlength=len(codes))]
+        return keys, [np.bincount(at[which[doc]], minlength=len(codes)) for which in (self.near, self.own)]
 
 
-RUN_TYPE = "rows array<long>, own array<boolean>, n array<long>, words binary, seq binary, before int, pairs long"
+def within(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """For each word how often ``what`` stands there in its own document."""
+    _, at, n = np.unique(doc * (what.max(initial=0) + 1) + what, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+RUN_TYPE = "rows array<long>, own array<boolean>, mark array<long>, n array<long>, words binary, seq binary, before int, pairs long"
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """(row, part, ids, RUN_TYPE) of (row, id, own, t); named by its first row and part."""
+    """(row, part, ids, RUN_TYPE) of (row, id, own, mark, t); named by its first row and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple[int, np.ndarray, np.ndarray]] = []
-            for at, words, bounds in chunks(batch.column(3)):
+            for at, words, bounds in chunks(batch.column(4)):
                 n = np.diff(bounds)
                 long = np.flatnonzero(n > RUN)
                 for a, b in pairwise(sorted({0, len(n), *long, *(long + 1)})):
@@ -104,19 +111,21 @@ def runs(docs: DataFrame) -> DataFrame:
             own = np.asarray(batch.column(2).slice(at, len(n)).is_valid())
             before = words[part * RUN - 1] if part else np.uint64(0)
             distinct, seq = np.unique(np.concatenate((np.array([before, 0], np.uint64), now)), return_inverse=True)
-            r = Run(own, n if len(n) > 1 else np.array([len(now)]), distinct, seq[2:], int(seq[0]))
+            r = Run(own, own, n if len(n) > 1 else np.array([len(now)]), distinct, seq[2:], int(seq[0]))
             one = lambda x, t: pa.array([x], pa.list_(t))
             rows = np.asarray(batch.column(0).slice(at, len(n)))
             ids = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), batch.column(1).slice(at, len(n)))
-            cols = [pa.array([rows[0]]), pa.array([part], pa.int32()), ids, one(rows, pa.int64()), one(own, pa.bool_()), one(r.n, pa.int64()), pa.array([distinct.tobytes()], pa.binary()), pa.array([packed(r.seq)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([r.before], pa.int32()), pa.array([len(r.pair_codes()[0])], pa.int64())], ["row", "part", "ids", "rows", "own", "n", "words", "seq", "before", "pairs"])
+            cols = [pa.array([rows[0]]), pa.array([part], pa.int32()), ids, one(rows, pa.int64()), one(own, pa.bool_()), one(np.asarray(batch.column(3).slice(at, len(n))), pa.int64()), one(r.n, pa.int64()), pa.array([distinct.tobytes()], pa.binary()), pa.array([packed(r.seq)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([r.before], pa.int32()), pa.array([len(r.pair_codes()[0])], pa.int64())], ["row", "part", "ids", "rows", "own", "mark", "n", "words", "seq", "before", "pairs"])
 
-    return docs.mapInArrow(run, f"row long, part int, ids array<{docs.schema['id'].dataType.simpleString()}>, {RUN_TYPE}")
+    return small_batches(docs).mapInArrow(run, f"row long, part int, ids array<{docs.schema['id'].dataType.simpleString()}>, {RUN_TYPE}")
 
 
-def read_run(row: dict[str, pa.Array]) -> Run:
+def read_run(row: dict[str, pa.Array], bound: int) -> Run:
+    """A run; documents with a mark below ``bound`` (of 2**32) are the background."""
     flat = lambda c, t: np.asarray(row[c].values).astype(t, copy=False)
-    return Run(flat("own", bool), flat("n", np.int64), np.frombuffer(row["words"].as_py(), np.uint64), unpacked(row["seq"].as_py()), row["before"].as_py())
+    near = (flat("mark", np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)) < np.uint64(bound)
+    return Run(flat("own", bool), near, flat("n", np.int64), np.frombuffer(row["words"].as_py(), np.uint64), unpacked(row["seq"].as_py()), row["before"].as_py())
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
@@ -141,14 +150,14 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
 
 
-def totals(held: DataFrame, counts: Callable[[Run], tuple[np.ndarray, list[np.ndarray]]], kinds: int, buckets: int, name: str) -> DataFrame:
+def totals(held: DataFrame, counts: Callable[[Run], tuple[np.ndarray, list[np.ndarray]]], kinds: int, buckets: int, bound: int, name: str) -> DataFrame:
     """(row, part, bucket, counts, fresh): sums over all runs for the keys of a run's part of
     a bucket, in their order. ``fresh`` counts each key of the corpus once."""
     out = "row long, part int, bucket long, counts binary, fresh long"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_row(batches):
-            keys, values = counts(read_run(row))
+            keys, values = counts(read_run(row, bound))
             order, cuts = dealt(keys, buckets)
             some = np.flatnonzero(np.diff(cuts))
             sent, values = keys[order], np.array(values, np.int64).reshape(kinds, -1)[:, order]
@@ -186,49 +195,59 @@ def gathered(parts: pa.ListScalar, order: np.ndarray, kinds: int) -> np.ndarray:
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``n_tokens``, ``target_loss``, ``background_loss``, ``score``) of every row.
 
-    ``target`` holds ids of the documents that make the target corpus; all rows make the
-    background. Losses are bits a word; ``score`` is target less background loss, lower
-    for texts like the target. A null text counts as empty; without words all three are
-    0. With an empty target its model is uniform, and the background is not scaled.
-    Repeated rows are counted and scored each; null ids are never in the target; an
+    ``target`` holds ids of the documents that make the target corpus. The background is a
+    sample of all rows, by a hash of their texts, of as many words (its counts are scaled
+    to make up what chance left over), so that neither model is surer for being larger.
+    Losses are bits a word; ``score`` is target less background loss, lower for texts like
+    the target. A document is scored by all others: its own counts are left out of both
+    models, so that to be in the target is no advantage. A text of over ``RUN`` words is
+    scored part by part, each by all but itself.
+
+    A null text counts as empty; without words all three are 0. With an empty target its
+    model is uniform, and the background is all rows. Repeated rows are counted and scored
+    each, so that a copy in the target is no secret; null ids are never in the target; an
     empty table gives an empty result; other columns are not read.
 
     Both are bigram models with Dirichlet priors: a pair's probability is (its count +
     PAIR_PRIOR * its word's probability) / (count of the word ahead + PAIR_PRIOR), and
     a word's is (its count + WORD_PRIOR) / (all counts + WORD_PRIOR for each word of the
     vocabulary), which is every word of the documents. For each word ahead they sum up
-    to 1. The background is matched to the target in size: its counts are scaled to as
-    many words, so that it isn't the surer model for being the larger.
+    to 1.
 
     The texts meet the target's ids in one shuffle; from there on only hashes of distinct
     words and pairs are shuffled, once there and their sums once back.
     """
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("mark", F.xxhash64("t"))
     # the target's ids grow with the input and are not broadcast
     own = target.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("own", F.lit(1)).hint("merge")
-    held = materialize(runs(d.join(own, "id", "left").select("row", "id", "own", "t")), "lm-runs")
+    held = materialize(runs(d.join(own, "id", "left").select("row", "id", "own", "mark", "t")), "lm-runs")
     size = held.agg(F.sum(F.octet_length("words") / 8).cast("long").alias("words"), F.sum("pairs").alias("pairs")).first()
     buckets = [max(1, -(-(size[c] or 0) // BUCKET)) for c in ("words", "pairs")]
-    words = totals(held, Run.word_counts, 4, buckets[0], "lm-words")
-    pairs = totals(held, Run.pair_counts, 2, buckets[1], "lm-pairs")
-    # counts of a run, summed over the runs, are those of the corpus; hash 0 is no word
+    # hash 0 is no word
     seen = F.aggregate(F.transform("n", lambda x: x), F.lit(0).cast("long"), lambda a, x: a + x)
-    mine = F.aggregate(F.arrays_zip("n", "own"), F.lit(0).cast("long"), lambda a, x: a + F.when(x["own"], x["n"]).otherwise(0))
-    n, nt = held.agg(F.sum(seen), F.sum(mine)).first()
-    n, nt, v = n or 0, nt or 0, max((words.agg(F.sum("fresh")).first()[0] or 0) - 1, 1)
-    share = min(1.0, nt / n) if nt else 1.0
+    of = lambda kind, ok: F.sum(F.aggregate(F.arrays_zip("n", kind), F.lit(0).cast("long"), lambda a, x: a + F.when(ok(x[kind]), x["n"]).otherwise(0)))
+    n, nt = (x or 0 for x in held.agg(F.sum(seen), of("own", lambda x: x)).first())
+    bound = int(min(1.0, nt / n) * (1 << 32)) if nt else 1 << 32
+    nb = held.agg(of("mark", lambda x: F.pmod(x, F.lit(1 << 32)) < bound)).first()[0] or 0
+    share = nt / nb if nt and nb else 1.0
+    words = totals(held, Run.word_counts, 4, buckets[0], bound, "lm-words")
+    pairs = totals(held, Run.pair_counts, 2, buckets[1], bound, "lm-pairs")
+    v = max((words.agg(F.sum("fresh")).first()[0] or 0) - 1, 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_row(batches):
-            r = read_run(row)
-            ahead, doc, _ = r.sides()
-            codes, at = r.pair_codes()
+            r = read_run(row, bound)
+            ahead, doc = r.sides()
+            _, at = r.pair_codes()
             w = gathered(row["_words"], dealt(r.words, buckets[0])[0], 4)
             p = gathered(row["_pairs"], dealt(r.pair_counts()[0], buckets[1])[0], 2)
+            mine = [within(doc, x) for x in (at, r.seq, ahead)]
             sums = []
-            for c, cw, ch, all_, k in ((p[1], w[1], w[3], nt, 1.0), (p[0], w[0], w[2], n, share)):
-                one = (cw * k + WORD_PRIOR) / (all_ * k + WORD_PRIOR * v)
-                prob = (c[at] * k + PAIR_PRIOR * one[r.seq]) / (ch[ahead] * k + PAIR_PRIOR)
+            for c, cw, ch, all_, k, which in ((p[1], w[1], w[3], nt, 1.0, r.own), (p[0], w[0], w[2], nb, share, r.near)):
+                left = which[doc]  # these have their own counts in the model
+                pair, word, first, rest = c[at] - left * mine[0], cw[r.seq] - left * mine[1], ch[ahead] - left * mine[2], all_ - left * r.n[doc]
+                one = (word * k + WORD_PRIOR) / (rest * k + WORD_PRIOR * v)
+                prob = (pair * k + PAIR_PRIOR * one) / (first * k + PAIR_PRIOR)
                 sums.append(np.bincount(doc, np.round(-np.log2(prob) * UNIT), minlength=len(r.n)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([row["rows"].values, row["ids"].values, pa.array(r.n), *map(pa.array, sums)], ["row", "id", "n", "t", "b"])
 

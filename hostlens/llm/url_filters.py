@@ -31,8 +31,10 @@ def host_rule(host: str, path: str, verdict: str) -> dict:
 
 
 def pattern_rule(pattern: str, verdict: str) -> dict:
-    """``^`` is a border of a token, ``*`` anything; the rest is literal. Its tokens are those
-    with a border or other separator on both sides, as only these are whole in every url."""
+    """``^`` is a border of a token, ``*`` anything; the rest is literal, in any case. Its
+    tokens are those with a border or other separator on both sides, as only these are
+    whole in every url. It is matched against the url in lower case."""
+    pattern = pattern.lower()
     border = r"(?:(?<![a-z0-9])(?=[a-z0-9])|(?<=[a-z0-9])(?![a-z0-9]))"
     regex = "".join(border if c == "^" else ".*" if c == "*" else re.escape(c) for c in pattern)
     return {"rule": pattern, "verdict": verdict, "kind": "pattern", "regex": regex, "tokens": [t for t in re.findall(r"(?<=[^A-Za-z0-9*])[a-z0-9]+(?=[^A-Za-z0-9*])", pattern)]}
@@ -72,14 +74,15 @@ def filter_urls(urls: DataFrame, rules: list[dict], *, url_col: str = "url", def
 
     Of the host rules that fit, the longest wins (of equals the first by code point)
     and is named in ``rule``. Else a pattern rule decides, block before allow, else
-    ``default``. A null url has an empty host and path. Columns of ``urls`` with the
-    names of new ones are replaced.
+    ``default``. Host rules compare paths as they are spelt, patterns in lower case. A
+    null url has an empty host and path. Columns of ``urls`` with the names of new ones
+    are replaced; all others stay, whatever their names.
 
-    Each distinct url is split into tokens; a token fetches the rules whose rarest
-    token (by urls that have it) it is; only those run their regular expression.
+    Each distinct url is split into tokens (in lower case); a token fetches the rules whose
+    rarest token (by urls that have it) it is; only those run their regular expression.
     """
     spark = urls.sparkSession
-    base = urls.drop("host", "path", "rule", "verdict").withColumn("_u", F.coalesce(F.col(url_col), F.lit("")))
+    base = urls.select(F.struct(*(f"`{c}`" for c in urls.columns)).alias("_row"), F.coalesce(F.col(url_col), F.lit("")).alias("_u"))
     host, path = host_and_path(F.col("_u"))
     distinct = base.select("_u").distinct().withColumn("host", host).withColumn("path", path)
     tokens = distinct.withColumn("_t", F.explode(F.array_distinct(F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"))))
@@ -91,16 +94,20 @@ def filter_urls(urls: DataFrame, rules: list[dict], *, url_col: str = "url", def
     rarest = Window.partitionBy("rule_id").orderBy(F.coalesce("_n", F.lit(0)), "_t")
     index = listed.join(seen, "_t", "left").withColumn("_k", F.row_number().over(rarest)).filter("_k = 1").select("rule_id", "_t").join(table_.drop("tokens"), "rule_id")
 
-    hits = tokens.join(small(index), "_t").filter(F.expr("rlike(concat(host, path), regex)"))
     length, hosts = F.length("rule"), F.col("kind") == "host"
+    said = F.when(hosts, F.concat("host", "path")).otherwise(F.lower(F.concat("host", "path")))
+    hits = tokens.join(small(index), "_t").filter(F.rlike(said, F.col("regex")))
     best = hits.groupBy("_u").agg(
         F.min(F.when(hosts, F.struct((-length).alias("n"), F.col("rule").alias("rule"), F.col("verdict").alias("verdict")))).alias("_host"),
         F.max(F.when(~hosts, F.col("verdict"))).alias("_pattern"),
     )
     # apart, so that the join on a hot url can be split; it grows with the urls and is not broadcast
     best = materialize(best, "url-verdicts").hint("merge")
-    out = base.withColumn("host", host).withColumn("path", path).join(best, "_u", "left")
-    return out.withColumn("rule", F.col("_host.rule")).withColumn("verdict", F.coalesce(F.col("_host.verdict"), F.col("_pattern"), F.lit(default))).drop("_u", "_host", "_pattern")
+    verdict = F.coalesce(F.col("_host.verdict"), F.col("_pattern"), F.lit(default))
+    new = F.struct(host.alias("host"), path.alias("path"), F.col("_host.rule").alias("rule"), verdict.alias("verdict"))
+    out = base.join(best, "_u", "left").select("_row", new.alias("_new"))
+    stay = [F.col(f"_row.`{c}`").alias(c) for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*stay, "_new.*")  # in two steps: names may clash
 
 
 #: The rules that op7 is asked to apply.

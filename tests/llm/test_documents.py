@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -354,26 +355,38 @@ def test_components(spark):
     assert got == {x: m for x, m in least.items() if x != m}
 
 
-def brute_losses(said, own):
-    """Mean bits of each text: target, then background, by the models' definition."""
+def brute_losses(said, own, raw):
+    """Mean bits of each text: target, then background, by the models' definition; a text is
+    in neither model that scores it."""
     m, a = lm_scoring.PAIR_PRIOR, lm_scoring.WORD_PRIOR
-    uni, bi, ahead = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    words = lambda ids: sum(len(said[i]) for i in ids)
+    n, nt = words(said), words(own)
+    bound = int(min(1.0, nt / n) * 2**32) if nt else 2**32
+    near = {i for i in said if xxhash.xxh64(raw[i].encode(), seed=42).intdigest() & 0xFFFFFFFF < bound}
+    nb, v = words(near), len({x for w in said.values() for x in w})
+    models = []
+    for ids in (own, near):
+        uni, bi, ahead = Counter(), Counter(), Counter()
+        for i in ids:
+            uni.update(said[i])
+            bi.update(zip([None, *said[i]], said[i], strict=False))
+            ahead.update([None, *said[i]][: len(said[i])])
+        models.append((set(ids), uni, bi, ahead))
+    scale = [1.0, nt / nb if nt and nb else 1.0]
+    out = {}
     for i, w in said.items():
-        for k in (0, 1):
-            if k or i in own:
-                uni[k].update(w)
-                bi[k].update(zip([None, *w], w, strict=False))
-                ahead[k].update([None, *w][: len(w)])
-    n, v = [sum(u.values()) for u in uni], len(uni[1])
-    scale = [1, min(1.0, n[0] / n[1]) if n[0] else 1.0]
-
-    def p(h, w):
-        one = [(uni[k][w] * scale[k] + a) / (n[k] * scale[k] + a * v) for k in (0, 1)]
-        return [(bi[k][h, w] * scale[k] + m * one[k]) / (ahead[k][h] * scale[k] + m) for k in (0, 1)]
-
-    for h in [None, *list(uni[1])[:5]]:  # both are proper: they sum up to one
-        assert np.allclose(np.sum([p(h, w) for w in uni[1]], axis=0), 1)
-    return {i: -np.mean([np.log2(p(h, x)) for h, x in zip([None, *w], w, strict=False)], axis=0) if w else np.zeros(2) for i, w in said.items()}
+        bits = []
+        for (ids, uni, bi, ahead), k in zip(models, scale, strict=True):
+            pairs = list(zip([None, *w], w, strict=False))
+            less = lambda c, mine: Counter({x: c[x] - mine[x] for x in c}) if i in ids else c  # noqa: E731, B023
+            u, b, h = less(uni, Counter(w)), less(bi, Counter(pairs)), less(ahead, Counter([None, *w][: len(w)]))
+            all_ = sum(u.values())
+            p = lambda x, y: (b[x, y] * k + m * (u[y] * k + a) / (all_ * k + a * v)) / (h[x] * k + m)  # noqa: E731, B023
+            if i == 3:  # a proper model: it sums up to one
+                assert np.isclose(sum(p(w[0], y) for y in {x for s in said.values() for x in s}), 1)
+            bits.append(-np.mean([np.log2(p(x, y)) for x, y in pairs]) if w else 0.0)
+        out[i] = bits
+    return out
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -384,7 +397,7 @@ def test_lm_scoring(docs, empty, spark, monkeypatch, small):
     said = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for i, t in enumerate(texts())}
     target = spark.createDataFrame([(i,) for i in range(15, 30)] + [(None,), (15,)], "doc_id long")
     for ids, own in ((target, set(range(15, 30))), (target.limit(0), set())):
-        want = brute_losses(said, own)
+        want = brute_losses(said, own, dict(enumerate(t or "" for t in texts())))
         rows = lm_scoring.cross_entropy_difference(docs, ids).collect()
         assert len(rows) == len(said)
         for r in rows:
@@ -396,6 +409,20 @@ def test_lm_scoring(docs, empty, spark, monkeypatch, small):
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 2), (0, 3), (3, 2), (3, 2)] and len({r["score"] for r in got if r["n_tokens"] == 2}) == 1
 
 
+def test_members_of_the_target_have_no_advantage(spark):
+    """Two halves of one class score alike, and the other class does not."""
+    r = random.Random(5)
+    good, bad = [[f"{c}{k}" for k in range(400)] for c in "gb"]
+    text = lambda own, other: " ".join(r.choice(own if r.random() < 0.8 else other) for _ in range(60))
+    rows = [(i, text(good, bad) if i < 400 else text(bad, good), None, None, None) for i in range(800)]
+    target = spark.createDataFrame([(i,) for i in range(0, 400, 2)], "doc_id long")
+    score = {x["doc_id"]: x["score"] for x in lm_scoring.cross_entropy_difference(frame(spark, rows), target).collect()}
+    y = [i % 2 for i in range(400)]
+    assert 0.45 <= rank_auc(np.array([score[i] for i in range(400)]), np.array(y)) <= 0.55
+    unseen = [i for i in range(1, 400, 2)] + list(range(400, 800))
+    assert rank_auc(np.array([score[i] for i in unseen]), np.array([int(i >= 400) for i in unseen])) > 0.9
+
+
 def test_quality(spark, empty):
     r = random.Random(2)
     good = lambda: " ".join(r.choice("the of and quiet river under stone bridge morning light walked home slowly".split()) for _ in range(60)) + "."

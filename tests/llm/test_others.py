@@ -117,7 +117,7 @@ def test_rules_need_a_token(spark):
         url_filters.rules_table(spark, [url_filters.pattern_rule("*", "block")])
 
 
-def text_of(page, templates=None):
+def text_of(page, templates=frozenset()):
     root = html_text.parse(page)
     html_text.hash_subtrees(root)
     return html_text.main_text(root, templates)
@@ -126,7 +126,7 @@ def text_of(page, templates=None):
 PAGES = [
     ("", ""), ("plain", "plain"), ("<article><h1>A&amp;B</h1><p>x<b>y</b>z<br>w<p> two\n\n words</article>", "A&B xyz w two words"),
     ("<nav>n</nav><div class='ad'>buy</div><article><p>t</p></article><footer>f", "t"), ("<article>a<script>var t='</p>';</script><style>x</style>b</article>", "ab"),
-    ("<body><div>one</div><div class='sidebar'>no</div><form><p>no</form><p>two", "one two"), ("<article>a<div class='comments'>c</div></article>", "a"), ("<article>1 &lt; 2 &#65; &amp;lt;</article>", "1 < 2 A &lt;"),
+    ("<body><div>one</div><div class='sidebar'>no</div><form><p>no</form><p>two", "one no two"), ("<article>a<div class='comments'>c</div></article>", "a c"), ("<article>1 &lt; 2 &#65; &amp;lt;</article>", "1 < 2 A &lt;"),
     ("<p title='a>b'>q</p>", "q"), ("<!-- <p>c</p> --><p>d</p>", "d"), ("<ul><li>a<li>b</ul>", "a b"), ("<article>x<header>h</header></article>", "x h"), ("<script>never closed <p>x", ""),
     ("<main><article>a</article><aside>b</aside>c</main>", "a c"), ("</div><p>a</div>b", "ab"),
 ]
@@ -154,16 +154,72 @@ def test_counts_decide_about_slots(spark):
     page = "<main><p>Own {0}</p><div class='comments'><p>reader {0} said</p></div><p>End {0}</p></main>"
     rows = [(i, f"https://a.com/{i}", page.format(i)) for i in range(12)]
     rows += [(50, "https://a.com/50", "<main><p>x</p><section class='related work'><p>cited by the author</p></section></main>")]
-    rows += [(60, "https://b.com/1", page.format(60))]  # too few pages to count: the name decides
+    rows += [(60, "https://b.com/1", page.format(60))]  # too few pages to count: all that HTML does not mark stays
     rows += [(100 + i, f"https://c.com/{'s' if i < 40 else 'o'}/{i}", f"<body><div>text {i}</div>{'<div>Menu of a section</div>' if i in range(12) else ''}</body>") for i in range(400)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
-    assert all(got[i] == f"Own {i} End {i}" for i in range(12)) and got[50] == "x cited by the author" and got[60] == "Own 60 End 60"
+    assert all(got[i] == f"Own {i} End {i}" for i in range(12)) and got[50] == "x cited by the author" and got[60] == "Own 60 reader 60 said End 60"
     assert all(got[100 + i] == f"text {i}" for i in range(400))  # 12 of 400 pages, but of 40 in the section
     never = {r["page_id"]: r["text"] for r in html_text.extract_text(df, min_pages=10**6).collect()}
     assert "Menu of a section" in never[100]  # without templates the result is another
 
 
+def test_templates_are_those_of_a_full_count(spark):
+    """Subtrees of some hundred pages counted by dicts, by host and by section."""
+    r = random.Random(3)
+    boxes = [f"<div class='b{k}'><p>box {k}</p></div>" for k in range(12)]
+    rows = []
+    for i in range(300):
+        host, section = r.choice(["a.com", "a.com", "b.org", f"c{i % 40}.net"]), r.choice(["", "x/", "x/", "y/"])
+        inner = "".join(r.sample(boxes, r.randint(0, 3)))
+        body = "".join(r.sample(boxes, r.randint(0, 3))) + r.choice(["", f"<main><p>own {r.randint(0, 5)}</p>{inner}</main>"]) + "<aside class='comments'>c</aside>" * r.randint(0, 1)
+        rows.append((host, section.strip("/"), f"<body>{body}</body>"))
+    want = {True: {}, False: {}}
+    for by_section in want:
+        groups = {}
+        for host, section, page in rows:
+            groups.setdefault((host, section) if by_section else (host,), []).append(page)
+        for group, pages in groups.items():
+            outside, inside = {}, {}
+            for page in pages:
+                every = html_text.hash_subtrees(html_text.parse(page))
+                tops = tuple(p.key for e in every if not e.main for p in e.parts if isinstance(p, html_text.Element) and p.main)
+                for e in every[1:]:
+                    if html_text.can_be_template(e):
+                        if e.main:
+                            inside.setdefault(e.key, set()).add(tops)
+                        else:
+                            outside.setdefault(e.key, []).append(id(page))
+                    if (slot := html_text.shell(e)) is not None:
+                        outside.setdefault(slot, []).append(id(page))
+            keys = outside.keys() | inside.keys()
+            count = {k: len(set(outside.get(k, ()))) + len(inside.get(k, ())) for k in keys}
+            least = max(5, 0.05 * len(pages))
+            if often := sorted(k for k, n in count.items() if n >= least):
+                want[by_section][group] = often
+    df = spark.createDataFrame([(h, x, f"{p}<!-- {i} -->") for i, (h, x, p) in enumerate(rows)], "_host string, _section string, _html string")
+    hosts, sections = html_text.recurring(df, min_pages=5, min_share=0.05)
+    assert {(x["_host"],): x["_keys"] for x in hosts.collect()} == want[False] and len(want[False]) >= 2
+    assert {(x["_host"], x["_section"]): x["_more"] for x in sections.collect()} == want[True]
+
+
+def test_rules_know_no_case_in_patterns_only(spark):
+    """Upper-case, mixed and border urls: as by trying every rule; columns of any name stay."""
+    rules = [url_filters.host_rule(*x) for x in [*HOST_RULES, ("example.org", "/CaSe/", "block")]] + [url_filters.pattern_rule(*x) for x in [*PATTERNS, ("^MixedUp^", "block")]]
+    urls = ["https://a.example.org/CASINO/x", "https://a.example.org/Casino", "https://a.io/BIGcasino/x", "https://a.io/casinoBIG", "https://A.IO/x-CaSiNo-Win", "https://a.io/mixedup", "https://a.io/MIXEDUP?x",
+            "https://x.example.org/CaSe/1", "https://x.example.org/case/1", "https://x.NET/EN/", "https://example.NET/en/x", "https://a.io/É-porn", "https://a.io/éporn", None, "no url", "https://a.io/PORN#casino", "https://casino"]
+    df = spark.createDataFrame([(i, u, "h", "p", "u", "old") for i, u in enumerate(urls)], "page_id int, url string, _host string, _pattern string, _u string, host string")
+    rows = url_filters.filter_urls(df, rules).collect()
+    assert len(rows) == len(urls) and set(rows[0].asDict()) == {"page_id", "url", "_host", "_pattern", "_u", "host", "path", "rule", "verdict"} and rows[0]["_u"] == "u"
+    for x in rows:
+        whole = f"{x['host']}{x['path']}"
+        fits = [q for q in rules if re.search(q["regex"], whole if q["kind"] == "host" else whole.lower())]
+        best = max((q for q in fits if q["kind"] == "host"), key=lambda q: len(q["rule"]), default=None)
+        assert x["verdict"] == (best["verdict"] if best else max((q["verdict"] for q in fits), default="allow")), x["url"]
+    said = {x["url"]: x["verdict"] for x in rows}
+    assert said["https://a.example.org/CASINO/x"] == said["https://a.io/MIXEDUP?x"] == "block" and said["https://a.io/BIGcasino/x"] == "allow" and said["https://x.example.org/CaSe/1"] == "block"
+
+
 @pytest.mark.parametrize("page", ["<b " * 350000 + '"', "<b>" * 150000 + "<div></div>" * 50000, "<i>" * 100000 + "</p>" * 200000, "<script>" + "</script" * 120000, "<p a='" * 150000, "<!--" * 250000])
 def test_malformed_pages_take_linear_time(page):
     began = time.perf_counter()

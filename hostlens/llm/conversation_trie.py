@@ -35,7 +35,7 @@ class SpillingQueue:
     """
 
     def __init__(self, limit: int) -> None:
-        self.limit = limit
+        self.limit, self.spilled = limit, 0
         self.heap: list[tuple[int, ...]] = []
         self.runs: list[tuple[tuple[int, ...], int, Iterator[tuple[int, ...]]]] = []  # next message, number, rest
 
@@ -50,7 +50,8 @@ class SpillingQueue:
         file.write(b"".join(MESSAGE.pack(*m) for m in self.heap))
         file.seek(0)
         self.heap = []
-        self._next(len(self.runs), self._read(file))
+        self.spilled += 1
+        self._next(self.spilled, self._read(file))
 
     def _read(self, file: BinaryIO) -> Iterator[tuple[int, ...]]:
         while data := file.read(MESSAGE.size * 4096):

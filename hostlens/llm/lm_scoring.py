@@ -41,6 +41,7 @@ class Run:
     words: np.ndarray  # distinct hashes, sorted
     seq: np.ndarray  # which of them stand here, one after another
     before: int  # the one ahead of the first (of a text's beginning: that of hash 0)
+    row: int = 0  # the first document's
 
     def sides(self) -> tuple[np.ndarray, np.ndarray]:
         """(the word ahead of each word, its document)"""
@@ -72,6 +73,18 @@ class Run:
         keys = mix(a * np.uint64(0x8CB92BA72F3D8DD7) + mix(b.copy()))
         return keys, [np.bincount(at[which[doc]], minlength=len(codes)) for which in (self.near, self.own)]
 
+    def _own_keys(self, keys: np.ndarray) -> np.ndarray:
+        """Keys of what stands in this document, whatever part of it."""
+        return mix(keys ^ mix(np.array([self.row], np.int64).view(np.uint64)))
+
+    def own_word_counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of a part of a long text: its words, as word and as the one ahead."""
+        return self._own_keys(self.words.copy()), [np.bincount(x, minlength=len(self.words)) for x in (self.seq, self.sides()[0])]
+
+    def own_pair_counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        codes, at = self.pair_codes()
+        return self._own_keys(self.pair_counts()[0]), [np.bincount(at, minlength=len(codes))]
+
 
 def within(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
     """For each word how often ``what`` stands there in its own document."""
@@ -125,7 +138,7 @@ def read_run(row: dict[str, pa.Array], bound: int) -> Run:
     """A run; documents with a mark below ``bound`` (of 2**32) are the background."""
     flat = lambda c, t: np.asarray(row[c].values).astype(t, copy=False)
     near = (flat("mark", np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)) < np.uint64(bound)
-    return Run(flat("own", bool), near, flat("n", np.int64), np.frombuffer(row["words"].as_py(), np.uint64), unpacked(row["seq"].as_py()), row["before"].as_py())
+    return Run(flat("own", bool), near, flat("n", np.int64), np.frombuffer(row["words"].as_py(), np.uint64), unpacked(row["seq"].as_py()), row["before"].as_py(), int(row["rows"].values[0].as_py()))
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
@@ -200,8 +213,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
     to make up what chance left over), so that neither model is surer for being larger.
     Losses are bits a word; ``score`` is target less background loss, lower for texts like
     the target. A document is scored by all others: its own counts are left out of both
-    models, so that to be in the target is no advantage. A text of over ``RUN`` words is
-    scored part by part, each by all but itself.
+    models, so that to be in the target is no advantage.
 
     A null text counts as empty; without words all three are 0. With an empty target its
     model is uniform, and the background is all rows. Repeated rows are counted and scored
@@ -232,6 +244,15 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
     share = nt / nb if nt and nb else 1.0
     words = totals(held, Run.word_counts, 4, buckets[0], bound, "lm-words")
     pairs = totals(held, Run.pair_counts, 2, buckets[1], bound, "lm-pairs")
+    # texts of several parts, if there are any: what each holds in all of them
+    long = held.filter("part > 0").select("row").distinct()
+    has_long = len(long.take(1)) > 0
+    own_words = own_pairs = None
+    if has_long:
+        parts = held.join(long, "row", "left_semi")
+        whole = parts.groupBy("row").agg(F.sum(seen).alias("_whole"))
+        own_words = totals(parts, Run.own_word_counts, 2, buckets[0], bound, "lm-own-words")
+        own_pairs = totals(parts, Run.own_pair_counts, 1, buckets[1], bound, "lm-own-pairs")
     v = max((words.agg(F.sum("fresh")).first()[0] or 0) - 1, 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,20 +262,27 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
             _, at = r.pair_codes()
             w = gathered(row["_words"], dealt(r.words, buckets[0])[0], 4)
             p = gathered(row["_pairs"], dealt(r.pair_counts()[0], buckets[1])[0], 2)
-            mine = [within(doc, x) for x in (at, r.seq, ahead)]
+            if has_long and row["_own_words"].is_valid:  # a part: what all parts of the text hold
+                ow = gathered(row["_own_words"], dealt(r.own_word_counts()[0], buckets[0])[0], 2)
+                mine = [gathered(row["_own_pairs"], dealt(r.own_pair_counts()[0], buckets[1])[0], 1)[0][at], ow[0][r.seq], ow[1][ahead]]
+                sizes = np.array([row["_whole"].as_py()])
+            else:
+                mine, sizes = [within(doc, x) for x in (at, r.seq, ahead)], r.n
             sums = []
             for c, cw, ch, all_, k, which in ((p[1], w[1], w[3], nt, 1.0, r.own), (p[0], w[0], w[2], nb, share, r.near)):
                 left = which[doc]  # these have their own counts in the model
-                pair, word, first, rest = c[at] - left * mine[0], cw[r.seq] - left * mine[1], ch[ahead] - left * mine[2], all_ - left * r.n[doc]
+                pair, word, first, rest = c[at] - left * mine[0], cw[r.seq] - left * mine[1], ch[ahead] - left * mine[2], all_ - left * sizes[doc]
                 one = (word * k + WORD_PRIOR) / (rest * k + WORD_PRIOR * v)
                 prob = (pair * k + PAIR_PRIOR * one) / (first * k + PAIR_PRIOR)
                 sums.append(np.bincount(doc, np.round(-np.log2(prob) * UNIT), minlength=len(r.n)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([row["rows"].values, row["ids"].values, pa.array(r.n), *map(pa.array, sums)], ["row", "id", "n", "t", "b"])
 
     known = held.join(by_run(words, "_words"), ["row", "part"]).join(by_run(pairs, "_pairs"), ["row", "part"], "left")
+    if has_long:
+        known = known.join(by_run(own_words, "_own_words"), ["row", "part"], "left").join(by_run(own_pairs, "_own_pairs"), ["row", "part"], "left").join(whole, "row", "left")
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = materialize(known.mapInArrow(score, f"row long, id {kind}, n long, t long, b long"), "lm-losses")
-    discard(held, words, pairs)
-    whole = parts.groupBy("row").agg(F.first("id").alias("id"), *(F.sum(c).alias(c) for c in ("n", "t", "b")))
+    losses = materialize(known.mapInArrow(score, f"row long, id {kind}, n long, t long, b long"), "lm-losses")
+    discard(held, words, pairs, own_words, own_pairs)
+    whole = losses.groupBy("row").agg(F.first("id").alias("id"), *(F.sum(c).alias(c) for c in ("n", "t", "b")))
     mean = lambda x: F.when(F.col("n") > 0, F.col(x) / F.col("n") / UNIT).otherwise(0.0)
     return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))

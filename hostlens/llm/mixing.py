@@ -21,23 +21,43 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(totals: DataFrame, *, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+def in_turn(totals: DataFrame) -> DataFrame:
+    """``totals`` with ``_turn``, the place of each source by code point, null last.
+
+    Sources may be as many as hosts: they are sorted by ranges, and only the ranges'
+    numbers of rows, as many as partitions, are summed up in one task.
+    """
+    dealt = totals.repartitionByRange("_null", "_s").sortWithinPartitions("_null", "_s").withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt, "mix-order").withColumn("_range", F.expr("shiftright(_at, 33)")).withColumn("_in", F.expr("_at & 8589934591"))
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("_range", before.alias("_before"))
+    return dealt.join(F.broadcast(ranges), "_range").withColumn("_turn", F.col("_before") + F.col("_in")).drop("_at", "_range", "_in", "_before")
+
+
+def source_targets(totals: DataFrame, *, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
     """``totals`` (_s, _null, source_size) with ``target``.
 
     Sources by code point, null last, take the weights in turn and divide ``share`` of
     all sizes; none gets over ``most`` times its own size. Filling up by weight ends
-    at one level: target = min(most * size, level * weight).
+    at one level: target = min(most * size, level * weight). Each step to that level is
+    one aggregation, fills the sources that the last level would overfill, and deals
+    what is left to the others; sums are of whole numbers, so reruns agree.
     """
-    turn = Window.orderBy("_null", "_s")
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(turn) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = totals.withColumn("_w", w.cast("double")).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
-    fill = Window.orderBy(F.col("_cap") / F.col("_w"), "_null", "_s")
-    full = F.coalesce(F.sum("_cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("_w").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    everything = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share))
-    t = t.withColumn("_level", (everything - full) / rest)
-    level = F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap") * (1 + 1e-12), F.col("_level"))).over(Window.partitionBy())
-    return t.withColumn("target", F.least(F.col("_cap"), F.coalesce(level * F.col("_w"), F.col("_cap")))).select("_s", "source_size", "target")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("_turn", F.lit(len(weights))) + 1).cast("int"))
+    t = materialize(in_turn(totals).select("_s", "source_size", w.cast("long").alias("_w"), (F.col("source_size") * F.lit(most)).alias("_cap")), "mix-weights")
+    whole = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0))
+    everything = float(t.agg(whole("source_size")).first()[0]) * share
+    level, filled = 0.0, -1
+    while True:
+        over = F.col("_cap") < F.lit(level) * F.col("_w")
+        n, caps, rest = t.groupBy().agg(
+            F.count_if(over), whole("_cap") - F.coalesce(F.sum(F.when(~over, F.col("_cap").cast("decimal(38,0)"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("_w"))), F.lit(0))
+        ).first()
+        if n <= filled or not rest:
+            break
+        filled, level = n, (everything - float(caps)) / float(rest)
+    return t.select("_s", "source_size", F.least(F.col("_cap").cast("double"), F.lit(level) * F.col("_w")).alias("target"))
 
 
 def rate(tilt: Column, size: Column, mean: Column, most: float) -> Column:

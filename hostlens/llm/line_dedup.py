@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
 
-#: A key is hot from this share of all lines on, so there are at most as many hot keys
-#: as this; they are broadcast. Below HOT_LEAST rows no key is worth splitting.
+#: A key is hot from this part of all lines on, or from a shuffle partition's mean where
+#: there are more partitions, so there are at most as many hot keys; they are broadcast.
+#: Below HOT_LEAST rows no key is worth splitting.
 HOT_SHARE, HOT_LEAST = 1000, 2000
-#: Parts that a hot key's lines are dealt into.
+#: Slots that a hot key's lines are dealt into, or as many as partitions if these are more.
 SLOTS = 128
 
 
@@ -30,8 +31,8 @@ def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Key hashes (128 bits) are range-partitioned and sorted by document and position;
     a running window streams each key's first document, holding no group. A key with
-    over 1/1000 of all lines is dealt into slots whose first documents meet the key's
-    own, taken from partial minima.
+    over 1/1000 of all lines, or over a partition's mean if that is less, is dealt into
+    slots whose first documents meet the key's own, taken from partial minima.
     """
     key = F.col("_key")
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -42,10 +43,11 @@ def line_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .select("_id", "_th", "_pos", F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit("second"), key).alias("_h2"))
     )
     lines = materialize(lines.withColumn("_ord", F.coalesce("_id", F.lit((1 << 63) - 1))), "line-keys")
-    least = max(HOT_LEAST, lines.count() // HOT_SHARE)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(HOT_LEAST, lines.count() // max(HOT_SHARE, partitions))
     hot = lines.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.min("_ord").alias("_first")).filter(F.col("_n") > least).drop("_n")
     dealt = lines.join(F.broadcast(hot), ["_h1", "_h2"], "left").withColumn(
-        "_slot", F.when(F.col("_first").isNull(), 0).otherwise(F.pmod(F.xxhash64("_ord"), F.lit(SLOTS))).cast("int")
+        "_slot", F.when(F.col("_first").isNull(), 0).otherwise(F.pmod(F.xxhash64("_ord"), F.lit(max(SLOTS, partitions)))).cast("int")
     )
     by_key = ["_h1", "_h2", "_slot"]
     ordered = dealt.repartitionByRange(*by_key).sortWithinPartitions(*by_key, "_ord", "_pos")

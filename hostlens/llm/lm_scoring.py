@@ -5,6 +5,11 @@ of some hundred thousand words. A run sends each distinct key once, dealt into b
 its hash; a bucket sums up its keys over all runs, and sends the sums back to the runs
 in the order in which they came. So each run has the counts of its own words and pairs
 over the whole corpus, and no task, nor the driver, has a table of all of them.
+
+A word that stands in every run sends one key a run to its bucket. So runs beyond GROUP
+go in groups: each group has buckets of its own, their sums are dealt into parts and
+summed over the groups, and come back by the same way. No bucket holds more keys of one
+word than a group has runs, nor a part more than there are groups.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from .grams import chunks, mix
 PAIR_PRIOR, WORD_PRIOR = 2.0, 0.1
 #: Words of a run (a longer text is several runs), and keys of a bucket.
 RUN, BUCKET = 1 << 19, 1 << 19
+#: Runs of a group: a word of every run takes up to an eighth of a bucket.
+GROUP = 1 << 16
 #: Losses are whole parts of a bit, so that sums do not depend on their order.
 UNIT = 1 << 20
 
@@ -147,9 +154,24 @@ def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]
             yield {c: batch.column(j)[k] for j, c in enumerate(batch.schema.names)}
 
 
-def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the keys by bucket, where each bucket begins and the end)"""
-    at = (mix(keys.copy()) % np.uint64(buckets)).astype(np.int64)
+@dataclass(frozen=True)
+class Deal:
+    """How keys are dealt: the groups of runs, the buckets of each, the parts of a bucket."""
+
+    groups: int
+    buckets: int
+    parts: int
+
+    @classmethod
+    def of(cls, keys: int, runs: int) -> Deal:
+        groups = max(1, -(-runs // GROUP))
+        return cls(groups, max(1, -(-keys // (BUCKET * groups))), groups)
+
+
+def dealt(keys: np.ndarray, buckets: int, above: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys by bucket, where each bucket begins and the end); ``above`` are
+    the buckets by which the keys were dealt before."""
+    at = (mix(keys.copy()) // np.uint64(above) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     return order, np.searchsorted(at[order], np.arange(buckets + 1))
 
@@ -163,7 +185,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8")
 
 
-def totals(held: DataFrame, counts: Callable[[Run], tuple[np.ndarray, list[np.ndarray]]], kinds: int, buckets: int, bound: int, name: str) -> DataFrame:
+def summed(table: pa.Table, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, their sums, where each is first sent, which of them each row's keys
+    are, where the rows end) of rows of keys and counts."""
+    sent = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+    keys, first, at = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
+    values = np.concatenate([unpacked(x).reshape(kinds, -1) for x in table["counts"].to_pylist()], axis=1)
+    sums = np.array([np.bincount(at, v, len(keys)) for v in values])  # whole below 2**53
+    return keys, sums, first, at, np.cumsum([len(x) for x in sent])
+
+
+def totals(held: DataFrame, counts: Callable[[Run], tuple[np.ndarray, list[np.ndarray]]], kinds: int, deal: Deal, bound: int, name: str) -> DataFrame:
     """(row, part, bucket, counts, fresh): sums over all runs for the keys of a run's part of
     a bucket, in their order. ``fresh`` counts each key of the corpus once."""
     out = "row long, part int, bucket long, counts binary, fresh long"
@@ -171,7 +203,7 @@ def totals(held: DataFrame, counts: Callable[[Run], tuple[np.ndarray, list[np.nd
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_row(batches):
             keys, values = counts(read_run(row, bound))
-            order, cuts = dealt(keys, buckets)
+            order, cuts = dealt(keys, deal.buckets)
             some = np.flatnonzero(np.diff(cuts))
             sent, values = keys[order], np.array(values, np.int64).reshape(kinds, -1)[:, order]
             parts = [(sent[cuts[k] : cuts[k + 1]].tobytes(), packed(values[:, cuts[k] : cuts[k + 1]])) for k in some]
@@ -179,17 +211,38 @@ def totals(held: DataFrame, counts: Callable[[Run], tuple[np.ndarray, list[np.nd
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x[j] for x in parts], pa.binary()) for j in (0, 1))], ["row", "part", "bucket", "keys", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-        ends = np.cumsum([len(x) for x in sent])
-        _, first, at = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
-        values = np.concatenate([unpacked(x).reshape(kinds, -1) for x in table["counts"].to_pylist()], axis=1)
-        sums = np.array([np.bincount(at, v, len(first)) for v in values])[:, at]  # whole below 2**53
+        _, sums, first, at, ends = summed(table, kinds)
         fresh = np.diff(np.searchsorted(np.sort(first), ends), prepend=0)
-        cols = {c: table[c] for c in ("row", "part", "bucket")}
-        return pa.table(cols | {"counts": pa.array(map(packed, np.split(sums, ends[:-1], axis=1)), pa.binary()), "fresh": pa.array(fresh, pa.int64())})
+        cols = {c: table[c] for c in table.column_names if c not in ("keys", "counts")}
+        return pa.table(cols | {"counts": pa.array(map(packed, np.split(sums[:, at], ends[:-1], axis=1)), pa.binary()), "fresh": pa.array(fresh, pa.int64())})
+
+    def of_group(table: pa.Table) -> pa.Table:
+        keys, sums, *_ = summed(table, kinds)
+        order, cuts = dealt(keys, deal.parts, deal.buckets)
+        some = np.flatnonzero(np.diff(cuts))
+        cut = lambda x: np.split(x[..., order], cuts[1:-1], axis=-1)
+        parts = [(a.tobytes(), packed(b)) for a, b in zip(cut(keys), cut(sums), strict=True) if len(a)]
+        cols = {c: pa.array(np.full(len(some), table[c][0].as_py(), np.int64)) for c in ("group", "bucket")}
+        return pa.table(cols | {"at": pa.array(some, pa.int64()), **{c: pa.array([x[j] for x in parts], pa.binary()) for j, c in enumerate(("keys", "counts"))}})
+
+    def back(sent: pa.Table, found: pa.Table) -> pa.Table:
+        keys, sums, _, at, ends = summed(sent, kinds)
+        found = found.sort_by("at")
+        sums[:, dealt(keys, deal.parts, deal.buckets)[0]] = np.concatenate([unpacked(x).reshape(kinds, -1) for x in found["counts"].to_pylist()], axis=1)
+        fresh = np.zeros(len(ends), np.int64)
+        fresh[0] = np.sum(found["fresh"].to_numpy())
+        cols = {c: sent[c] for c in ("row", "part", "bucket")}
+        return pa.table(cols | {"counts": pa.array(map(packed, np.split(sums[:, at], ends[:-1], axis=1)), pa.binary()), "fresh": pa.array(fresh)})
 
     rows = held.mapInArrow(send, "row long, part int, bucket long, keys binary, counts binary")
-    return materialize(rows.groupBy("bucket").applyInArrow(add, out), name)
+    if deal.groups == 1:
+        return materialize(rows.groupBy("bucket").applyInArrow(add, out), name)
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("row", "part"), F.lit(deal.groups)))
+    of_groups = rows.groupBy("group", "bucket").applyInArrow(of_group, "group long, bucket long, at long, keys binary, counts binary")
+    sums = materialize(of_groups.groupBy("bucket", "at").applyInArrow(add, "group long, bucket long, at long, counts binary, fresh long"), f"{name}-groups")
+    found = materialize(rows.groupBy("group", "bucket").cogroup(sums.groupBy("group", "bucket")).applyInArrow(back, out), name)
+    discard(sums)
+    return found
 
 
 def by_run(sums: DataFrame, name: str) -> DataFrame:
@@ -233,8 +286,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
     # the target's ids grow with the input and are not broadcast
     own = target.select(F.col(id_col).alias("id")).filter("id is not null").distinct().withColumn("own", F.lit(1)).hint("merge")
     held = materialize(runs(d.join(own, "id", "left").select("row", "id", "own", "mark", "t")), "lm-runs")
-    size = held.agg(F.sum(F.octet_length("words") / 8).cast("long").alias("words"), F.sum("pairs").alias("pairs")).first()
-    buckets = [max(1, -(-(size[c] or 0) // BUCKET)) for c in ("words", "pairs")]
+    size = held.agg(F.count("*").alias("runs"), F.sum(F.octet_length("words") / 8).cast("long").alias("words"), F.sum("pairs").alias("pairs")).first()
+    deals = [Deal.of(size[c] or 0, size["runs"]) for c in ("words", "pairs")]
+    buckets = [x.buckets for x in deals]
     # hash 0 is no word
     seen = F.aggregate(F.transform("n", lambda x: x), F.lit(0).cast("long"), lambda a, x: a + x)
     of = lambda kind, ok: F.sum(F.aggregate(F.arrays_zip("n", kind), F.lit(0).cast("long"), lambda a, x: a + F.when(ok(x[kind]), x["n"]).otherwise(0)))
@@ -242,8 +296,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
     bound = int(min(1.0, nt / n) * (1 << 32)) if nt else 1 << 32
     nb = held.agg(of("mark", lambda x: F.pmod(x, F.lit(1 << 32)) < bound)).first()[0] or 0
     share = nt / nb if nt and nb else 1.0
-    words = totals(held, Run.word_counts, 4, buckets[0], bound, "lm-words")
-    pairs = totals(held, Run.pair_counts, 2, buckets[1], bound, "lm-pairs")
+    words = totals(held, Run.word_counts, 4, deals[0], bound, "lm-words")
+    pairs = totals(held, Run.pair_counts, 2, deals[1], bound, "lm-pairs")
     # texts of several parts, if there are any: what each holds in all of them
     long = held.filter("part > 0").select("row").distinct()
     has_long = len(long.take(1)) > 0
@@ -251,8 +305,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
     if has_long:
         parts = held.join(long, "row", "left_semi")
         whole = parts.groupBy("row").agg(F.sum(seen).alias("_whole"))
-        own_words = totals(parts, Run.own_word_counts, 2, buckets[0], bound, "lm-own-words")
-        own_pairs = totals(parts, Run.own_pair_counts, 1, buckets[1], bound, "lm-own-pairs")
+        own_words = totals(parts, Run.own_word_counts, 2, deals[0], bound, "lm-own-words")
+        own_pairs = totals(parts, Run.own_pair_counts, 1, deals[1], bound, "lm-own-pairs")
     v = max((words.agg(F.sum("fresh")).first()[0] or 0) - 1, 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

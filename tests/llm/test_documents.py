@@ -167,6 +167,24 @@ def test_companding_and_adpcm(spark):
     assert rate == 16000 and (pcm[::2] == one(bytes(blocks[0]))).all() and got[2]["error"] and got[3]["pcm"] is None
 
 
+def test_targets_of_many_sources(spark):
+    """Sources as many as hosts, in any order, some of them empty: filled up by weight."""
+    r = random.Random(3)
+    size = {f"s{r.randrange(10**6)}": r.choice([0, 1, 7, 500, 10**6]) * r.randrange(1, 9) for _ in range(3000)} | {"n": 123456}
+    order = [*sorted(set(size) - {"n"}), "n"]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, todo, want = 1.5 * sum(size.values()), set(order), {}
+    while over := {s for s in todo if left / sum(weight[x] for x in todo) * weight[s] > 2 * size[s]}:
+        want |= {s: 2.0 * size[s] for s in over}
+        left -= sum(2 * size[s] for s in over)
+        todo -= over
+    want |= {s: left / sum(weight[x] for x in todo) * weight[s] for s in todo}
+    totals = spark.createDataFrame([(s, s == "n", n) for s, n in size.items()], "_s string, _null boolean, source_size long").repartition(5)
+    got = {x["_s"]: x["target"] for x in mixing.source_targets(totals, weights=(5, 2, 1), share=1.5, most=2).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[s], want[s], rtol=1e-9) for s in want)
+    assert mixing.source_targets(totals.limit(0), weights=(5, 2, 1), share=1.5, most=2).count() == 0
+
+
 def test_mix(docs, empty):
     rows = mixing.mix(docs).collect()
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts())}
@@ -389,10 +407,10 @@ def brute_losses(said, own, raw):
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [0, 1 << 16, 4])
 def test_lm_scoring(docs, empty, spark, monkeypatch, small):
-    if small:  # long texts are several runs, and keys are dealt into many buckets
-        for name, value in (("RUN", 700), ("BUCKET", 50)):
+    if small:  # long texts are several runs, and keys are dealt into many buckets; runs in one group or several
+        for name, value in (("RUN", 700), ("BUCKET", 50), ("GROUP", small)):
             monkeypatch.setattr(lm_scoring, name, value)
     said = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for i, t in enumerate(texts())}
     target = spark.createDataFrame([(i,) for i in range(15, 30)] + [(None,), (15,)], "doc_id long")

@@ -10,7 +10,7 @@ from hostlens.operators import ptr, sieve, sinks
 from hostlens.plans.jobs import Reference
 from hostlens.sources import events as src
 from hostlens.streaming import consumer
-from hostlens.streaming.ptr_memory import state_store, with_ptr_stream
+from hostlens.streaming.ptr_memory import BUCKETS, state_store, with_ptr_stream
 from hostlens.streaming.reference import LastGood
 
 ENTRIES = [("*.example.com", ["news"], ["a"]), ("cdn.org", ["ads"], ["b"])]
@@ -138,6 +138,23 @@ def test_memory_of_names_equals_the_batch(spark, tmp_path):
     assert key(got) == key(want) and {x["ptr_status"] for x in want.collect()} == {"ok", "nxdomain", "not_observed", "bad_client_address", "skipped"}
 
 
+def test_state_grows_with_slices_not_with_clients(spark, tmp_path):
+    """Six hundred clients in a minute, each with an answer of its own, are a state a bucket."""
+    state_store(spark)
+    seen = spark.range(600).selectExpr("concat('10.1.', id div 250, '.', id % 250) client", "timestamp_seconds(1000 + id / 100) observed_at", "array(concat('h', id)) hosts", "'ok' status")
+    asked = seen.selectExpr("client", "observed_at + interval 30 seconds ts", "client c")
+    last = spark.createDataFrame([("10.9.9.9", "end")], "client string, c string").selectExpr("client", "timestamp_seconds(1000000) ts", "c")
+    seen.write.parquet(str(tmp_path / "seen"))
+    asked.unionByName(last).write.parquet(str(tmp_path / "asked"))
+    read = lambda df, name: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    found = with_ptr_stream(read(asked, "asked"), read(seen, "seen"), late="1 second")
+    q = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= BUCKETS + 1
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 600 and got.filter("ptr_status = 'ok' and client_hosts[0] = concat('h', cast(split(client, '[.]')[2] as int) * 250 + split(client, '[.]')[3])").count() == 600
+
+
 def test_kafka_source_says_what_it_reads(spark):
     """Without its package the source can't start; that is told, with its name."""
     with pytest.raises(Exception, match="(?i)kafka"):

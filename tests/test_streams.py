@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql.streaming import StreamingQuery
 
 from hostlens.operators import ptr, sieve, sinks
+from hostlens.plans import queries
 from hostlens.plans.jobs import Reference
 from hostlens.sources import events as src
 from hostlens.streaming import consumer
@@ -155,6 +156,12 @@ def test_state_grows_with_slices_not_with_clients(spark, tmp_path):
     assert got.count() == 600 and got.filter("ptr_status = 'ok' and client_hosts[0] = concat('h', cast(split(client, '[.]')[2] as int) * 250 + split(client, '[.]')[3])").count() == 600
 
 
+def test_payloads_are_made_by_as_many_tasks_as_there_are_partitions(spark):
+    """One small file of events is long texts: a task a partition makes them, for each feed."""
+    made_of = queries.payloads(spark, "/root/testdata/sf0.001")
+    assert len(made_of.inputFiles()) == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_kafka_source_says_what_it_reads(spark):
     """Without its package the source can't start; that is told, with its name."""
     with pytest.raises(Exception, match="(?i)kafka"):

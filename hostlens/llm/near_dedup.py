@@ -24,6 +24,8 @@ FLOOR = 0.001
 COPY_ROWS, COPY_BANDS = 2, 6
 #: Documents are counted in whole parts, so that sums do not depend on their order.
 UNIT = 1 << 32
+#: Cells in which shingles are counted first, and the parts in which cells are summed up.
+CELLS, CELL_PARTS = 1 << 20, 64
 #: Weights are summed in floats: bounds give way by so much.
 SLACK = 1 - 1e-5
 
@@ -31,15 +33,58 @@ SLACK = 1 - 1e-5
 # --- document frequencies ----------------------------------------------------------
 
 
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, n): in how many documents of a run each shingle is."""
+def _distinct(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingles of each document of a run, once each."""
+    for _, words, bounds in chunks(texts):
+        yield counted(*shingles(words, bounds, SHINGLE))[0]
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, counts): documents' shingles of a task counted in ``CELLS`` cells by their hash."""
+    cells = np.zeros(CELLS, np.int64)
     for batch in batches:
-        for _, words, bounds in chunks(batch.column(0)):
-            h, n = np.unique(counted(*shingles(words, bounds, SHINGLE))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        for h in _distinct(batch.column(0)):
+            cells += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    for part, some in enumerate(np.split(cells, CELL_PARTS)):
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([some.astype(np.int32 if some.max() < 1 << 31 else np.int64).tobytes()])], ["part", "counts"])
     pa.default_memory_pool().release_unused()
 
 
+def _full(least_count: float):
+    """(part, full): which of a part's cells hold more than ``least_count`` over all tasks, as bits."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = CELLS // CELL_PARTS
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for held in batch.column(batch.schema.get_field_index("counts")):
+                raw = held.as_py()
+                total += np.frombuffer(raw, np.int32 if len(raw) == 4 * size else np.int64)
+        bits = np.packbits(total > least_count).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits])], ["part", "full"])
+
+    return run
+
+
+def _seen(full: dict[int, bytes]):
+    """(h, n): in how many documents of a run each shingle of a full cell is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((CELL_PARTS, CELLS // CELL_PARTS), bool)
+        for part, bits in full.items():
+            kept[part] = np.unpackbits(np.frombuffer(bits, np.uint8))
+        kept = kept.ravel()
+        for batch in batches:
+            for h in _distinct(batch.column(0)):
+                h, n = np.unique(h[kept[(h & np.uint64(CELLS - 1)).astype(np.int64)]], return_counts=True)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def least(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """(n, documents) plain MinHash samples."""
     out = np.empty((n, len(starts)), np.uint64)
@@ -77,10 +122,15 @@ def frequent_shingles(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.nda
     counts as one part of the largest group that shares one of its copy bands, so that
     exact and near copies together count as about one document.
 
-    All shingles are counted, with partial sums. Only those in over FLOOR of the rows are
-    counted by groups: there are at most (shingles of a document / FLOOR) of them.
+    All shingles are counted, first in cells by their hash: what is in over FLOOR of the
+    rows fills its cell beyond that, so only shingles of such cells are counted each, with
+    partial sums. Only those in over FLOOR of the rows are counted by groups: there are at
+    most (shingles of a document / FLOOR) of them.
     """
-    seen = texts.mapInArrow(_seen, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > FLOOR * n_docs)
+    cells = materialize(texts.mapInArrow(_cells, "part int, counts binary").groupBy("part").applyInArrow(_full(FLOOR * n_docs), "part int, full binary"), "near-cells")
+    full = {r["part"]: bytes(r["full"]) for r in cells.collect()}  # a bit a cell
+    discard(cells)
+    seen = texts.mapInArrow(_seen(full), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > FLOOR * n_docs)
     seen = materialize(seen.select("h"), "near-seen")  # so that its shuffle files go at once
     wanted = np.sort(np.array([r["h"] for r in seen.collect()], np.int64).view(np.uint64))
     discard(seen)

@@ -494,3 +494,22 @@ def test_scores_do_not_depend_on_held_out_labels(spark):
 
 def test_dictionary_of_little_text():
     assert quality.train_dictionary([b"ab"]) == b"ab" and zstandard.__version__
+
+
+def test_rare_shingles_are_not_shuffled(spark, monkeypatch):
+    """Counting in cells first leaves out most shingles, and loses none that is frequent."""
+    monkeypatch.setattr(near_dedup, "FLOOR", 0.01)
+    common = ["one two three four five six", "a very common line of words here"]
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) + " " + common[k % 2] for k in range(400)]
+    texts = spark.createDataFrame([(x,) for x in texts], "t string").repartition(3)
+    words = lambda x: (" ".join(x[i : i + 5]) for i in range(len(x) - 4))
+    told = {}
+    for (x,) in texts.collect():
+        for s in set(words(x.split())):
+            told[s] = told.get(s, 0) + 1
+    cells = texts.mapInArrow(near_dedup._cells, "part int, counts binary").groupBy("part").applyInArrow(near_dedup._full(4), "part int, full binary")
+    full = {r["part"]: bytes(r["full"]) for r in cells.collect()}
+    sent = texts.mapInArrow(near_dedup._seen(full), "h long, n long").groupBy("h").agg({"n": "sum"}).toDF("h", "n")
+    assert sent.count() < len(told) / 20
+    frequent = sum(n > 4 for n in told.values())
+    assert sent.filter("n > 4").count() == frequent == len(near_dedup.frequent_shingles(texts, 400)[0]) > 0
